@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, mix, prefix_sums, powers, text_buffer
 
-MIN_N, MAX_N = 4, 6
+MIN_N, MAX_N = 4, 5
 BUCKETS = 1 << 18
-TRAIN_ROWS = 12_000
-ROUNDS = 300
+TRAIN_ROWS = 6_000
+ROUNDS = 150
 _U = np.uint64
 
 
@@ -58,13 +58,13 @@ def _fit(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
         return weights, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     grams = [np.frombuffer(g, np.int32) for g in rows["grams"]]
     flat = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
     toxic = y[owner] == 1
     p = np.bincount(flat[toxic], minlength=BUCKETS) + 1.0
     q = np.bincount(flat[~toxic], minlength=BUCKETS) + 1.0
     p, q = p / (y.sum() + 2), q / (len(y) - y.sum() + 2)
     ratio = np.log(p / q)
-    ratio[np.abs(ratio) < 0.5] = 0  # as frequent in either class
+    ratio[np.abs(ratio) < 0.7] = 0  # as frequent in either class
     used = ratio[flat] != 0
     flat, owner = flat[used], owner[used]
     values = ratio[flat]
