@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, mixing, toxicity, warc
+from lodestone.llm import fingerprint, gif, mixing, pii, toxicity, warc
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_mix_sources": mixing.query,
     "op4_gif_media": gif.query,
     "op6_fingerprints": fingerprint.query,
