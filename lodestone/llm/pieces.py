@@ -57,19 +57,44 @@ class Vocabulary:
         self.weight = np.full(len(self.bytes), BYTE_WEIGHT)
         for rank, i in enumerate(sorted(usable, key=lambda i: -sp.get_score(i))):
             self.weight[i] = -alpha * np.log(rank + 2)
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        longest = max((len(self.bytes[i]) for i in usable), default=0)
-        for n in range(1, longest + 1):
-            whole: dict[bytes, int] = {}
-            for i in usable:
-                raw = self.bytes[i]
-                if len(raw) >= n:
-                    whole[raw[:n]] = i if len(raw) == n else whole.get(raw[:n], -1)
-            flat = np.frombuffer(b"".join(whole), np.uint8)
-            at = np.arange(len(whole)) * n
-            h = span_hash(prefix_sums(flat), at, at + n)
-            order = np.argsort(h)
-            self.levels.append((h[order], np.fromiter(whole.values(), np.int32)[order]))
+        self._index(usable)
+
+    def _index(self, usable: list[int]) -> None:
+        """A hash table of all prefixes of pieces, with the piece that each prefix is, or -1."""
+        prefixes: dict[bytes, int] = {}
+        for i in usable:
+            raw = self.bytes[i]
+            for n in range(1, len(raw)):
+                prefixes.setdefault(raw[:n], -1)
+            prefixes[raw] = i
+        size = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+        self.longest = int(size.max(initial=0))
+        flat = np.frombuffer(b"".join(prefixes), np.uint8)
+        end = np.cumsum(size)
+        self.hashes = span_hash(prefix_sums(flat), end - size, end)
+        self.piece_of = np.fromiter(prefixes.values(), np.int32, len(prefixes))
+        self.slots = np.full(1 << 20, -1, np.int32)
+        waiting, at = np.arange(len(self.hashes), dtype=np.int32), self._slot(self.hashes)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]  # of several, one stays
+            left = self.slots[at] != waiting
+            waiting, at = waiting[left], at[left] + 1 & (1 << 20) - 1
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h >> _U(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the prefixes, or -1."""
+        at = self._slot(h)
+        found = self.slots[at]
+        miss = np.flatnonzero((found >= 0) & (self.hashes[found] != h))
+        while len(miss):
+            at[miss] = at[miss] + 1 & (1 << 20) - 1
+            found[miss] = self.slots[at[miss]]
+            miss = miss[(found[miss] >= 0) & (self.hashes[found[miss]] != h[miss])]
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -85,14 +110,13 @@ def _edges(vocab: Vocabulary, data: np.ndarray, sums: np.ndarray, limit: np.ndar
     width = np.ones(len(data), np.int64)
     for lead, n in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
         width[data >= lead] = n
-    for n, (hashes, pieces) in enumerate(vocab.levels, 1):
+    for n in range(1, vocab.longest + 1):
         alive = alive[alive + n <= limit[alive]]
         if not len(alive):
             break
-        h = span_hash(sums, alive, alive + n)
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        same = hashes[at] == h
-        alive, piece = alive[same], pieces[at[same]]
+        found = vocab.find(span_hash(sums, alive, alive + n))
+        same = found >= 0
+        alive, piece = alive[same], vocab.piece_of[found[same]]
         full = piece >= 0
         starts.append(alive[full])
         ends.append(alive[full] + n)
@@ -163,7 +187,6 @@ def sample_block(vocab: Vocabulary, texts: list[bytes], keys: np.ndarray) -> lis
     new = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
     counts = np.diff(np.r_[new, len(e)])
     within = run - np.repeat(run[new] - share[new], counts)
-    lookup = np.repeat(np.arange(len(new)), counts) + np.minimum(within, 1.0)
     node = np.zeros(len(unique) + 1, np.int64)
     node[e[new]] = np.arange(len(new))
     last = np.r_[new[1:], len(e)] - 1
@@ -175,8 +198,11 @@ def sample_block(vocab: Vocabulary, texts: list[bytes], keys: np.ndarray) -> lis
     while len(active):
         u = (mix(seeds[active] + _U(step)) >> _U(11)).astype(np.float64) / float(1 << 53)
         at = node[place[active]]
-        edge = np.minimum(np.searchsorted(lookup, at + u, side="right"), last[at])
-        edge = np.maximum(edge, new[at])
+        edge, end = new[at], last[at]
+        more = np.flatnonzero((within[edge] <= u) & (edge < end))
+        while len(more):
+            edge[more] += 1
+            more = more[(within[edge[more]] <= u[more]) & (edge[more] < end[more])]
         picked.append((active, ids[edge]))
         many[active] += 1
         place[active] = s[edge]
