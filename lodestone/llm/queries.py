@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, mixing, pieces, pii, toxicity, warc
+from lodestone.llm import fingerprint, gif, lm, mixing, pieces, pii, toxicity, warc
 
 QUERIES = {
+    "op8_lm_score": lm.query,
     "op5_sentencepiece": pieces.query,
     "op1_pii": pii.query,
     "op2_mix_sources": mixing.query,
