@@ -30,6 +30,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 29
 BYTE_WEIGHT = -30.0
+#: Text that is cut at a time; the work arrays take about a hundred times as much.
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float =
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
             keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(_U)
-            for i, j in doc_slices(offsets):
+            for i, j in doc_slices(offsets, BLOCK_BYTES):
                 texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
                 made = sample_block(vocab, texts, keys[i:j])
                 cuts = np.r_[0, np.cumsum([len(m) for m in made])].astype(np.int32)
@@ -246,8 +248,8 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> D
         for batch in batches:
             column = batch.column(at)
             cuts = column.offsets.to_numpy()
-            ids = column.values.to_numpy(zero_copy_only=False).tolist()
-            texts = [b"".join(map(spelt.__getitem__, ids[a:b]))[1:].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids = column.values.to_numpy(zero_copy_only=False)
+            texts = [b"".join(map(spelt.__getitem__, ids[a:b].tolist()))[1:].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded_ string"
