@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, pieces, pii, toxicity, warc
+from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, pieces, pii, suffix, toxicity, warc
 
 QUERIES = {
+    "op3_suffix_dedup": suffix.query,
     "op9_ngram_jaccard": jaccard.query,
     "op8_lm_score": lm.query,
     "op5_sentencepiece": pieces.query,
