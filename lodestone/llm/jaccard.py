@@ -406,5 +406,37 @@ def join(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the least doc_id; documents without shingles all stay.
+
+    Of equal doc_ids in a component one row stays; rows with a null doc_id stay, since nothing names them. Only
+    rows that a fixed-size filter suspects of being dropped or repeated are shuffled; the others pass through.
+    """
+    spark = docs.sparkSession
+    named = join(docs).where("n_shingles > 0 and doc_id is not null")
+    of_id = named.groupBy("doc_id").agg(F.min("component_id").alias("least_"), F.count(F.lit(1)).alias("n_"))
+    special = staged(of_id.where("doc_id <> least_ or n_ > 1").select("doc_id", (F.col("doc_id") != F.col("least_")).alias("drop_")), "dropped")
+    place = F.xxhash64("doc_id")
+    bits = special.groupBy(F.shiftright(place, 6).bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")).alias("bits")).toPandas()
+    words_ = np.zeros(BLOOM_WORDS, np.int64)
+    words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(words_.view(_U))
+
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy().view(_U)
+            hit = shared.value[((h >> _U(6)) & _U(BLOOM_WORDS - 1)).astype(np.int64)] >> (h & _U(63)) & _U(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit.astype(bool))], names=[*batch.schema.names[:-1], "suspect_"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", suspect_ boolean"
+    marked = docs.withColumn("place_", place).mapInArrow(suspect, schema)
+    clear = marked.where("not suspect_ or doc_id is null").drop("suspect_")
+    doubtful = marked.where("suspect_ and doc_id is not null").drop("suspect_")
+    judged = doubtful.join(special.withColumnRenamed("doc_id", "special_"), F.col("doc_id") == F.col("special_"), "left")
+    kept = judged.where("drop_ is null or not drop_")
+    once = kept.where("special_ is not null").dropDuplicates(["doc_id"])
+    return clear.unionAll(kept.where("special_ is null").drop("special_", "drop_")).unionAll(once.drop("special_", "drop_"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
