@@ -34,7 +34,7 @@ from lodestone.llm.common import doc_slices, documents, mix, partitions, powers,
 LENGTH, SEED = 200, 40
 #: Batches that the corpus is dealt to; an index that lives on takes each arrival as one batch.
 BATCHES = 2
-PART_ENTRIES = 2_000_000
+PART_ENTRIES = 500_000
 BLOOM_WORDS = 1 << 20
 _PLACE = 28  # bits of a place within a block
 _U = np.uint64
@@ -96,7 +96,7 @@ def _suffixes(parts: int):
             ids = batch.column(0).to_numpy()
             data, offsets = text_buffer(batch.column(1))
             held: list[tuple] = []
-            for i, j in doc_slices(offsets, 2 << 20):
+            for i, j in doc_slices(offsets, 1 << 19):
                 owner, first, wins, key, ctx, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = first - (offsets[i : j + 1] - offsets[i])[owner]
                 held.append((key, ctx, ids[i + owner], at, wins))
@@ -200,7 +200,7 @@ def _windows(parts: int, bloom):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = text_buffer(batch.column(1))
-            for i, j in doc_slices(offsets, 2 << 20):
+            for i, j in doc_slices(offsets, 1 << 19):
                 bounds = offsets[i : j + 1] - offsets[i]
                 owner, first, wins, key, ctx, sums = anchors(data[offsets[i] : offsets[j]], bounds)
                 hit = np.ones(len(key), bool)
