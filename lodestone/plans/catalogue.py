@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.plans import temporal
+from lodestone.plans import events, graph, temporal
 
-MODULES = (temporal,)
+MODULES = (temporal, graph, events)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
