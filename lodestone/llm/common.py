@@ -74,7 +74,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def doc_slices(offsets: np.ndarray, limit: int = 1 << 20):
+def doc_slices(offsets: np.ndarray, limit: int = 1 << 19):
     """Ranges of whole documents with about limit bytes each, so that work arrays stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -40,7 +40,7 @@ WIDE, WIDE_FROM = 16, 128
 SPARE = 0.6
 COUNTERS = 1 << 20
 SKETCH_WORDS = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Signatures that one part of the index holds, and members that one task compares with as many others.
 PART_ENTRIES, PAIR_BLOCK = 3_000_000, 2048
 BLOOM_WORDS = 1 << 18

@@ -33,7 +33,7 @@ _U = np.uint64
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """For each document its number and the buckets of its n-grams, each once."""
-    last = np.full(BUCKETS, -1, np.int32)
+    last = np.empty(BUCKETS, np.int32)  # only places written for a document are read for it
     for i, j in doc_slices(offsets):
         part = lower_bytes(data[offsets[i] : offsets[j]])
         sums, (_, down) = prefix_sums(part), powers(len(part) + 1)
@@ -57,16 +57,15 @@ def _fit(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
     if len(y) == 0 or y.min() == y.max():
         return weights, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     grams = [np.frombuffer(g, np.int32) for g in rows["grams"]]
-    flat = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
-    toxic = y[owner] == 1
-    p = np.bincount(flat[toxic], minlength=BUCKETS) + 1.0
-    q = np.bincount(flat[~toxic], minlength=BUCKETS) + 1.0
+    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
+    for label, own in zip(y, grams, strict=True):
+        (p if label else q)[own] += 1  # a bucket is at most once in a document
     p, q = p / (y.sum() + 2), q / (len(y) - y.sum() + 2)
     ratio = np.log(p / q)
     ratio[np.abs(ratio) < 0.7] = 0  # as frequent in either class
-    used = ratio[flat] != 0
-    flat, owner = flat[used], owner[used]
+    grams = [own[ratio[own] != 0] for own in grams]
+    flat = np.concatenate(grams)
+    owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
     values = ratio[flat]
     scale = np.sqrt(np.maximum(np.bincount(owner, values * values, len(y)), 1.0)).mean()
     values = values / scale
@@ -126,11 +125,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         w, b = shared.value
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
-            out = np.zeros(batch.num_rows)
-            for k, own in features(data, offsets):
-                out[k] = w[own].sum(dtype=np.float64)
-            out = 1 / (1 + np.exp(-np.clip(out + b, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score_"])
+            for i, j in doc_slices(offsets):
+                out = np.zeros(j - i)
+                for k, own in features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    out[k] = w[own].sum(dtype=np.float64)
+                out = 1 / (1 + np.exp(-np.clip(out + b, -500, 500)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out)], names=[*batch.schema.names, "score_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score_ double"
     return docs.mapInArrow(run, schema)
