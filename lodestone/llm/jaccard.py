@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, partitions, staged, text_buffer, word_hashes, words
+from lodestone.llm.common import doc_slices, documents, mix, partitions, staged, text_buffer, tidy, word_hashes, words
 
 WORDS = 5
 #: Shingles that the wide segment holds on average in the smallest sets of a group, and the least such size.
@@ -42,7 +42,7 @@ COUNTERS = 1 << 20
 SKETCH_WORDS = 16
 BLOCK_BYTES = 1 << 20
 #: Signatures that one part of the index holds, and members that one task compares with as many others.
-PART_ENTRIES, PAIR_BLOCK = 3_000_000, 2048
+PART_ENTRIES, PAIR_BLOCK = 750_000, 2048
 BLOOM_WORDS = 1 << 18
 _U = np.uint64
 
@@ -321,7 +321,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     words_ = np.zeros(BLOOM_WORDS, np.int64)
     words_[filled["w"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(words_.view(_U))
-    sets = docs.select("text").mapInArrow(_sets_of(shared), "cid long, tokens array<long>")
+    sets = docs.select("text").mapInArrow(tidy(_sets_of(shared)), "cid long, tokens array<long>")
     sets = staged(sets.join(needed.distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
@@ -382,12 +382,12 @@ def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id (null without shingles)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    described = staged(texts.mapInArrow(_describe, _SETS), "shingles")
+    described = staged(texts.mapInArrow(tidy(_describe), _SETS), "shingles")
     rows = described.where("slice is null").select("doc_id", "n", "cid", "sketch")
     entries = 0.7 * (rows.agg(F.sum("n")).first()[0] or 0)
     parts = int(min(60_000, max(partitions(spark), entries // PART_ENTRIES)))
     counts = spark.sparkContext.broadcast(shingle_counts(described))
-    packed = texts.select("text").mapInArrow(_index(parts, counts), "part int, ids binary, place binary, low binary, high binary")
+    packed = texts.select("text").mapInArrow(tidy(_index(parts, counts)), "part int, ids binary, place binary, low binary, high binary")
     met = staged(packed.groupBy("part").applyInArrow(_meet, "a long, b long, bucket long"), "met")
     stars = met.where("bucket is null").select("a", "b").distinct()
     members = met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct()
@@ -426,10 +426,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch.column(batch.num_columns - 1).to_numpy().view(_U)
             hit = shared.value[((h >> _U(6)) & _U(BLOOM_WORDS - 1)).astype(np.int64)] >> (h & _U(63)) & _U(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit.astype(bool))], names=[*batch.schema.names[:-1], "suspect_"])
+            marked_ = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit.astype(bool))], names=[*batch.schema.names[:-1], "suspect_"])
+            for i in range(0, len(hit), 256):
+                yield marked_.slice(i, 256)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", suspect_ boolean"
-    marked = docs.withColumn("place_", place).mapInArrow(suspect, schema)
+    marked = docs.withColumn("place_", place).mapInArrow(tidy(suspect), schema)
     clear = marked.where("not suspect_ or doc_id is null").drop("suspect_")
     doubtful = marked.where("suspect_ and doc_id is not null").drop("suspect_")
     judged = doubtful.join(special.withColumnRenamed("doc_id", "special_"), F.col("doc_id") == F.col("special_"), "left")

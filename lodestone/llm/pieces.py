@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, prefix_sums, span_hash, text_buffer
+from lodestone.llm.common import doc_slices, documents, mix, prefix_sums, span_hash, text_buffer, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float =
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pieces], names=[*batch.schema.names[:-1], "pieces_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", pieces_ array<int>"
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> DataFrame:
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded_ string"
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:

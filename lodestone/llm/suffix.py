@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, partitions, powers, prefix_sums, span_hash, staged, text_buffer
+from lodestone.llm.common import doc_slices, documents, mix, partitions, powers, prefix_sums, span_hash, staged, text_buffer, tidy
 
 LENGTH, SEED = 200, 40
 #: Batches that the corpus is dealt to; an index that lives on takes each arrival as one batch.
@@ -278,7 +278,7 @@ def find_repeats(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
     index, outputs = None, []
     for b in range(batches):
         own = texts.where(F.pmod("row", F.lit(batches)) == b) if batches > 1 else texts
-        fresh = own.mapInArrow(_suffixes(parts), _RUN)
+        fresh = own.mapInArrow(tidy(_suffixes(parts)), _RUN)
         both = fresh if index is None else fresh.unionAll(index)
         after = staged(both.groupBy("part").applyInArrow(_advance(b == batches - 1), _RUN), "levels")
         outputs.append(after.where(f"level in ({REPEATS}, {EDGES})"))
@@ -299,12 +299,12 @@ def find_repeats(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words_[at].view(np.int64))], names=["w", "bits"])
 
-    bits = found.where(f"level = {EDGES}").select("key").mapInArrow(fill, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = found.where(f"level = {EDGES}").select("key").mapInArrow(tidy(fill), "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
     words_ = np.zeros(BLOOM_WORDS, np.int64)
     words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(words_.view(_U))
-    edges = texts.mapInArrow(_windows(parts, shared), _RUN).groupBy("part").applyInArrow(_match_windows, _RUN)
-    return found.where(f"level = {REPEATS}").unionAll(edges).select("row", "at", "wins").mapInArrow(_spans, "row long, begin long, end long")
+    edges = texts.mapInArrow(tidy(_windows(parts, shared)), _RUN).groupBy("part").applyInArrow(_match_windows, _RUN)
+    return found.where(f"level = {REPEATS}").unionAll(edges).select("row", "at", "wins").mapInArrow(tidy(_spans), "row long, begin long, end long")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -313,7 +313,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     spans = find_repeats(texts.select("row", "text"), batches)
     listed = spans.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     joined = texts.join(listed, "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(_keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

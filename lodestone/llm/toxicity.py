@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, mix, prefix_sums, powers, text_buffer
+from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, mix, prefix_sums, powers, text_buffer, tidy
 
 MIN_N, MAX_N = 4, 5
 BUCKETS = 1 << 18
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[
             weights, bias = _fit(rows.drop_duplicates("grams", keep="first") if len(rows) > limit else rows)
             yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(grams, "doc_id long, toxic int, grams binary")
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(tidy(grams), "doc_id long, toxic int, grams binary")
     model = found.repartition(1).mapInPandas(fit, "weights binary, bias double").collect()
     if not model:
         return np.zeros(BUCKETS, np.float32), 0.0
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out)], names=[*batch.schema.names, "score_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score_ double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
