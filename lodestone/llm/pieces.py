@@ -31,7 +31,9 @@ ALPHA = 1.0
 SEED = 29
 BYTE_WEIGHT = -30.0
 #: Text that is cut at a time; the work arrays take about a hundred times as much.
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
+#: Rows that decoding hands on at a time.
+DECODE_ROWS = 128
 _U = np.uint64
 
 
@@ -249,8 +251,10 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> D
             column = batch.column(at)
             cuts = column.offsets.to_numpy()
             ids = column.values.to_numpy(zero_copy_only=False)
-            texts = [b"".join(map(spelt.__getitem__, ids[a:b].tolist()))[1:].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
+            for i in range(0, batch.num_rows, DECODE_ROWS):
+                own = cuts[i : i + DECODE_ROWS + 1]
+                texts = [b"".join(map(spelt.__getitem__, ids[a:b].tolist()))[1:].decode() for a, b in zip(own, own[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, DECODE_ROWS).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded_ string"
     return encoded.mapInArrow(tidy(run), schema)
