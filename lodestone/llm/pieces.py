@@ -220,25 +220,45 @@ def sample_block(vocab: Vocabulary, texts: list[bytes], keys: np.ndarray) -> lis
     return [out[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def _cut(vocab: Vocabulary, batch: pa.RecordBatch, text: int, key: int) -> Iterator[tuple[int, pa.ListArray]]:
+    """Sampled pieces of a batch, in blocks of whole rows: first row and pieces of each."""
+    data, offsets = text_buffer(batch.column(text))
+    keys = batch.column(key).to_numpy(zero_copy_only=False).view(_U)
+    for i, j in doc_slices(offsets, BLOCK_BYTES):
+        texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
+        made = sample_block(vocab, texts, keys[i:j])
+        cuts = np.r_[0, np.cumsum([len(m) for m in made])].astype(np.int32)
+        yield i, pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(made)))
+
+
+def _spell(vocab: Vocabulary, pieces: pa.ListArray) -> Iterator[tuple[int, pa.Array]]:
+    """Texts that pieces spell, a few rows at a time: first row and texts of each."""
+    cuts, ids = pieces.offsets.to_numpy(), pieces.values.to_numpy(zero_copy_only=False)
+    for i in range(0, len(pieces), DECODE_ROWS):
+        own = cuts[i : i + DECODE_ROWS + 1]
+        texts = [b"".join(map(vocab.bytes.__getitem__, ids[a:b].tolist()))[1:].decode() for a, b in zip(own, own[1:], strict=False)]
+        yield i, pa.array(texts, pa.string())
+
+
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("key_", F.xxhash64(F.lit(seed), "doc_id"))
+
+
+def _ddl(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *more])
+
+
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """docs (with doc_id, text) with the column pieces_, an array of piece ids; the other columns pass through."""
-    keyed = docs.withColumn("key_", F.xxhash64(F.lit(seed), "doc_id"))
-    at = keyed.columns.index("text")
+    text, key = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(at))
-            keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(_U)
-            for i, j in doc_slices(offsets, BLOCK_BYTES):
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
-                made = sample_block(vocab, texts, keys[i:j])
-                cuts = np.r_[0, np.cumsum([len(m) for m in made])].astype(np.int32)
-                pieces = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(made)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pieces], names=[*batch.schema.names[:-1], "pieces_"])
+            for i, pieces in _cut(vocab, batch, text, key):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(pieces)).columns[:key], pieces], names=[*batch.schema.names[:key], "pieces_"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", pieces_ array<int>"
-    return keyed.mapInArrow(tidy(run), schema)
+    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, "pieces_ array<int>"))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> DataFrame:
@@ -246,23 +266,33 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> D
     at = encoded.columns.index(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = vocabulary(model).bytes
+        vocab = vocabulary(model)
+        for batch in batches:
+            for i, texts in _spell(vocab, batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, texts], names=[*batch.schema.names, "decoded_"])
+
+    return encoded.mapInArrow(tidy(run), _ddl(encoded, "decoded_ string"))
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task needs one Python worker and moves each text once."""
+    text, key = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model, alpha)
         for batch in batches:
-            column = batch.column(at)
-            cuts = column.offsets.to_numpy()
-            ids = column.values.to_numpy(zero_copy_only=False)
-            for i in range(0, batch.num_rows, DECODE_ROWS):
-                own = cuts[i : i + DECODE_ROWS + 1]
-                texts = [b"".join(map(spelt.__getitem__, ids[a:b].tolist()))[1:].decode() for a, b in zip(own, own[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, DECODE_ROWS).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded_"])
+            names = [*batch.schema.names[:key], "pieces_", "decoded_"]
+            for i, pieces in _cut(vocab, batch, text, key):
+                for k, texts in _spell(vocab, pieces):
+                    own = batch.slice(i + k, len(texts)).columns[:key]
+                    yield pa.RecordBatch.from_arrays([*own, pieces.slice(k, len(texts)), texts], names=names)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded_ string"
-    return encoded.mapInArrow(tidy(run), schema)
+    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, "pieces_ array<int>", "decoded_ string"))
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Pieces of every document in short: number, digest, and whether decoding gives the text back."""
-    rows = decode(encode(docs.select("doc_id", "text"), model), model)
+    rows = round_trip(docs.select("doc_id", "text"), model)
     return rows.select(
         "doc_id",
         F.size("pieces_").cast("long").alias("n_pieces"),

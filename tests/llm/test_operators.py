@@ -112,6 +112,7 @@ def test_pieces(spark, texts):
     assert all(r.decoded_ == (r.text or "") for r in got)
     again = {r.doc_id: r.pieces_ for r in pieces.encode(docs.repartition(3)).collect()}
     assert again == {r.doc_id: r.pieces_ for r in got}
+    assert sorted(pieces.round_trip(docs).collect(), key=lambda r: r.doc_id) == sorted(got, key=lambda r: r.doc_id)
 
 
 def test_fingerprints(spark, texts):
