@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import events, graph, temporal
+from lodestone.plans import events, graph, temporal, text
+from lodestone.streaming import events as stream
 
-MODULES = (temporal, graph, events)
+MODULES = (temporal, graph, events, text, stream)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
