@@ -37,7 +37,7 @@ def _text(markup: str, g: str) -> str:
         made = f"regexp_replace({made}, '{pattern}', '{put}'{g})"
     for entity, put in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         made = f"replace({made}, '{entity}', '{put}')"
-    return f"SELECT page_id, md5(trim(regexp_replace({made}, '[ \\t\\r\\n]+', ' '{g}))) AS digest, length(trim(regexp_replace({made}, '[ \\t\\r\\n]+', ' '{g}))) AS n_chars FROM {{pages}}"
+    return f"SELECT page_id, md5(trim(regexp_replace({made}, '[ \\t\\r\\n]+', ' '{g}))) AS digest, CAST(length(trim(regexp_replace({made}, '[ \\t\\r\\n]+', ' '{g}))) AS BIGINT) AS n_chars FROM {{pages}}"
 
 
 _BOTH = {
@@ -54,7 +54,7 @@ SELECT p_brand, count(*) AS things, count(*) FILTER (WHERE n = 1) AS single, cou
 SELECT d.lang, count(*) AS documents, count(l.doc_id) AS labelled, count(*) FILTER (WHERE l.doc_id IS NULL) AS unlabelled, count(*) FILTER (WHERE d.text IS NULL OR d.text = '') AS empty
 FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.lang""",
     "agg40_only_in_slice": """
-SELECT l_partkey, count(*) AS mentions FROM {lineitem} GROUP BY l_partkey HAVING count(*) = count(*) FILTER (WHERE l_returnflag = 'N')""",
+SELECT l_orderkey, count(*) AS mentions FROM {lineitem} GROUP BY l_orderkey HAVING count(*) = count(*) FILTER (WHERE l_returnflag = 'N')""",
     "grf02_same_name": """
 SELECT p_brand, norm, min(p_partkey) AS survivor, count(*) AS records FROM (
   SELECT p_partkey, p_brand, trim(lower(p_name)) AS norm FROM {part}) t GROUP BY p_brand, norm HAVING count(*) > 1""",
@@ -83,7 +83,7 @@ near AS (SELECT anchor, o, w FROM a JOIN e ON p = anchor),
 far AS (SELECT anchor, e.p AS key, max(CAST(near.w AS DOUBLE) * CAST(e.w AS DOUBLE)) AS score FROM near JOIN e ON e.o = near.o WHERE e.p <> anchor GROUP BY anchor, e.p)
 SELECT anchor, key, score FROM (SELECT anchor, key, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, key) AS rn FROM far) t WHERE rn <= 25""",
     "win06_top_per_group": """
-SELECT source, doc_id, rn FROM (
+SELECT source, doc_id, CAST(rn AS BIGINT) AS rn FROM (
   SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n_chars DESC, doc_id) AS rn FROM {documents}) t WHERE rn <= 3""",
 }
 _PAIRS = {
