@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, partitions, staged, text_buffer, tidy, word_hashes, words
+from lodestone.llm.common import doc_slices, documents, mix, partitions, row_key, staged, text_buffer, tidy, word_hashes, words
 
 WORDS = 5
 #: Shingles that the wide segment holds on average in the smallest sets of a group, and the least such size.
@@ -94,9 +94,9 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _U(17)).astype(np.int64) & (COUNTERS - 1)
 
 
-_SETS = "doc_id long, n long, cid long, sketch binary, slice int, at binary, hits binary"
+_SETS = "doc_id long, k1 long, k2 int, n long, cid long, sketch binary, slice int, at binary, hits binary"
 _SETS_NAMES = [x.split()[0] for x in _SETS.split(", ")]
-_SETS_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+_SETS_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
 _SLICES = 16
 
 
@@ -116,14 +116,14 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(cid[-1])
                     np.add.at(total, _counter(tokens), 1)
         none = [None] * len(n)
-        columns = [batch.column(0), n, cid, sketch, none, none, none]
+        columns = [batch.column(0), batch.column(2), batch.column(3), n, cid, sketch, none, none, none]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _SETS_TYPES, strict=True)], names=_SETS_NAMES)
     width = COUNTERS // _SLICES
     for k in range(_SLICES):
         own = total[k * width : (k + 1) * width]
         at = np.flatnonzero(own > 1)  # a shingle met once in a task is rare enough to be taken for new
         if len(at):
-            row = [None, None, None, None, k, at.astype(np.uint32).tobytes(), own[at].tobytes()]
+            row = [None, None, None, None, None, None, k, at.astype(np.uint32).tobytes(), own[at].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SETS_TYPES, strict=True)], names=_SETS_NAMES)
 
 
@@ -378,12 +378,13 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     return rows.groupBy("bucket", "block", "other").applyInArrow(_across, "a long, b long").distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id (null without shingles)."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row per document (doc_id, its row's key k1 and k2, n, cid, sketch), and the root of each class that links to others."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    texts = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
     described = staged(texts.mapInArrow(tidy(_describe), _SETS), "shingles")
-    rows = described.where("slice is null").select("doc_id", "n", "cid", "sketch")
+    rows = described.where("slice is null").select("doc_id", "k1", "k2", "n", "cid", "sketch")
     entries = 0.7 * (rows.agg(F.sum("n")).first()[0] or 0)
     parts = int(min(60_000, max(partitions(spark), entries // PART_ENTRIES)))
     counts = spark.sparkContext.broadcast(shingle_counts(described))
@@ -398,26 +399,37 @@ def join(docs: DataFrame) -> DataFrame:
     if rest.limit(1).count():
         more = verify(texts, rest)
         roots = staged(components(staged(links.unionAll(more), "linked")), "roots")
-    named = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    rooted = named.join(roots, named["cid"] == roots["node"], "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = rooted.join(least, "root").select("cid", "component_id")
-    joined = rows.join(of_class, "cid", "left")
+    return rows, roots
+
+
+def _least(rows: DataFrame, roots: DataFrame, value, name: str) -> DataFrame:
+    """Per class (cid) the least value of its whole component."""
+    named = rows.where("n > 0").groupBy("cid").agg(F.min(value).alias("own_"))
+    rooted = named.join(roots, named["cid"] == roots["node"], "left").select("cid", "own_", F.coalesce("root", "cid").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("own_").alias(name)), "root").select("cid", name)
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id (null without shingles)."""
+    rows, roots = _linked(docs)
+    joined = rows.join(_least(rows, roots, F.col("doc_id"), "component_id"), "cid", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cid").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the least doc_id; documents without shingles all stay.
 
-    Of equal doc_ids in a component one row stays; rows with a null doc_id stay, since nothing names them. Only
-    rows that a fixed-size filter suspects of being dropped or repeated are shuffled; the others pass through.
+    A row is known by the hash of its doc_id and text, so rows that share a doc_id are judged each in its own
+    component. Null doc_ids come last; equal doc_ids in a component are told apart by that hash. Only rows that a
+    fixed-size filter suspects of being dropped or repeated are shuffled; the others pass through.
     """
     spark = docs.sparkSession
-    named = join(docs).where("n_shingles > 0 and doc_id is not null")
-    of_id = named.groupBy("doc_id").agg(F.min("component_id").alias("least_"), F.count(F.lit(1)).alias("n_"))
-    special = staged(of_id.where("doc_id <> least_ or n_ > 1").select("doc_id", (F.col("doc_id") != F.col("least_")).alias("drop_")), "dropped")
-    place = F.xxhash64("doc_id")
-    bits = special.groupBy(F.shiftright(place, 6).bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))")).alias("bits")).toPandas()
+    rows, roots = _linked(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    named = rows.where("n > 0").join(_least(rows, roots, order, "best"), "cid")
+    of_row = named.groupBy("k1", "k2").agg(F.max(F.expr("k1 <> best.k1 or k2 <> best.k2")).alias("drop_"), F.count(F.lit(1)).alias("n_"))
+    special = staged(of_row.where("drop_ or n_ > 1").select(F.col("k1").alias("s1_"), F.col("k2").alias("s2_"), "drop_"), "dropped")
+    bits = special.groupBy(F.shiftright("s1_", 6).bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s1_ & 63 as int))")).alias("bits")).toPandas()
     words_ = np.zeros(BLOOM_WORDS, np.int64)
     words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(words_.view(_U))
@@ -430,14 +442,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
             for i in range(0, len(hit), 256):
                 yield marked_.slice(i, 256)
 
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", suspect_ boolean"
-    marked = docs.withColumn("place_", place).mapInArrow(tidy(suspect), schema)
-    clear = marked.where("not suspect_ or doc_id is null").drop("suspect_")
-    doubtful = marked.where("suspect_ and doc_id is not null").drop("suspect_")
-    judged = doubtful.join(special.withColumnRenamed("doc_id", "special_"), F.col("doc_id") == F.col("special_"), "left")
+    marked = docs.withColumn("place_", k1).mapInArrow(tidy(suspect), schema)
+    clear = marked.where("not suspect_").drop("suspect_")
+    doubtful = marked.where("suspect_").drop("suspect_").withColumns({"k1_": k1, "k2_": k2})
+    judged = doubtful.join(special, (F.col("k1_") == F.col("s1_")) & (F.col("k2_") == F.col("s2_")), "left")
     kept = judged.where("drop_ is null or not drop_")
-    once = kept.where("special_ is not null").dropDuplicates(["doc_id"])
-    return clear.unionAll(kept.where("special_ is null").drop("special_", "drop_")).unionAll(once.drop("special_", "drop_"))
+    extra = ("k1_", "k2_", "s1_", "s2_", "drop_")
+    once = kept.where("s1_ is not null").dropDuplicates(["k1_", "k2_"])
+    return clear.unionAll(kept.where("s1_ is null").drop(*extra)).unionAll(once.drop(*extra))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
