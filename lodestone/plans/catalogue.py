@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import events, evidence, graph, records, resolution, temporal, text
+from lodestone.plans import events, evidence, graph, links, records, resolution, temporal, text
 from lodestone.streaming import events as stream
 
-MODULES = (temporal, graph, events, text, resolution, records, evidence, stream)
+MODULES = (temporal, graph, events, text, resolution, records, evidence, links, stream)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
