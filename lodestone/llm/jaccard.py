@@ -15,7 +15,8 @@ From buckets to links. A bucket of equal signatures is joined as a star, not as
 are verified on the whole sets and joined into components. Only buckets that still hold several components are
 looked at again: their members are compared across components by parity sketches, which can never reject a
 pair that links, in blocks of bounded size, and what is left is verified too. So no link between components is
-lost, no bucket is capped, and copies are never expanded into pairs.
+lost, no bucket is capped, and copies are never expanded into pairs. pairs() and link_counts() compare all members
+of a bucket instead, in the same blocks, so they hold every linked pair of classes and not only what components need.
 
 Defined results: null or empty texts have no shingles, size 0, no links and their own doc_id as component;
 fewer than five words are one shingle, the whole sequence; equal rows share a component; a null doc_id takes part
@@ -378,8 +379,8 @@ def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame
     return rows.groupBy("bucket", "block", "other").applyInArrow(_across, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row per document (doc_id, its row's key k1 and k2, n, cid, sketch), and the root of each class that links to others."""
+def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A row per document (doc_id, its row's key k1 and k2, n, cid, sketch); stars, members and classes of the buckets."""
     spark = docs.sparkSession
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     texts = docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
@@ -393,15 +394,48 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = met.where("bucket is null").select("a", "b").distinct()
     members = met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct()
     classes = rows.where("sketch is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    links = staged(verify(texts, stars), "linked")
+    return rows, stars, members, classes
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of _buckets, and the root of each class that links to others."""
+    rows, stars, members, classes = _buckets(docs)
+    links = staged(verify(docs, stars), "linked")
     roots = staged(components(links), "roots")
     rest = staged(_rest(members, classes, roots), "rest")
     if rest.limit(1).count():
-        more = verify(texts, rest)
+        more = verify(docs, rest)
         roots = staged(components(staged(links.unionAll(more), "linked")), "roots")
     return rows, roots
 
 
+def _pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of _buckets, and every pair a < b of classes whose sets link, verified exactly."""
+    rows, stars, members, classes = _buckets(docs)
+    alone = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
+    within = staged(_rest(members, classes, alone), "within")
+    return rows, staged(verify(docs, staged(stars.unionAll(within).distinct(), "candidates")), "pairs")
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """Every linked pair of classes: class_a, class_b and the least doc_id of each; equal sets are one class."""
+    rows, found = _pairs(docs)
+    named = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"))
+    left = named.select(F.col("cid").alias("a"), F.col("doc").alias("doc_a"))
+    right = named.select(F.col("cid").alias("b"), F.col("doc").alias("doc_b"))
+    return found.join(left, "a").join(right, "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "doc_a", "doc_b")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, the other documents that link to it; copies are counted, not expanded."""
+    rows, found = _pairs(docs)
+    sizes = rows.where("n > 0").groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
+    both = found.unionAll(found.select("b", "a"))
+    others = both.join(sizes, both["b"] == sizes["cid"]).groupBy("a").agg(F.sum("copies").alias("others"))
+    total = sizes.join(others, sizes["cid"] == others["a"], "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(total, "cid", "left").select("doc_id", F.col("cid").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def _least(rows: DataFrame, roots: DataFrame, value, name: str) -> DataFrame:
     """Per class (cid) the least value of its whole component."""
     named = rows.where("n > 0").groupBy("cid").agg(F.min(value).alias("own_"))
@@ -456,3 +490,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
+
+
+def pair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(documents(spark, sf_dir))
+
+
+def count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(documents(spark, sf_dir))

@@ -15,5 +15,7 @@ QUERIES = {
     "op6_fingerprints": fingerprint.query,
     "op7_warc_archive": warc.query,
     "op10_toxicity": toxicity.query,
+    "op9_jaccard_pairs": jaccard.pair_query,
+    "op9_jaccard_links": jaccard.count_query,
 }
 ORACLES = {"op7_warc_archive": warc.ORACLE}
