@@ -1,14 +1,21 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document holds a fractional number of copies, target / source size of its source. Within a bucket of
-one source, two documents with fractions are paired; words of probability mass move from one to the other,
-at random but fair odds, until one of them has a whole number of copies. The words expected from the pair do
-not change, so a bucket ends with at most one fractional document. Those residuals meet again in the next
-level of a reduction tree with the same rule; only the single residual left at the root of a source is drawn
-by itself. A source's words therefore miss its target by less than one (small) document.
+Every document holds a fractional number of copies, target / source size of its source. Within a bucket of one
+source, fractions are settled from the largest document down: a document is paired with the pool of all smaller
+ones, and words of probability mass move between the two, at random but fair odds, until the document has a whole
+number of copies; the pool takes up the difference in proportion to what its members can give or take. The words
+expected from a bucket do not change, large documents are settled while many small ones can balance them, and at
+most one fraction, of one of the smallest documents, stays open. Those residuals meet again in the next level of a
+reduction tree with the same rule. Only the residual at the root of a source is drawn by itself. A source that fits one
+bucket may have too few small documents to balance a large one; there the draw is followed by whole copies taken
+from or given to other documents, largest first, as long as they bring the source nearer to its target.
+
+Equal (doc_id, source, size) rows are one entry with a count: their copies are dealt evenly, so that no group of
+repeated rows has to fit a task.
 
 Defined results: null texts have size 0 and take 0 words; a null source is a source of its own, last in the
-order; equal rows are separate documents; an empty table gives no rows; other columns are ignored.
+order; equal rows are separate documents whose copies differ by one at most; an empty table gives no rows; other
+columns are ignored, and apply_mix() passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -17,16 +24,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD_PATTERN, staged
+from lodestone.llm.common import WORD_PATTERN, free_names, staged
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Documents (or residuals) that one task pairs in sequence.
+#: Entries (or residuals) that one task settles in sequence.
 FAN_IN = 2048
 
-_STATE = "doc_id long, source string, size long, source_size long, target double, bucket long, whole long, part double, draw double, open boolean"
+_STATE = "doc_id long, source string, size long, n long, source_size long, target double, most long, bucket long, whole long, part double, draw double, open boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -54,27 +61,36 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "source_size", "n_docs", "target")
 
 
-def _pair_off(g: pd.DataFrame) -> pd.DataFrame:
-    """Pair the fractional documents of one bucket until at most one is left open."""
+def _settle(g: pd.DataFrame) -> pd.DataFrame:
+    """Settle the fractions of one bucket, largest documents first, until at most one is left open."""
     g = g.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    size, part, draw = g["size"].tolist(), g["part"].tolist(), g["draw"].tolist()
-    whole, eps, held = g["whole"].tolist(), 1e-12, -1
-    for i in range(len(g)):
-        if not eps < part[i] < 1 - eps:
+    size, first, draw, eps = g["size"].tolist(), g["part"].tolist(), g["draw"].tolist(), 1e-9
+    whole, part, held = g["whole"].tolist(), list(first), -1
+    # a member of the pool has the part first * scale + shift: what all of them give or take is one step
+    scale, shift = 1.0, 0.0
+    inner = [s > 0 and eps < p < 1 - eps for s, p in zip(size, first, strict=True)]
+    down = sum(s * p for s, p, i in zip(size, first, inner, strict=True) if i)
+    up = sum(s * (1 - p) for s, p, i in zip(size, first, inner, strict=True) if i)
+    for i, s in enumerate(size):
+        if not inner[i]:
             continue
-        if held < 0:
+        p = min(1.0, max(0.0, first[i] * scale + shift))
+        down, up = max(0.0, down - s * p), max(0.0, up - s * (1 - p))
+        if eps < p < 1 - eps:
+            rise, fall = min(1 - p, down / s), min(p, up / s)
+            move = rise if draw[i] * (rise + fall) < fall else -fall
+            p += move
+            if move > 0 and down > 0:
+                keep = max(0.0, 1 - move * s / down)
+                scale, shift = scale * keep, shift * keep
+            elif move < 0 and up > 0:
+                keep = max(0.0, 1 + move * s / up)
+                scale, shift = scale * keep, 1 - (1 - shift) * keep
+            down, up = max(0.0, down - move * s), max(0.0, up + move * s)
+        part[i] = p
+        if eps < p < 1 - eps:  # the pool had too little left to settle it: it is empty now
             held = i
-            continue
-        ratio = size[held] / size[i]
-        up = min(1 - part[held], part[i] / ratio)
-        down = min(part[held], (1 - part[i]) / ratio)
-        move = up if draw[i] * (up + down) < down else -down
-        part[held] += move
-        part[i] -= move * ratio
-        if eps < part[held] < 1 - eps:
-            continue
-        held = i if eps < part[i] < 1 - eps else -1
-    for i in range(len(g)):
+    for i in range(len(size)):
         if i != held:
             whole[i] += round(part[i])
             part[i] = 0.0
@@ -85,60 +101,108 @@ def _pair_off(g: pd.DataFrame) -> pd.DataFrame:
     return g
 
 
+def _close(g: pd.DataFrame) -> pd.DataFrame:
+    """Draw the residual of a source that is one bucket and let whole copies of other documents make up for it."""
+    g = g.copy()
+    took = (g["draw"] < g["part"]) & g["open"]
+    g["whole"] += took.astype("int64")
+    g["part"], g["open"] = 0.0, False
+    size, whole, n, most = g["size"].tolist(), g["whole"].tolist(), g["n"].tolist(), g["most"].tolist()
+    miss = float(sum(s * w for s, w in zip(size, whole, strict=True)) - g["target"].iloc[0])
+    order = g.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable").index
+    for i in order:
+        if size[i] <= 0:
+            continue
+        copies = int((abs(miss) + size[i] / 2) // size[i])
+        copies = min(copies, whole[i]) if miss > 0 else min(copies, n[i] * most[i] - whole[i])
+        if copies > 0:
+            whole[i] += -copies if miss > 0 else copies
+            miss += (-copies if miss > 0 else copies) * size[i]
+    g["whole"] = whole
+    return g
+
+
 def take(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) -> DataFrame:
-    """Copies of each document: doc_id, source, size, source_size, target, copies, taken, key; docs has doc_id, text, source."""
+    """Copies of each document: doc_id, source, size, source_size, target, copies, taken; docs has doc_id, text, source."""
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    return take_sized(rows, seed, fan_in, **plan)
+    entries = take_sized(rows, seed, fan_in, **plan)
+    nth = entries.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return nth.select("doc_id", "source", "size", "source_size", "target", _share().alias("copies"), (_share() * F.col("size")).alias("taken"))
+
+
+def _share() -> Column:
+    """Copies of the nth of n equal rows that have some copies together."""
+    return F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")
 
 
 def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) -> DataFrame:
-    """As take, for rows (doc_id, source, size)."""
-    rows = staged(rows, "sizes")
-    targets = staged(source_targets(rows, **plan), "targets")
+    """One row per distinct (doc_id, source, size) with the number n of such rows and the copies they have together."""
+    rows = staged(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    targets = staged(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), **plan), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     named = F.coalesce(F.col("source"), F.lit(""))
-    sources = targets.select(F.struct(F.col("source").isNull(), named).alias("s"), "source_size", "target", buckets.alias("n"))
+    sources = targets.select(F.struct(F.col("source").isNull(), named).alias("s"), "source_size", "target", buckets.alias("buckets"))
     state = rows.withColumn("s", F.struct(F.col("source").isNull(), named)).join(sources, "s")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / float(1 << 53)
     state = (
-        state.withColumn("rate", rate)
-        .withColumn("bucket", F.expr(f"pmod(xxhash64({seed + 1}, doc_id, size), n)"))
+        state.withColumn("rate", rate * F.col("n"))
+        .withColumn("most", F.ceil(F.least(rate * 2, F.lit(plan.get("cap", CAP)))).cast("long"))
+        .withColumn("bucket", F.expr(f"pmod(xxhash64({seed + 1}, doc_id, size), buckets)"))
         .withColumn("whole", F.floor("rate"))
         .withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
         .withColumn("draw", u)
         .withColumn("open", F.lit(True))
-        .selectExpr("doc_id", "source", "size", "source_size", "target", "bucket", "whole", "part", "draw", "open")
     )
+    single = state.where("buckets = 1").selectExpr(*[x.split()[0] for x in _STATE.split(", ")])
+    state = state.where("buckets > 1").selectExpr(*[x.split()[0] for x in _STATE.split(", ")])
+    out = single.groupBy("source").applyInPandas(lambda g: _close(_settle(g)), _STATE)
     left = (targets.agg(F.max("n_docs")).first()[0] or 0) / fan_in
-    done = []
-    while True:
-        state = staged(state.groupBy("source", "bucket").applyInPandas(_pair_off, _STATE), "mix")
-        done.append(state.where("not open"))
-        state = state.where("open")
-        if left <= 1:
+    while left > 1:  # some source has several buckets
+        state = staged(state.groupBy("source", "bucket").applyInPandas(_settle, _STATE), "mix")
+        out = out.unionByName(state.where("not open"))
+        state = state.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
+        if left <= fan_in:  # the residuals of a source meet in one last bucket
+            state = state.groupBy("source").applyInPandas(_settle, _STATE)
+            out = out.unionByName(state.withColumn("whole", F.col("whole") + (F.col("open") & (F.col("draw") < F.col("part"))).cast("long")))
             break
         left /= fan_in
-        state = state.withColumn("bucket", F.floor(F.col("bucket") / fan_in))
-    last = state.withColumn("whole", F.col("whole") + (F.col("draw") < F.col("part")).cast("long"))
-    out = last
-    for d in done:
-        out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("whole").alias("copies"), (F.col("whole") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "n", "source_size", "target", F.col("whole").alias("copies"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The mixed table itself: each document repeated as often as it is taken, with the columns of docs."""
-    key = ("doc_id", "source", "size", "nth")
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    same = Window.partitionBy("doc_id", "source", "size")
-    left = sized.withColumn("nth", F.row_number().over(same.orderBy("text")))
-    right = take_sized(sized.select("doc_id", "source", "size"), seed).withColumn("nth", F.row_number().over(same.orderBy("copies")))
-    right = right.where("copies > 0").select(*[F.col(c).alias(f"r_{c}") for c in key], F.col("copies").alias("r_copies"))
-    on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in key]
-    joined = left.join(right, on)
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("r_copies").cast("int"))).alias("r_nth")).drop("r_nth")
+    """The mixed table itself: each document repeated as often as it is taken, with the columns of docs, under whatever names.
+
+    Equal rows are counted, and different rows that share doc_id, source and size are ranked in parts by a hash of
+    the whole row, so no window holds a whole group.
+    """
+    size, n, copies, c, salt, own, before, out = free_names(docs, "size", "n", "copies", "c", "salt", "own", "before", "out")
+    entry = take_sized(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), seed)
+    right = entry.where("copies > 0").select(F.col("doc_id").alias("doc_id_"), F.col("source").alias("source_"), F.col("size").alias("size_"), F.col("n").alias(n), F.col("copies").alias(copies))
+    plain = [F.col(f"`{x}`") for x in docs.columns]
+
+    def met(left: str, right: str) -> Column:
+        return F.col(f"l.{left}").eqNullSafe(F.col(f"r.{right}"))
+
+    on = met("doc_id", "doc_id_") & met("source", "source_") & (F.col(f"l.`{size}`") == F.col("r.size_"))
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    joined = sized.alias("l").join(right.alias("r"), on).select("l.*", f"r.`{n}`", f"r.`{copies}`")
+
+    def repeat(rows: DataFrame, times: Column) -> DataFrame:
+        counted = rows.select(*plain, times.cast("int").alias(out)).where(F.col(out) > 0)
+        return counted.select(*plain, F.explode(F.sequence(F.lit(1), F.col(out))).alias(out)).drop(out)
+
+    many = joined.where(F.col(n) > 1).groupBy(*plain, size, n, copies).agg(F.count(F.lit(1)).alias(c))
+    many = staged(many.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(256))), "repeated")
+    key = ["doc_id", "source", size]
+    within = Window.partitionBy(*key, salt).orderBy(F.xxhash64(*plain), *plain)
+    many = many.withColumn(own, F.sum(c).over(within) - F.col(c))
+    heads = many.groupBy(*key, salt).agg(F.sum(c).alias(c))
+    heads = heads.withColumn(before, F.sum(c).over(Window.partitionBy(*key).orderBy(salt)) - F.col(c))
+    same = met("doc_id", "doc_id") & met("source", "source") & (F.col(f"l.`{size}`") == F.col(f"r.`{size}`")) & (F.col(f"l.`{salt}`") == F.col(f"r.`{salt}`"))
+    placed = many.alias("l").join(heads.alias("r"), same).select("l.*", f"r.`{before}`")
+    extra = F.greatest(F.lit(0), F.least(F.col(c), F.col(copies) % F.col(n) - F.col(own) - F.col(before)))
+    return repeat(joined.where(F.col(n) == 1), F.col(copies)).unionAll(repeat(placed, F.col(c) * F.floor(F.col(copies) / F.col(n)) + extra))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

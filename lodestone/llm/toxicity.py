@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, mix, prefix_sums, powers, text_buffer, tidy
+from lodestone.llm.common import crc_mod, doc_slices, documents, free_names, lower_bytes, mix, prefix_sums, powers, text_buffer, tidy
 
 MIN_N, MAX_N = 4, 5
 BUCKETS = 1 << 18
@@ -104,19 +104,20 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
         if parts:
-            rows = pd.concat(parts).sort_values(["doc_id", "grams"], kind="stable")
-            weights, bias = _fit(rows.drop_duplicates("grams", keep="first") if len(rows) > limit else rows)
+            weights, bias = _fit(pd.concat(parts).sort_values("doc_id", kind="stable"))
             yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(tidy(grams), "doc_id long, toxic int, grams binary")
+    # a labelled doc_id may be on many rows: one of its texts teaches, so that the task that fits gets at most limit rows
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = one.mapInArrow(tidy(grams), "doc_id long, toxic int, grams binary")
     model = found.repartition(1).mapInPandas(fit, "weights binary, bias double").collect()
     if not model:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model[0][0], np.float32), model[0][1]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """docs with a column score (0 to 1) for its column text; the other columns pass through."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], as_: str = "score_") -> DataFrame:
+    """docs with a column named as_ (0 to 1) that scores its column text; the other columns pass through, so docs must not have as_."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
     at = docs.columns.index("text")
@@ -130,12 +131,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 for k, own in features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     out[k] = w[own].sum(dtype=np.float64)
                 out = 1 / (1 + np.exp(-np.clip(out + b, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out)], names=[*batch.schema.names, "score_"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(out)], names=[*batch.schema.names, as_])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score_ double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{as_}` double"
     return docs.mapInArrow(tidy(run), schema)
 
 
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The documents that score below 0.5, with the columns of docs, under whatever names."""
+    (name,) = free_names(docs, "score")
+    return score(docs, model, name).where(F.col(name) < 0.5).drop(name)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
