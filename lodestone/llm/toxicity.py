@@ -4,11 +4,12 @@ Each text is the set of its hashed character n-grams (bytes, A-Z lower-cased, MI
 whole text. A feature is scaled by its naive Bayes log-count ratio between toxic and clean training texts; a
 logistic model is fitted to the scaled features and its weights times the ratios are what scoring sums up.
 
-Training reads at most TRAIN_ROWS labelled documents (the bound on what one task holds); they are picked by a
-hash of doc_id among all labelled rows whose crc32(doc_id) mod 5 is not 0, toxic and clean alike.
+Training reads at most TRAIN_ROWS labelled documents (the bound on what one task holds), half of them toxic and half
+clean where there are as many; they are picked by a hash of doc_id among all labelled rows whose crc32(doc_id) mod 5
+is not 0. Both classes weigh the same in the fit, so that 0.5 is the score of a text that fits either class as well.
 
 Defined results: null texts are empty and score what the intercept gives; null labels teach nothing; a doc_id
-that is labelled both ways is left out; without training rows of both classes the score is the smoothed share
+that is labelled both ways is left out; of several texts under one labelled doc_id one teaches; without training rows of both classes the score is the smoothed share
 of toxic labels; equal texts have equal scores; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_mod, doc_slices, documents, free_names, lower_bytes, mix, prefix_sums, powers, text_buffer, tidy
 
-MIN_N, MAX_N = 4, 5
+MIN_N, MAX_N = 3, 5
 BUCKETS = 1 << 18
 TRAIN_ROWS = 6_000
 ROUNDS = 150
@@ -84,7 +85,7 @@ def _fit(rows: pd.DataFrame) -> tuple[np.ndarray, float]:
         fix = 1 - 0.999**t
         w -= rate * m / (np.sqrt(v / fix) + 1e-8)
         b -= rate * mb / (np.sqrt(vb / fix) + 1e-8)
-    return w * ratio / scale, b + float(np.log(positive / (1 - positive)))
+    return w * ratio / scale, b
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
@@ -92,7 +93,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> tuple[
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
-    picked = known.select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(limit).collect()
+    place = (F.xxhash64(F.lit(11), "doc_id"), "doc_id")
+    of = [known.where("(toxic = 1) = " + toxic).select("doc_id", "toxic").orderBy(*place).limit(limit // 2) for toxic in ("true", "false")]
+    picked = of[0].unionAll(of[1]).collect()  # at most limit rows
     chosen = F.broadcast(spark.createDataFrame([(r[0], int(r[1])) for r in picked], "doc_id long, toxic int"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
