@@ -55,6 +55,24 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def merge_tree(rows: DataFrame, key: list[str], merge, schema: str, fan_in: int = 64) -> DataFrame:
+    """merge (an Arrow function of the rows of one key, to rows of the same kind) over rows, in three steps.
+
+    Each task of rows is dealt to one of fan_in**2 groups a key, these to fan_in, these to one; so no task merges
+    what all tasks have sent, unless those are more than fan_in**3.
+    """
+    rows = rows.withColumn("deal", F.spark_partition_id())
+    kept = schema + ", deal int"
+
+    def step(table: pa.Table) -> pa.Table:
+        out = merge(table.drop_columns(["deal"]))
+        return out.append_column("deal", pa.array([table.column("deal")[0].as_py()] * out.num_rows, pa.int32()))
+
+    for groups in (fan_in * fan_in, fan_in):
+        rows = rows.withColumn("deal", F.col("deal") % groups).groupBy(*key, "deal").applyInArrow(step, kept)
+    return rows.drop("deal").groupBy(*key).applyInArrow(merge, schema)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal doc_id modulo modulus; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

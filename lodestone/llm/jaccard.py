@@ -12,11 +12,14 @@ Where a band is large enough to pay for it, one wide segment is indexed with its
 a pair that misses there differs in two places at least, which spares its two costliest segments.
 
 From buckets to links. A bucket of equal signatures is joined as a star, not as all pairs; links of the stars
-are verified on the whole sets and joined into components. Only buckets that still hold several components are
-looked at again: their members are compared across components by parity sketches, which can never reject a
-pair that links, in blocks of bounded size, and what is left is verified too. So no link between components is
-lost, no bucket is capped, and copies are never expanded into pairs. pairs() and link_counts() compare all members
-of a bucket instead, in the same blocks, so they hold every linked pair of classes and not only what components need.
+are verified on the whole sets and joined into components. Buckets that still hold several components are looked at
+again, in rounds: each member names its TOP nearest members of other components by parity sketch, which can never
+reject a pair that links; what is new is verified and the components are joined anew. While some member had more
+candidates than it named, a round follows in which it may name eight times as many, so the work is in proportion to
+the members and to the candidates that must be verified, and no link between components is lost. A sketch has two to
+four bits for each shingle, so it stays selective whatever the length of a text. No bucket is capped and copies are
+never expanded into pairs. pairs() and link_counts() compare all members of a bucket instead, in the same blocks, so
+they hold every linked pair of classes and not only what components need.
 
 Defined results: null or empty texts have no shingles, size 0, no links and their own doc_id as component;
 fewer than five words are one shingle, the whole sequence; equal rows share a component; a null doc_id takes part
@@ -33,18 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, partitions, row_key, staged, text_buffer, tidy, word_hashes, words
+from lodestone.llm.common import doc_slices, documents, free_names, merge_tree, mix, partitions, row_key, staged, text_buffer, tidy, word_hashes, words
+from lodestone.operators.components import components
 
 WORDS = 5
 #: Shingles that the wide segment holds on average in the smallest sets of a group, and the least such size.
 WIDE, WIDE_FROM = 16, 128
 SPARE = 0.6
 COUNTERS = 1 << 20
-SKETCH_WORDS = 16
+#: Least bits of a sketch; candidates that a member of a bucket names in the first round, and their growth by round.
+SKETCH_BITS, TOP, GROWTH = 256, 4, 8
 BLOCK_BYTES = 1 << 20
 #: Signatures that one part of the index holds, and members that one task compares with as many others.
-PART_ENTRIES, PAIR_BLOCK = 750_000, 2048
-BLOOM_WORDS = 1 << 18
+PART_ENTRIES, PAIR_BLOCK = 750_000, 4096
+#: Words of a filter: 16 bits for each key it holds, within these bounds (16 MB at most are broadcast).
+BLOOM_LEAST, BLOOM_MOST = 1 << 12, 1 << 21
 _U = np.uint64
 
 
@@ -85,10 +91,16 @@ def set_id(tokens: np.ndarray) -> np.int64:
         return mix(np.array([mix(tokens + _U(0x51ED270B)).sum(dtype=_U) + _U(len(tokens))])).view(np.int64)[0]
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n shingles: a power of two, from 2n up."""
+    return max(SKETCH_BITS, 1 << (2 * n - 1).bit_length())
+
+
 def parity(tokens: np.ndarray) -> bytes:
     """Parity sketch: each shingle flips one bit, so sets that differ in d shingles differ in at most d bits."""
-    bit = (mix(tokens ^ _U(0xA5A5A5A5)) % _U(64 * SKETCH_WORDS)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).tobytes()
+    width = sketch_bits(len(tokens))
+    bit = (mix(tokens ^ _U(0xA5A5A5A5)) & _U(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
 def _counter(tokens: np.ndarray) -> np.ndarray:
@@ -142,7 +154,7 @@ def shingle_counts(described: DataFrame) -> np.ndarray:
     rows = described.where("slice is not null").select("slice", "at", "hits")
     total = np.zeros(COUNTERS, np.uint32)
     width = COUNTERS // _SLICES
-    for r in rows.groupBy("slice").applyInArrow(_add_up, "slice int, at binary, hits binary").collect():
+    for r in merge_tree(rows, ["slice"], _add_up, "slice int, at binary, hits binary").collect():
         total[r["slice"] * width + np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["hits"], np.uint32)
     return total
 
@@ -243,7 +255,7 @@ def _index(parts: int, counts):
                     sig, owner = signatures(sets, counts.value)
                     part = (sig % _U(parts)).astype(np.int64)
                     sig = sig // _U(parts)
-                    order = np.argsort(part.astype(np.uint16), kind="stable")
+                    order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
                     part, sig, owner = part[order], sig[order], owner[order].astype(np.uint16)
                     cut = np.searchsorted(part, np.arange(parts + 1))
                     listed = np.array(ids, np.int64)
@@ -302,7 +314,7 @@ def _sets_of(bloom):
                 ids, sets = [], []
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
                     c = int(set_id(s)) if len(s) else None
-                    if c is not None and c not in seen and wanted[(c >> 6) & (BLOOM_WORDS - 1)] >> _U(c & 63) & _U(1):
+                    if c is not None and c not in seen and wanted[(c >> 6) & (len(wanted) - 1)] >> _U(c & 63) & _U(1):
                         seen.add(c)
                         ids.append(c)
                         sets.append(s.view(np.int64))
@@ -313,70 +325,102 @@ def _sets_of(bloom):
     return run
 
 
+def _filter(keys: DataFrame, name: str):
+    """A broadcast filter over the long column name of keys (distinct, materialised), sized by their number."""
+    size = BLOOM_LEAST
+    while size < BLOOM_MOST and 64 * size < 16 * keys.count():
+        size *= 4
+    place = F.shiftright(name, 6).bitwiseAND(F.lit(size - 1)).alias("w")
+    filled = keys.groupBy(place).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toPandas()  # at most BLOOM_MOST rows
+    words_ = np.zeros(size, np.int64)
+    words_[filled["w"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(words_.view(_U))
+
+
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of class ids whose whole sets link."""
-    spark = docs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    bits = needed.groupBy(F.shiftright("cid", 6).bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cid & 63 as int))")).alias("bits"))
-    filled = bits.toPandas()  # at most BLOOM_WORDS rows
-    words_ = np.zeros(BLOOM_WORDS, np.int64)
-    words_[filled["w"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(words_.view(_U))
-    sets = docs.select("text").mapInArrow(tidy(_sets_of(shared)), "cid long, tokens array<long>")
-    sets = staged(sets.join(needed.distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "needed")
+    sets = docs.select("text").mapInArrow(tidy(_sets_of(_filter(needed, "cid"))), "cid long, tokens array<long>")
+    sets = staged(sets.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): node, root, by alternating large and small stars."""
-    edges = staged(links.select("a", "b").distinct(), "links")
-    while True:
-        both = edges.unionAll(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).selectExpr("b AS u", "m AS v").where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-        small = down.join(least, F.col("u") == F.col("k")).select(F.explode(F.expr("array(named_struct('a', u, 'b', m), named_struct('a', v, 'b', m))")).alias("e"))
-        after = staged(small.select("e.*").toDF("a", "b").where("a <> b").distinct(), "links")
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
-            break
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
-
-
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block of a bucket, in different components, that the sizes and parity sketches allow."""
-    cols = {c: table.column(c).to_numpy() for c in ("cid", "root", "n", "mine", "block", "other")}
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(-1, SKETCH_WORDS)
-    left = np.flatnonzero(cols["mine"] == cols["block"])
-    right = np.flatnonzero(cols["mine"] == cols["other"])
-    a, b = [], []
-    for i in left:
-        n, k = cols["n"][i], cols["n"][right]
-        near = right[(cols["root"][right] != cols["root"][i]) & (4 * np.minimum(n, k) >= 3 * np.maximum(n, k)) & ((cols["cid"][right] > cols["cid"][i]) | (cols["block"][i] != cols["other"][i]))]
-        if len(near):
-            differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1)
-            near = near[differ <= (n + cols["n"][near]) // 7]
-            a.append(np.minimum(cols["cid"][near], cols["cid"][i]))
-            b.append(np.maximum(cols["cid"][near], cols["cid"][i]))
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    return pa.table([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
-
-
-def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of buckets (bucket, cid, k) that lie in different components."""
+def _rooted(links: DataFrame) -> DataFrame:
+    """The root of each class that links to others: node, root."""
+    return staged(components(links, "a", "b").withColumnRenamed("component", "root"), "roots")
+
+
+def _sketches(column, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: the place of each member that has or folds to it, and the sketches; equal bits fold by exclusive or."""
+    width = np.array([sketch_bits(int(x)) for x in n])
+    rows: dict = {}
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        bits = np.frombuffer(b"".join(column[int(i)].as_py() for i in own), np.uint8).reshape(len(own), w // 8)
+        rows.setdefault(w, []).append((own, bits))
+        if w > SKETCH_BITS:
+            rows.setdefault(w // 2, []).append((own, bits[:, : w // 16] ^ bits[:, w // 16 :]))
+    out = {}
+    for w, parts in rows.items():
+        own, bits = np.concatenate([o for o, _ in parts]), np.concatenate([b for _, b in parts])
+        where = np.full(len(n), -1)
+        where[own] = np.arange(len(own))
+        out[int(w)] = where, np.ascontiguousarray(bits).view(_U)
+    return out
+
+
+def _across(top: int | None):
+    """Per member of one block of a bucket its top nearest members (all, if None) in other components that sizes and sketches allow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_numpy() for c in ("cid", "root", "n", "mine", "block", "other")}
+        n, cid, root = cols["n"], cols["cid"], cols["root"]
+        bits = _sketches(table.column("sketch"), n)
+        width = {int(x): sketch_bits(int(x)) for x in np.unique(n)}
+        right = np.flatnonzero(cols["mine"] == cols["other"])
+        right = right[np.argsort(n[right], kind="stable")]
+        a, b, more = [], [], False
+        for i in np.flatnonzero(cols["mine"] == cols["block"]):
+            lo, hi = np.searchsorted(n[right], [-(-3 * n[i] // 4), 4 * n[i] // 3 + 1])
+            near = right[lo:hi]
+            near = near[root[near] != root[i]]
+            if cols["block"][i] == cols["other"][i]:
+                near = near[cid[near] > cid[i]]
+            if not len(near):
+                continue
+            own, differ = width[int(n[i])], np.empty(len(near), np.int64)
+            others = np.array([width[int(x)] for x in n[near]])
+            for w in np.unique(others):
+                at = np.flatnonzero(others == w)
+                place, rows = bits[int(min(w, own))]
+                differ[at] = np.bitwise_count(rows[place[near[at]]] ^ rows[place[i]]).sum(1)
+            allowed = differ <= (n[i] + n[near]) // 7
+            near, differ = near[allowed], differ[allowed]
+            if top is not None and len(near) > top:
+                more = True
+                near = near[np.lexsort((cid[near], differ))[:top]]
+            a.append(np.minimum(cid[near], cid[i]))
+            b.append(np.maximum(cid[near], cid[i]))
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+        found = [pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64)), pa.array(np.full(pairs.shape[1], more))]
+        return pa.table(found, names=["a", "b", "more"])
+
+    return run
+
+
+def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, top: int | None) -> DataFrame:
+    """Candidate pairs (a, b) of the buckets (bucket, cid, k) in different components; more: some member had more than top."""
     rooted = members.join(roots, members["cid"] == roots["node"], "left").select("bucket", "cid", "k", F.coalesce("root", "cid").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
     rows = rooted.join(mixed, "bucket", "left_semi").join(classes, "cid")
     blocks = F.ceil(F.col("k") / PAIR_BLOCK).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("block", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
-    return rows.groupBy("bucket", "block", "other").applyInArrow(_across, "a long, b long").distinct()
+    found = rows.groupBy("bucket", "block", "other").applyInArrow(_across(top), "a long, b long, more boolean")
+    return staged(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest")
 
 
 def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -387,7 +431,7 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     described = staged(texts.mapInArrow(tidy(_describe), _SETS), "shingles")
     rows = described.where("slice is null").select("doc_id", "k1", "k2", "n", "cid", "sketch")
     entries = 0.7 * (rows.agg(F.sum("n")).first()[0] or 0)
-    parts = int(min(60_000, max(partitions(spark), entries // PART_ENTRIES)))
+    parts = int(min(1 << 20, max(partitions(spark), entries // PART_ENTRIES)))
     counts = spark.sparkContext.broadcast(shingle_counts(described))
     packed = texts.select("text").mapInArrow(tidy(_index(parts, counts)), "part int, ids binary, place binary, low binary, high binary")
     met = staged(packed.groupBy("part").applyInArrow(_meet, "a long, b long, bucket long"), "met")
@@ -400,20 +444,24 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of _buckets, and the root of each class that links to others."""
     rows, stars, members, classes = _buckets(docs)
-    links = staged(verify(docs, stars), "linked")
-    roots = staged(components(links), "roots")
-    rest = staged(_rest(members, classes, roots), "rest")
-    if rest.limit(1).count():
-        more = verify(docs, rest)
-        roots = staged(components(staged(links.unionAll(more), "linked")), "roots")
-    return rows, roots
+    links, tested, top = staged(verify(docs, stars), "linked"), stars, TOP
+    roots = _rooted(links)
+    while True:
+        rest = _rest(members, classes, roots, top)
+        fresh = staged(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        if fresh.limit(1).count():
+            links = staged(links.unionAll(verify(docs, fresh)), "linked")
+            roots, tested = _rooted(links), tested.unionAll(fresh)
+        if not rest.where("more").limit(1).count():
+            return rows, roots
+        top *= GROWTH
 
 
 def _pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of _buckets, and every pair a < b of classes whose sets link, verified exactly."""
     rows, stars, members, classes = _buckets(docs)
     alone = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
-    within = staged(_rest(members, classes, alone), "within")
+    within = _rest(members, classes, alone, None).select("a", "b")
     return rows, staged(verify(docs, staged(stars.unionAll(within).distinct(), "candidates")), "pairs")
 
 
@@ -461,31 +509,29 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows, roots = _linked(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     named = rows.where("n > 0").join(_least(rows, roots, order, "best"), "cid")
-    of_row = named.groupBy("k1", "k2").agg(F.max(F.expr("k1 <> best.k1 or k2 <> best.k2")).alias("drop_"), F.count(F.lit(1)).alias("n_"))
-    special = staged(of_row.where("drop_ or n_ > 1").select(F.col("k1").alias("s1_"), F.col("k2").alias("s2_"), "drop_"), "dropped")
-    bits = special.groupBy(F.shiftright("s1_", 6).bitwiseAND(F.lit(BLOOM_WORDS - 1)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s1_ & 63 as int))")).alias("bits")).toPandas()
-    words_ = np.zeros(BLOOM_WORDS, np.int64)
-    words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(words_.view(_U))
-
-    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of_row = named.groupBy("k1", "k2").agg(F.max(F.expr("k1 <> best.k1 or k2 <> best.k2")).alias("drop"), F.count(F.lit(1)).alias("n"))
+    special = staged(of_row.where("drop or n > 1").select("k1", "k2", "drop"), "dropped")
+    shared = _filter(special, "k1")
+    place, suspect, h1, h2, drop = free_names(docs, "place", "suspect", "h1", "h2", "drop")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(batch.num_columns - 1).to_numpy().view(_U)
-            hit = shared.value[((h >> _U(6)) & _U(BLOOM_WORDS - 1)).astype(np.int64)] >> (h & _U(63)) & _U(1)
-            marked_ = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit.astype(bool))], names=[*batch.schema.names[:-1], "suspect_"])
+            h, filled = batch.column(batch.num_columns - 1).to_numpy().view(_U), shared.value
+            hit = filled[((h >> _U(6)) & _U(len(filled) - 1)).astype(np.int64)] >> (h & _U(63)) & _U(1)
+            marked_ = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hit.astype(bool))], names=[*batch.schema.names[:-1], suspect])
             for i in range(0, len(hit), 256):
                 yield marked_.slice(i, 256)
 
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", suspect_ boolean"
-    marked = docs.withColumn("place_", k1).mapInArrow(tidy(suspect), schema)
-    clear = marked.where("not suspect_").drop("suspect_")
-    doubtful = marked.where("suspect_").drop("suspect_").withColumns({"k1_": k1, "k2_": k2})
-    judged = doubtful.join(special, (F.col("k1_") == F.col("s1_")) & (F.col("k2_") == F.col("s2_")), "left")
-    kept = judged.where("drop_ is null or not drop_")
-    extra = ("k1_", "k2_", "s1_", "s2_", "drop_")
-    once = kept.where("s1_ is not null").dropDuplicates(["k1_", "k2_"])
-    return clear.unionAll(kept.where("s1_ is null").drop(*extra)).unionAll(once.drop(*extra))
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{suspect}` boolean"
+    marked = docs.withColumn(place, k1).mapInArrow(tidy(marks), schema)
+    clear = marked.where(~F.col(suspect)).drop(suspect)
+    doubtful = marked.where(F.col(suspect)).drop(suspect).withColumns({h1: k1, h2: k2})
+    of = special.select(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("drop").alias(drop))
+    kept = doubtful.join(of, [h1, h2], "left").where(F.col(drop).isNull() | ~F.col(drop)).select(*[F.col(f"`{c}`") for c in docs.columns], h1, h2, drop)
+    alone = kept.where(F.col(drop).isNull())
+    once = kept.where(F.col(drop).isNotNull()).dropDuplicates([h1, h2])
+    return clear.unionAll(alone.drop(h1, h2, drop)).unionAll(once.drop(h1, h2, drop))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_slices, documents, mix, prefix_sums, span_hash, text_buffer, tidy
+from lodestone.llm.common import doc_slices, documents, free_names, mix, prefix_sums, span_hash, text_buffer, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -241,7 +241,7 @@ def _spell(vocab: Vocabulary, pieces: pa.ListArray) -> Iterator[tuple[int, pa.Ar
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    return docs.withColumn("key_", F.xxhash64(F.lit(seed), "doc_id"))
+    return docs.withColumn(free_names(docs, "key")[0], F.xxhash64(F.lit(seed), "doc_id"))
 
 
 def _ddl(df: DataFrame, *more: str) -> str:
@@ -249,45 +249,48 @@ def _ddl(df: DataFrame, *more: str) -> str:
 
 
 def encode(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """docs (with doc_id, text) with the column pieces_, an array of piece ids; the other columns pass through."""
+    """docs (with doc_id, text) with one more column, an array of piece ids: pieces_, or pieces__ and so on if docs has that name."""
     text, key = docs.columns.index("text"), len(docs.columns)
+    (as_,) = free_names(docs, "pieces_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for batch in batches:
             for i, pieces in _cut(vocab, batch, text, key):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(pieces)).columns[:key], pieces], names=[*batch.schema.names[:key], "pieces_"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(pieces)).columns[:key], pieces], names=[*batch.schema.names[:key], as_])
 
-    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, "pieces_ array<int>"))
+    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, f"`{as_}` array<int>"))
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces: str = "pieces_") -> DataFrame:
-    """encoded with the column decoded_, the text that its pieces spell."""
+    """encoded with one more column, the text that its pieces spell: decoded_, or decoded__ and so on if that name is taken."""
     at = encoded.columns.index(pieces)
+    (as_,) = free_names(encoded, "decoded_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
             for i, texts in _spell(vocab, batch.column(at)):
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, texts], names=[*batch.schema.names, "decoded_"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(texts)).columns, texts], names=[*batch.schema.names, as_])
 
-    return encoded.mapInArrow(tidy(run), _ddl(encoded, "decoded_ string"))
+    return encoded.mapInArrow(tidy(run), _ddl(encoded, f"`{as_}` string"))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
     """decode(encode(docs)) in one pass, so that a task needs one Python worker and moves each text once."""
     text, key = docs.columns.index("text"), len(docs.columns)
+    pieces_, decoded_ = free_names(docs, "pieces_", "decoded_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model, alpha)
         for batch in batches:
-            names = [*batch.schema.names[:key], "pieces_", "decoded_"]
+            names = [*batch.schema.names[:key], pieces_, decoded_]
             for i, pieces in _cut(vocab, batch, text, key):
                 for k, texts in _spell(vocab, pieces):
                     own = batch.slice(i + k, len(texts)).columns[:key]
                     yield pa.RecordBatch.from_arrays([*own, pieces.slice(k, len(texts)), texts], names=names)
 
-    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, "pieces_ array<int>", "decoded_ string"))
+    return _keyed(docs, seed).mapInArrow(tidy(run), _ddl(docs, f"`{pieces_}` array<int>", f"`{decoded_}` string"))
 
 
 def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -6,21 +6,20 @@ read_archive joins them back; a payload counts only if its bytes hash to the dig
 
 Defined results: a null payload is empty; a null url gives an empty target; CR and LF in a url are
 percent-encoded, since a header line cannot hold them; equal page_ids with equal payloads are both the
-response if theirs is the largest; a null page_id is smaller than any other and named "none"; an empty table
+response if theirs is the largest; records carry one WARC-Date, a parameter, since pages have none; a null page_id is smaller than any other and named "none"; an empty table
 gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.sources.storage import fresh_folder
 
 #: Payloads below this many bytes are always written in full records.
 REVISIT_BYTES = 1000
+DATE, CONTENT_TYPE = "2024-01-01T00:00:00Z", "text/html; charset=utf-8"
 EOL = "\r\n"
 
 
@@ -32,7 +31,7 @@ def _name(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def header(page_id: Column, url: Column, sha1: Column, size: Column, kind: Column, refers_to: Column) -> Column:
+def header(page_id: Column, url: Column, sha1: Column, size: Column, kind: Column, refers_to: Column, date: str = DATE) -> Column:
     """Exact WARC/1.1 header bytes; a revisit has an empty block and names the record that holds the payload."""
     target = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = kind == "revisit"
@@ -40,10 +39,12 @@ def header(page_id: Column, url: Column, sha1: Column, size: Column, kind: Colum
         F.lit("WARC/1.1" + EOL),
         _field("WARC-Type", kind),
         _field("WARC-Record-ID", _name(page_id)),
+        _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", target),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(revisit, _field("WARC-Refers-To", _name(refers_to))).otherwise(""),
         F.when(revisit, _field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
+        F.when(revisit, "").otherwise(_field("Content-Type", F.lit(CONTENT_TYPE))),
         _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(size).cast("string")),
         F.lit(EOL),
     ).cast("binary")
@@ -84,7 +85,7 @@ def record_bytes(header: Column, block: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
-    path = f"{shared_dir(spark)}/lodestone/warc-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "warc")
     write_archive(pages, path)
     rec = read_archive(spark, path)
     text = F.decode("header", "UTF-8")
