@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near duplicates, personal data, source mix, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
-Repeated rows are separate documents except to the near-duplicate stage, which keeps one of each group.
+Repeated rows are separate documents except to the near-duplicate stage, which keeps one of each group. Columns
+beside those of documents pass through under any name; a stage of an empty table is empty.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from lodestone.llm.common import documents, staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below 0.5; null and empty texts are scored like any other."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score_ < 0.5").drop("score_")
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +25,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with every span of personal data replaced by its kind."""
+    """The same documents with every span of personal data replaced by its kind; null texts stay null, repeated rows stay repeated."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice; null and empty texts have size 0 and stay once or less, equal rows differ by one copy at most."""
     return mixing.apply_mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document the number and digest of its sampled pieces, and proof that they decode to its text."""
+    """Per document the number and digest of its sampled pieces, and proof that they decode to its text; a null text is empty."""
     return pieces.digest(docs)
 
 
