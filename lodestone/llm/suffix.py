@@ -1,22 +1,27 @@
-"""Suffix-array dedup: a logarithmic family of sorted suffix indexes.
-
-Every byte is removed that a LENGTH-byte string covers which also starts elsewhere in the corpus. A suffix
-array of all bytes would be several times the corpus, so the arrays are sparse: each LENGTH-byte window picks
-the suffix at its least hashed SEED-byte string (its anchor). The choice depends on the window's bytes alone,
-so equal windows pick the same place, and one suffix in about eighty is enough to find every repeat.
-
-New batches of documents get their suffixes sorted by the fingerprint of the leading SEED bytes and then of the
-whole stretch that the anchor's windows cover. A batch's array is merge-scanned against every level of the
-index and against itself; equal stretches are repeats at once, equal seeds in unequal stretches are kept as
-edges. The batch then enters level 0, and levels of equal rank merge as in a binary counter. At the end the
-windows around edges, few of all, are compared one by one by their own fingerprints.
-
-All arrays travel packed, split by fingerprint; equal stretches collapse within a task before they are
-shuffled and within a level. Fingerprints have 64 bits; rows are known by 64 bits of doc_id and text.
-
-Defined results: null texts are empty; texts shorter than LENGTH lose nothing; overlapping and adjacent repeats
-are judged on the input; equal rows count as each other's repeat; an empty table gives no rows; other columns
-are ignored.
+"""Suffix-array dedup: a logarithmic family of sparse suffix arrays, sorted by bytes and merge-scanned.
+
+Every byte is removed that a LENGTH-byte string (a window) covers which also starts elsewhere in the corpus. A suffix
+array of all bytes would be several times the corpus, so the arrays are sparse: each window picks the suffix at
+its least hashed SEED-byte string (its anchor). The choice depends on the window's bytes alone, so equal windows
+pick the same place, and one suffix in about seventy is enough to find every repeat. An anchor stands for a stretch:
+all windows that picked it. Its entry holds the stretch's bytes, the suffix from the anchor on first, then what
+precedes the anchor.
+
+Texts come in batches. The entries of a batch are sorted by their bytes: that is its suffix array. It is scanned
+against itself and against every level of the index in order of the suffixes: equal entries are repeats as a whole;
+entries with SEED common bytes at the anchor and unequal stretches are compared window by window, where candidates
+come from prefix sums along the aligned bytes and count only if all LENGTH bytes agree. The batch then enters level 0,
+and levels of equal rank merge as in a binary counter. Entries are dealt to parts by a hash of the seed, and each
+part holds a family of its own. The query deals the corpus to BATCHES batches; extend() adds a batch to an index that
+lives on as a table.
+
+With a whole corpus at hand a first pass counts seeds, and a filter of those that are there twice keeps suffixes
+that cannot repeat from being shuffled; it has 16 bits a seed, FILTER_MOST words at most, and what it lets through
+in vain only costs time. Equal stretches collapse within a task before they are shuffled, and within a level.
+
+Rows are known by 64 bits of doc_id and text. Defined results: null texts are empty; texts shorter than LENGTH lose
+nothing; overlapping and adjacent repeats are judged on the input; equal rows count as each other's repeat; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,29 +37,35 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import doc_slices, documents, mix, partitions, powers, prefix_sums, span_hash, staged, text_buffer, tidy
 
 LENGTH, SEED = 200, 40
-#: Batches that the corpus is dealt to; an index that lives on takes each arrival as one batch.
-BATCHES = 2
-PART_ENTRIES = 500_000
-BLOOM_WORDS = 1 << 20
+BACK = LENGTH - SEED  # most bytes of a stretch before its anchor
+#: Bytes of an entry: the suffix from the anchor, the number of windows, the bytes before the anchor, and these bytes.
+WIDTH = LENGTH + 2 + BACK
+#: Batches that the corpus is dealt to.
+BATCHES = 8
+#: Anchors to a part of the index and to a part of the seed counts, entries that a task collapses at once, windows compared at once.
+PART_ANCHORS, COUNT_ANCHORS, HELD, WINDOWS = 64_000, 4_000_000, 50_000, 1 << 20
+FILTER_LEAST, FILTER_MOST = 1 << 12, 1 << 21
 _PLACE = 28  # bits of a place within a block
 _U = np.uint64
-_FIELDS = (("key", _U), ("ctx", _U), ("row", np.int64), ("at", np.uint32), ("wins", np.uint8))
-_RUN = "part int, level int, " + ", ".join(f"{f} binary" for f, _ in _FIELDS)
+_KEY = f"S{WIDTH}"
+_FIELDS = (("key", _KEY), ("row", np.int64), ("at", np.uint32), ("wins", np.uint8), ("full", np.uint8))
+_RUN = "part long, level int, " + ", ".join(f"{f} binary" for f, _ in _FIELDS)
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
-REPEATS, EDGES, FRESH = -2, -3, -1
+#: Levels of rows that are not part of the index: found repeats, and fresh entries of batch b as FRESH - b.
+REPEATS, FRESH = -1, -2
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each anchor: its document, first window, number of windows, seed and stretch fingerprints; and all window starts' prefix sums."""
+    """For each anchor: its document, first window, number of windows, bytes before it, and fingerprints of seed and stretch."""
     n = len(data)
-    sums = prefix_sums(data)
     none = np.zeros(0, np.int64)
+    empty = (none, none, none, none, none.astype(_U), none.astype(_U))
     if n < LENGTH:
-        return none, none, none, none.astype(_U), none.astype(_U), sums
-    _, down = powers(n + 1)
+        return empty
+    sums, (_, down) = prefix_sums(data), powers(n + 1)
     seed = mix((sums[SEED:] - sums[:-SEED]) * down[: n + 1 - SEED])
     least = seed >> _U(_PLACE) << _U(_PLACE) | np.arange(len(seed), dtype=_U)
-    span, reach = LENGTH - SEED + 1, 1
+    span, reach = BACK + 1, 1
     while reach * 2 <= span:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
@@ -66,123 +77,265 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = start + LENGTH <= offsets[doc + 1]
     start, doc, place = start[inside], doc[inside], place[inside]
     if not len(start):
-        return none, none, none, none.astype(_U), none.astype(_U), sums
-    new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
-    head = np.flatnonzero(new)
+        return empty
+    head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
     wins = np.diff(np.r_[head, len(start)])
-    first, at, owner = start[head], place[head], doc[head]
+    first, at = start[head], place[head]
     ctx = mix(span_hash(sums, first, first + wins - 1 + LENGTH) + (at - first).astype(_U) * _U(0xC2B2AE3D27D4EB4F) + wins.astype(_U))
-    return owner, first, wins, seed[at], ctx, sums
+    return doc[head], first, wins, at - first, seed[at], ctx
+
+
+def entry_bytes(data: np.ndarray, first: np.ndarray, wins: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """The entries of anchors, WIDTH bytes each; in byte order they are in order of their suffixes."""
+    out = np.zeros((len(first), WIDTH), np.uint8)
+    anchor, last = (first + back)[:, None], len(data) - 1
+    ahead = anchor + np.arange(LENGTH)
+    out[:, :LENGTH] = np.where(ahead < (first + wins - 1 + LENGTH)[:, None], data[np.minimum(ahead, last)], 0)
+    out[:, LENGTH], out[:, LENGTH + 1] = wins, back
+    behind = anchor + np.arange(-BACK, 0)
+    out[:, LENGTH + 2 :] = np.where(behind >= first[:, None], data[np.maximum(behind, 0)], 0)
+    return out
 
 
 def _row(part: int, level: int, arrays: dict) -> tuple:
-    return (part, level, *(np.ascontiguousarray(arrays[f], t).tobytes() if f in arrays else None for f, t in _FIELDS))
+    return (part, level, *(np.ascontiguousarray(arrays[f]).astype(t, copy=False).tobytes() if f in arrays else None for f, t in _FIELDS))
 
 
 def _batch_of(rows: list[tuple], kind):
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_RUN_NAMES)
-    return kind.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * len(_FIELDS)), strict=True)], names=_RUN_NAMES)
+    return kind.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * len(_FIELDS)), strict=True)], names=_RUN_NAMES)
 
 
-def _repeats(part: int, row: np.ndarray, at: np.ndarray, wins: np.ndarray) -> tuple:
-    return _row(part, REPEATS, {"row": row, "at": at, "wins": wins})
+def _parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and the places that have it."""
+    order = np.argsort(part, kind="stable")
+    head = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]][: len(part)])
+    for a, b in zip(head, [*head[1:], len(part)], strict=True):
+        yield int(part[order[a]]), order[a:b]
 
 
-def _suffixes(parts: int):
-    """Fresh suffixes by part; of stretches that a task meets twice, one stays and all are repeats."""
+def _seeds(parts: int):
+    """Distinct seeds of each block of texts by part; one that is there twice is sent twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, offsets = text_buffer(batch.column(1))
-            held: list[tuple] = []
-            for i, j in doc_slices(offsets, 1 << 19):
-                owner, first, wins, key, ctx, _ = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = first - (offsets[i : j + 1] - offsets[i])[owner]
-                held.append((key, ctx, ids[i + owner], at, wins))
-            if not held:
-                continue
-            key, ctx, row, at, wins = (np.concatenate(c) for c in zip(*held, strict=True))
-            _, kept, inverse, n = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
-            again = n[inverse] > 1
-            rows = [_repeats(int(row[again][0] % parts), row[again], at[again], wins[again])] if again.any() else []
-            key, ctx, row, at, wins = (x[kept] for x in (key, ctx, row, at, wins))
-            part = (key % _U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                own = order[x:y]
-                if y > x:
-                    rows.append(_row(p, FRESH, {"key": key[own], "ctx": ctx[own], "row": row[own], "at": at[own], "wins": wins[own]}))
-            yield _batch_of(rows, pa.RecordBatch)
+            data, offsets = text_buffer(batch.column(0))
+            for i, j in doc_slices(offsets, 4 << 20):
+                seeds = [anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[4] for a, b in ((i + x, i + y) for x, y in doc_slices(offsets[i : j + 1] - offsets[i]))]
+                unique, n = np.unique(np.concatenate(seeds), return_counts=True)
+                seeds = np.concatenate([unique, unique[n > 1]])
+                rows = [(p, seeds[own].tobytes()) for p, own in _parted((seeds % _U(parts)).astype(np.int64))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["part", "seeds"])
 
     return run
 
 
-def _load(table: pa.Table) -> list[tuple[int, dict]]:
-    out = []
-    for values in zip(*(table.column(c) for c in ["level", *(f for f, _ in _FIELDS)]), strict=True):
-        out.append((values[0].as_py(), {f: np.frombuffer(v.as_buffer() if v.is_valid else b"", t) for (f, t), v in zip(_FIELDS, values[1:], strict=True)}))
-    return out
+def _twice(table: pa.Table) -> pa.Table:
+    unique, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in table.column("seeds")]), return_counts=True)
+    found = unique[n > 1]
+    return pa.table([pa.array([found.tobytes()]), pa.array([len(found)], pa.int64())], names=["seeds", "n"])
 
 
-def _sorted(runs: list[dict]) -> dict:
-    """One run from several, in order of seed and stretch."""
-    all_ = {f: np.concatenate([r[f] for r in runs]) for f, _ in _FIELDS}
-    order = np.lexsort((all_["ctx"], all_["key"]))
-    return {f: v[order] for f, v in all_.items()}
+def _filter(found: DataFrame):
+    """A broadcast filter of the packed seeds (seeds, n) of found."""
+    n, size = found.agg(F.sum("n")).first()[0] or 0, FILTER_LEAST
+    while size < FILTER_MOST and 64 * size < 16 * n:
+        size *= 2
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_ = np.zeros(size, _U)
+        for batch in batches:
+            for seeds in batch.column(0):
+                _mark(words_, np.frombuffer(seeds.as_buffer(), _U))
+        at = np.flatnonzero(words_)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words_[at].view(np.int64))], names=["w", "bits"])
+
+    bits = found.select("seeds").mapInArrow(tidy(fill), "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most FILTER_MOST rows
+    words_ = np.zeros(size, np.int64)
+    words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return found.sparkSession.sparkContext.broadcast(words_.view(_U))
+
+
+def _bits(seeds: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for shift in (0, 32):
+        h = (seeds >> _U(shift)) & _U(64 * size - 1)
+        yield (h >> _U(6)).astype(np.int64), h & _U(63)
 
 
-def _runs_of(values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+def _mark(words_: np.ndarray, seeds: np.ndarray) -> None:
+    for at, bit in _bits(seeds, len(words_)):
+        np.bitwise_or.at(words_, at, _U(1) << bit)
 
 
-def _single(run: dict) -> dict:
-    """A run with one entry a stretch; the others have been named repeats."""
-    head = _runs_of(run["ctx"])
-    return {f: v[head] for f, v in run.items()}
+def _entries(parts: int, batches: int, wanted):
+    """Fresh entries of texts (row, text) by part and batch; of stretches that a task meets twice, one stays and all are repeats."""
 
+    def collapsed(held: list[tuple]) -> pa.RecordBatch:
+        key, seed, ctx, row, at, wins = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, kept, inverse, n = np.unique(ctx, return_index=True, return_inverse=True, return_counts=True)
+        again = (n[inverse] > 1) & (key == key[kept[inverse]]).all(1)
+        once = ~again
+        once[kept] = True
+        rows = [_row(int(seed[again][0] % _U(parts)), REPEATS, {"row": row[again], "at": at[again], "wins": wins[again]})] if again.any() else []
+        part, batch = (seed % _U(parts)).astype(np.int64), row % batches
+        for p, own in _parted(np.where(once, part * batches + batch, -1)):
+            if p >= 0:
+                fresh = {"key": key[own].view(_KEY).ravel(), "row": row[own], "at": at[own], "wins": wins[own], "full": again[own]}
+                rows.append(_row(p // batches, FRESH - p % batches, fresh))
+        return _batch_of(rows, pa.RecordBatch)
 
-def _scan_self(run: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of a sorted run whose stretch is there twice, and the seeds with unequal stretches."""
-    head = _runs_of(run["ctx"])
-    n = np.diff(np.r_[head, len(run["ctx"])])
-    keys = run["key"][head]
-    return np.repeat(n > 1, n), np.unique(keys[1:][keys[1:] == keys[:-1]])
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            ids = batch.column(0).to_numpy()
+            data, offsets = text_buffer(batch.column(1))
+            held: list[tuple] = []
+            for i, j in doc_slices(offsets):
+                own, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                doc, first, wins, back, seed, ctx = anchors(own, bounds)
+                if wanted is not None:
+                    hit = np.ones(len(seed), bool)
+                    for at, bit in _bits(seed, len(wanted.value)):
+                        hit &= (wanted.value[at] >> bit & _U(1)).astype(bool)
+                    doc, first, wins, back, seed, ctx = (x[hit] for x in (doc, first, wins, back, seed, ctx))
+                if len(seed):
+                    held.append((entry_bytes(own, first, wins, back), seed, ctx, ids[i + doc], first - bounds[doc], wins))
+                if sum(len(h[1]) for h in held) > HELD:
+                    yield collapsed(held)
+                    held = []
+            if held:
+                yield collapsed(held)
+
+    return run
 
 
-def _scan(new: dict, old: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge-scan of two sorted runs: entries of each whose stretch the other holds, and seeds with unequal stretches."""
-    in_new = np.isin(new["ctx"], old["ctx"])
-    in_old = np.isin(old["ctx"], new["ctx"])
-    both = np.intersect1d(new["key"], old["key"])
-    edge = np.union1d(new["key"][~in_new], old["key"][~in_old])
-    return in_new, in_old, np.intersect1d(both, edge, assume_unique=True)
+def _load(table: pa.Table) -> Iterator[tuple[int, dict]]:
+    for values in zip(*(table.column(c) for c in ["level", *(f for f, _ in _FIELDS)]), strict=True):
+        yield values[0].as_py(), {f: np.frombuffer(v.as_buffer() if v.is_valid else b"", t) for (f, t), v in zip(_FIELDS, values[1:], strict=True)}
+
+
+def _joined(runs: list[dict]) -> dict:
+    """One run from several, in byte order."""
+    all_ = {f: np.concatenate([r[f] for r in runs]) for f, _ in _FIELDS}
+    order = np.argsort(all_["key"], kind="stable")
+    return {f: v[order] for f, v in all_.items()}
+
+
+def _bytes(key: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(key).view(np.uint8).reshape(len(key), WIDTH)
+
+
+def _seed_of(key: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(_bytes(key)[:, :SEED]).view(f"S{SEED}").ravel()
+
+
+def _holds(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values a sorted array holds, and where."""
+    at = np.searchsorted(sorted_, values)
+    inside = at < len(sorted_)
+    inside[inside] = sorted_[at[inside]] == values[inside]
+    return inside, at
+
+
+def _window_matches(aligned: np.ndarray, wins: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Which windows (one column for each start before the anchor) of entries with common seeds some other entry has too."""
+    n, starts = len(aligned), BACK + 1
+    found = np.zeros((n, starts), bool)
+    up, _ = powers(LENGTH + BACK + 1)
+    wide = max(1, WINDOWS // n)
+    for low in range(0, starts, wide):
+        high = min(starts, low + wide)
+        sums = np.empty((n, high - low), _U)
+        for a in range(0, n, 4096):
+            total = np.zeros((len(aligned[a : a + 4096]), LENGTH + BACK + 1), _U)
+            np.cumsum((aligned[a : a + 4096].astype(_U) + _U(1)) * up[: LENGTH + BACK], axis=1, out=total[:, 1:])
+            sums[a : a + 4096] = total[:, low + LENGTH : high + LENGTH] - total[:, low:high]
+        column = np.arange(low, high)
+        k = back[:, None].astype(np.int64) - BACK + column
+        who, where = np.nonzero((k >= 0) & (k < wins[:, None]))
+        value = mix(sums[who, where] + column[where].astype(_U) * _U(0x9FB21C651E98DF25))
+        order = np.argsort(value)
+        value, who, where = value[order], who[order], column[where[order]]
+        same = np.flatnonzero(value[1:] == value[:-1])
+        for a in range(0, len(same), 16384):
+            s = same[a : a + 16384]
+            reach = where[s][:, None] + np.arange(LENGTH)
+            equal = s[(aligned[who[s][:, None], reach] == aligned[who[s + 1][:, None], reach]).all(1) & (where[s] == where[s + 1])]
+            found[who[equal], where[equal]] = True
+            found[who[equal + 1], where[equal + 1]] = True
+    return found
+
+
+def _compare(part: int, runs: list[tuple[dict, np.ndarray]]) -> Iterator[tuple]:
+    """Repeats among the named entries of some runs, whose seeds meet; entries known to be repeats as a whole are not named again."""
+    took = {f: np.concatenate([r[f][own] for r, own in runs]) for f, _ in _FIELDS}
+    if len(took["key"]) < 2:
+        return
+    took = _joined([took])
+    seeds = _seed_of(took["key"])
+    head = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])
+    cut, ends = [0], [*head[1:], len(seeds)]
+    for end in ends:  # whole groups of one seed, about 2048 entries at once
+        if end - cut[-1] >= 2048 or end == len(seeds):
+            cut.append(end)
+    for a, b in zip(cut, cut[1:], strict=False):
+        raw = _bytes(took["key"][a:b])
+        aligned = np.concatenate([raw[:, LENGTH + 2 :], raw[:, :LENGTH]], axis=1)
+        back = raw[:, LENGTH + 1].astype(np.int64)
+        found = _window_matches(aligned, took["wins"][a:b].astype(np.int64), back) & (took["full"][a:b] == 0)[:, None]
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        who, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        if len(who):
+            at = took["at"][a:b][who].astype(np.int64) + back[who] - BACK + begin
+            yield _row(part, REPEATS, {"row": took["row"][a:b][who], "at": at, "wins": end - begin})
+
+
+def _wholly(part: int, run: dict, own: np.ndarray) -> tuple:
+    return _row(part, REPEATS, {f: run[f][own] for f in ("row", "at", "wins")})
 
 
 def _advance(last: bool):
-    """Scan a part's fresh suffixes against its levels; then let them enter the index, unless this is the last batch."""
+    """Take a part's fresh batches one by one into its levels; the levels are returned too unless these were the last batches."""
 
     def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        loaded = _load(table)
-        levels = {level: r for level, r in loaded if level >= 0}
-        fresh = [r for level, r in loaded if level == FRESH]
-        rows, edges = [_repeats(part, r["row"], r["at"], r["wins"]) for level, r in loaded if level == REPEATS], []
-        if fresh:
-            new = _sorted(fresh)
-            twice, edge = _scan_self(new)
-            edges.append(edge)
-            rows.append(_repeats(part, new["row"][twice], new["at"][twice], new["wins"][twice]))
+        part, levels, fresh, rows = table.column("part")[0].as_py(), {}, {}, []
+        for level, r in _load(table):
+            if level >= 0:
+                levels[level] = r | {"full": r["full"].copy()}
+            elif level == REPEATS:
+                rows.append(_row(part, REPEATS, r))
+            else:
+                fresh.setdefault(FRESH - level, []).append(r)
+        for b in sorted(fresh):
+            new = _joined(fresh[b])
+            head = np.flatnonzero(np.r_[True, new["key"][1:] != new["key"][:-1]])
+            n = np.diff(np.r_[head, len(new["key"])])
+            rows.append(_wholly(part, new, np.repeat(n > 1, n)))
+            new = {f: v[head] for f, v in new.items()} | {"full": np.maximum.reduceat(new["full"], head) | (n > 1).astype(np.uint8)}
+            known = np.zeros(len(head), bool)
             for old in levels.values():
-                a, b, edge = _scan(new, old)
-                edges.append(edge)
-                for side, r in ((a, new), (b, old)):
-                    rows.append(_repeats(part, r["row"][side], r["at"][side], r["wins"][side]))
-            rows.append(_row(part, EDGES, {"key": np.unique(np.concatenate(edges))}))
-            rank, carried = 0, _single(new)
+                both, at = _holds(old["key"], new["key"])
+                rows.append(_wholly(part, new, both & (new["full"] == 0)))
+                partner = at[both]
+                rows.append(_wholly(part, old, partner[old["full"][partner] == 0]))
+                old["full"][partner] = 1
+                known |= both
+            new = {f: v[~known] for f, v in new.items()}
+            if not len(new["key"]):
+                continue
+            seeds, n = np.unique(_seed_of(new["key"]), return_counts=True)
+            shared, mine, meeting = n > 1, _seed_of(new["key"]), []
+            for old in levels.values():
+                own, at = _holds(seeds, _seed_of(old["key"]))
+                shared[at[own]] = True
+                meeting.append((old, own))
+            own, at = _holds(seeds, mine)
+            rows += _compare(part, [(new, shared[at] & own), *meeting])
+            rank, carried = 0, new
             while rank in levels:
-                carried = _single(_sorted([carried, levels.pop(rank)]))
+                carried = _joined([carried, levels.pop(rank)])
                 rank += 1
             levels[rank] = carried
         if not last:
@@ -192,53 +345,6 @@ def _advance(last: bool):
     return run
 
 
-def _windows(parts: int, bloom):
-    """Window fingerprints around edges, by part of the seed: one entry an anchor and distinct stretch of a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, seen = bloom.value, set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            data, offsets = text_buffer(batch.column(1))
-            for i, j in doc_slices(offsets, 1 << 19):
-                bounds = offsets[i : j + 1] - offsets[i]
-                owner, first, wins, key, ctx, sums = anchors(data[offsets[i] : offsets[j]], bounds)
-                hit = np.ones(len(key), bool)
-                for shift in (0, 32):
-                    h = (key >> _U(shift)) & _U(64 * BLOOM_WORDS - 1)
-                    hit &= (filled[(h >> _U(6)).astype(np.int64)] >> (h & _U(63)) & _U(1)).astype(bool)
-                own = np.flatnonzero(hit)
-                own = own[[not (c in seen or seen.add(c)) for c in ctx[own].tolist()]] if len(own) else own
-                if not len(own):
-                    continue
-                part = (key[own] % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                own, part = own[order], part[order]
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                rows = []
-                for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                    if y > x:
-                        o = own[x:y]
-                        begin = np.repeat(first[o], wins[o]) + np.arange(wins[o].sum()) - np.repeat(np.cumsum(wins[o]) - wins[o], wins[o])
-                        rows.append(_row(p, 0, {"key": span_hash(sums, begin, begin + LENGTH), "row": ids[i + owner[o]], "at": first[o] - bounds[owner[o]], "wins": wins[o]}))
-                yield _batch_of(rows, pa.RecordBatch)
-
-    return run
-
-
-def _match_windows(table: pa.Table) -> pa.Table:
-    loaded = [r for _, r in _load(table)]
-    h, row, at, wins = (np.concatenate([r[f] for r in loaded]) for f in ("key", "row", "at", "wins"))
-    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-    found = n[inverse] > 1
-    owner = np.repeat(np.arange(len(row)), wins)
-    begin = at.astype(np.int64)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(wins.astype(np.int64)) - wins, wins)
-    owner, begin = owner[found], begin[found]
-    head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1] + 1)][: len(owner)])
-    length = np.diff(np.r_[head, len(owner)])
-    return _batch_of([_repeats(0, row[owner[head]], begin[head], length)], pa.Table)
-
-
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed repeats as rows: row key, first and last byte's end."""
     for batch in batches:
@@ -270,41 +376,28 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _as_spans(found: DataFrame) -> DataFrame:
+    return found.where(f"level = {REPEATS}").select("row", "at", "wins").mapInArrow(tidy(_spans), "row long, begin long, end long")
+
+
 def find_repeats(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Spans (row, begin, end) of all repeats in texts (row, text)."""
+    """Spans (row, begin, end) of all repeats in texts (row, text), taken in as so many batches."""
     spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(min(30_000, max(partitions(spark), size // 80 // PART_ENTRIES)))
-    index, outputs = None, []
-    for b in range(batches):
-        own = texts.where(F.pmod("row", F.lit(batches)) == b) if batches > 1 else texts
-        fresh = own.mapInArrow(tidy(_suffixes(parts)), _RUN)
-        both = fresh if index is None else fresh.unionAll(index)
-        after = staged(both.groupBy("part").applyInArrow(_advance(b == batches - 1), _RUN), "levels")
-        outputs.append(after.where(f"level in ({REPEATS}, {EDGES})"))
-        index = after.where("level >= 0")
-    found = outputs[0]
-    for o in outputs[1:]:
-        found = found.unionAll(o)
-
-    def fill(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ = np.zeros(BLOOM_WORDS, _U)
-        for batch in batches_:
-            for key in batch.column(0):
-                k = np.frombuffer(key.as_buffer(), _U)
-                for shift in (0, 32):
-                    h = (k >> _U(shift)) & _U(64 * BLOOM_WORDS - 1)
-                    np.bitwise_or.at(words_, (h >> _U(6)).astype(np.int64), _U(1) << (h & _U(63)))
-        at = np.flatnonzero(words_)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words_[at].view(np.int64))], names=["w", "bits"])
-
-    bits = found.where(f"level = {EDGES}").select("key").mapInArrow(tidy(fill), "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    words_ = np.zeros(BLOOM_WORDS, np.int64)
-    words_[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(words_.view(_U))
-    edges = texts.mapInArrow(tidy(_windows(parts, shared)), _RUN).groupBy("part").applyInArrow(_match_windows, _RUN)
-    return found.where(f"level = {REPEATS}").unionAll(edges).select("row", "at", "wins").mapInArrow(tidy(_spans), "row long, begin long, end long")
+    counts = max(partitions(spark), size // 67 // COUNT_ANCHORS)
+    seeds = texts.select("text").mapInArrow(tidy(_seeds(counts)), "part long, seeds binary")
+    wanted = _filter(staged(seeds.groupBy("part").applyInArrow(_twice, "seeds binary, n long"), "seeds"))
+    parts = max(partitions(spark), size // 67 // PART_ANCHORS)
+    fresh = texts.mapInArrow(tidy(_entries(parts, batches, wanted)), _RUN)
+    return _as_spans(fresh.groupBy("part").applyInArrow(_advance(True), _RUN))
+
+
+def extend(index: DataFrame | None, texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """One more batch of texts (row, text) for an index of so many parts: the repeats it makes known, and the new index."""
+    fresh = texts.mapInArrow(tidy(_entries(parts, 1, None)), _RUN)
+    both = fresh if index is None else fresh.unionAll(index)
+    after = staged(both.groupBy("part").applyInArrow(_advance(False), _RUN), "levels")
+    return _as_spans(after), after.where("level >= 0")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
