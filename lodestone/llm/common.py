@@ -55,21 +55,26 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def merge_tree(rows: DataFrame, key: list[str], merge, schema: str, fan_in: int = 64) -> DataFrame:
-    """merge (an Arrow function of the rows of one key, to rows of the same kind) over rows, in three steps.
+def merge_tree(rows: DataFrame, key: list[str], merge, schema: str, tasks: int, fan_in: int = 64) -> DataFrame:
+    """merge (an Arrow function of the rows of one key, to rows of the same kind) over rows that about so many tasks send.
 
-    Each task of rows is dealt to one of fan_in**2 groups a key, these to fan_in, these to one; so no task merges
-    what all tasks have sent, unless those are more than fan_in**3.
+    Where more than 4 * fan_in tasks send, their rows are first merged in fan_in groups a key, or in steps of more
+    groups; so no task merges what all tasks have sent.
     """
-    rows = rows.withColumn("deal", F.spark_partition_id())
-    kept = schema + ", deal int"
+    groups = []
+    while tasks > 4 * fan_in:
+        tasks = -(-tasks // fan_in)
+        groups.append(min(tasks, 1 << 30))
+    if not groups:
+        return rows.groupBy(*key).applyInArrow(merge, schema)
+    rows, kept = rows.withColumn("deal", F.spark_partition_id()), schema + ", deal int"
 
     def step(table: pa.Table) -> pa.Table:
         out = merge(table.drop_columns(["deal"]))
         return out.append_column("deal", pa.array([table.column("deal")[0].as_py()] * out.num_rows, pa.int32()))
 
-    for groups in (fan_in * fan_in, fan_in):
-        rows = rows.withColumn("deal", F.col("deal") % groups).groupBy(*key, "deal").applyInArrow(step, kept)
+    for n in groups:
+        rows = rows.withColumn("deal", F.col("deal") % n).groupBy(*key, "deal").applyInArrow(step, kept)
     return rows.drop("deal").groupBy(*key).applyInArrow(merge, schema)
 
 

@@ -13,10 +13,11 @@ a pair that misses there differs in two places at least, which spares its two co
 
 From buckets to links. A bucket of equal signatures is joined as a star, not as all pairs; links of the stars
 are verified on the whole sets and joined into components. Buckets that still hold several components are looked at
-again, in rounds: each member names its TOP nearest members of other components by parity sketch, which can never
-reject a pair that links; what is new is verified and the components are joined anew. While some member had more
-candidates than it named, a round follows in which it may name eight times as many, so the work is in proportion to
-the members and to the candidates that must be verified, and no link between components is lost. A sketch has two to
+again, in rounds: each member outside the bucket's largest component names its TOP nearest members of other components
+by parity sketch, which can never reject a pair that links; what is new is verified and the components are joined
+anew. While some member had more candidates than it named, a round follows in which it may name GROWTH times as many,
+so the work is in proportion to the members and to the candidates that must be verified, and no link between
+components is lost. A sketch has two to
 four bits for each shingle, so it stays selective whatever the length of a text. No bucket is capped and copies are
 never expanded into pairs. pairs() and link_counts() compare all members of a bucket instead, in the same blocks, so
 they hold every linked pair of classes and not only what components need.
@@ -45,10 +46,12 @@ WIDE, WIDE_FROM = 16, 128
 SPARE = 0.6
 COUNTERS = 1 << 20
 #: Least bits of a sketch; candidates that a member of a bucket names in the first round, and their growth by round.
-SKETCH_BITS, TOP, GROWTH = 256, 4, 8
+SKETCH_BITS, TOP, GROWTH = 256, 4, 32
 BLOCK_BYTES = 1 << 20
 #: Signatures that one part of the index holds, and members that one task compares with as many others.
 PART_ENTRIES, PAIR_BLOCK = 750_000, 4096
+#: Members of buckets that are compared in one group of a shuffle, and words of sketches that are compared at once.
+DEAL, AT_ONCE = 20_000, 1 << 20
 #: Words of a filter: 16 bits for each key it holds, within these bounds (16 MB at most are broadcast).
 BLOOM_LEAST, BLOOM_MOST = 1 << 12, 1 << 21
 _U = np.uint64
@@ -149,12 +152,12 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([low.tobytes()])], names=["slice", "at", "hits"])
 
 
-def shingle_counts(described: DataFrame) -> np.ndarray:
+def shingle_counts(described: DataFrame, tasks: int) -> np.ndarray:
     """Estimated document counts by hashed shingle, COUNTERS numbers whatever the corpus."""
     rows = described.where("slice is not null").select("slice", "at", "hits")
     total = np.zeros(COUNTERS, np.uint32)
     width = COUNTERS // _SLICES
-    for r in merge_tree(rows, ["slice"], _add_up, "slice int, at binary, hits binary").collect():
+    for r in merge_tree(rows, ["slice"], _add_up, "slice int, at binary, hits binary", tasks).collect():
         total[r["slice"] * width + np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["hits"], np.uint32)
     return total
 
@@ -337,20 +340,27 @@ def _filter(keys: DataFrame, name: str):
     return keys.sparkSession.sparkContext.broadcast(words_.view(_U))
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of class ids whose whole sets link."""
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The whole sets (cid, tokens) of all classes in pairs; every member of a bucket is in a star, so one pass serves all rounds."""
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "needed")
     sets = docs.select("text").mapInArrow(tidy(_sets_of(_filter(needed, "cid"))), "cid long, tokens array<long>")
-    sets = staged(sets.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
+    return staged(sets.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+
+
+def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of class ids whose whole sets link."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    own = sets.join(needed, "cid", "left_semi")
+    left = pairs.join(own.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(own.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def _rooted(links: DataFrame) -> DataFrame:
-    """The root of each class that links to others: node, root."""
-    return staged(components(links, "a", "b").withColumnRenamed("component", "root"), "roots")
+    """The root of each class that links to others, and the classes of its component: node, root, size."""
+    roots = staged(components(links, "a", "b").withColumnRenamed("component", "root"), "roots")
+    return staged(roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"), "roots")
 
 
 def _sketches(column, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -372,38 +382,59 @@ def _sketches(column, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def _near(cols: dict, bits: dict, width: np.ndarray, namers: np.ndarray, others: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (namer, other) of different components that sizes and sketches allow, the top nearest of each namer; was any left out."""
+    n, cid, root = cols["n"], cols["cid"], cols["root"]
+    left, right, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width[namers]):
+        own = namers[width[namers] == w]
+        for v in (w // 2, w, w * 2):
+            there = others[width[others] == v]
+            if not len(there):
+                continue
+            place, rows = bits[int(min(v, w))]
+            step = max(1, AT_ONCE // (len(there) * rows.shape[1]))
+            for k in range(0, len(own), step):
+                i = own[k : k + step]
+                differ = np.bitwise_count(rows[place[i]][:, None] ^ rows[place[there]][None]).sum(2, dtype=np.int64)
+                total = n[i][:, None] + n[there][None]
+                fits = (7 * differ <= total) & (7 * np.abs(n[i][:, None] - n[there][None]) <= total) & (root[i][:, None] != root[there][None])
+                x, y = np.nonzero(fits)
+                left.append(i[x])
+                right.append(there[y])
+                far.append(differ[x, y])
+    left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
+    if top is None or not len(left):
+        return left, right, False
+    order = np.lexsort((cid[right], far, left))
+    left, right = left[order], right[order]
+    head = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
+    rank = np.arange(len(left)) - np.repeat(head, np.diff(np.r_[head, len(left)]))
+    return left[rank < top], right[rank < top], bool((rank >= top).any())
+
+
 def _across(top: int | None):
-    """Per member of one block of a bucket its top nearest members (all, if None) in other components that sizes and sketches allow."""
+    """Candidates of the buckets' blocks that are dealt to one group; more: some member had more than top."""
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_numpy() for c in ("cid", "root", "n", "mine", "block", "other")}
-        n, cid, root = cols["n"], cols["cid"], cols["root"]
-        bits = _sketches(table.column("sketch"), n)
-        width = {int(x): sketch_bits(int(x)) for x in np.unique(n)}
-        right = np.flatnonzero(cols["mine"] == cols["other"])
-        right = right[np.argsort(n[right], kind="stable")]
-        a, b, more = [], [], False
-        for i in np.flatnonzero(cols["mine"] == cols["block"]):
-            lo, hi = np.searchsorted(n[right], [-(-3 * n[i] // 4), 4 * n[i] // 3 + 1])
-            near = right[lo:hi]
-            near = near[root[near] != root[i]]
-            if cols["block"][i] == cols["other"][i]:
-                near = near[cid[near] > cid[i]]
-            if not len(near):
-                continue
-            own, differ = width[int(n[i])], np.empty(len(near), np.int64)
-            others = np.array([width[int(x)] for x in n[near]])
-            for w in np.unique(others):
-                at = np.flatnonzero(others == w)
-                place, rows = bits[int(min(w, own))]
-                differ[at] = np.bitwise_count(rows[place[near[at]]] ^ rows[place[i]]).sum(1)
-            allowed = differ <= (n[i] + n[near]) // 7
-            near, differ = near[allowed], differ[allowed]
-            if top is not None and len(near) > top:
-                more = True
-                near = near[np.lexsort((cid[near], differ))[:top]]
-            a.append(np.minimum(cid[near], cid[i]))
-            b.append(np.maximum(cid[near], cid[i]))
+        cols = {c: table.column(c).to_numpy() for c in ("bucket", "block", "other", "mine", "cid", "root", "n", "names")}
+        order = np.lexsort((cols["other"], cols["block"], cols["bucket"]))
+        cols = {c: v[order] for c, v in cols.items()}
+        sketch = table.column("sketch").take(pa.array(order)).combine_chunks()
+        new = np.r_[True, np.any([cols[c][1:] != cols[c][:-1] for c in ("bucket", "block", "other")], axis=0)]
+        cut, a, b, more = [*np.flatnonzero(new), len(order)], [], [], False
+        for p, q in zip(cut, cut[1:], strict=False):
+            own = {c: v[p:q] for c, v in cols.items()}
+            bits = _sketches(sketch.slice(p, q - p), own["n"])
+            width = np.array([sketch_bits(int(x)) for x in own["n"]])
+            left, right, names = own["mine"] == own["block"], own["mine"] == own["other"], own["names"]
+            tries = [(left & names, right)] + ([(right & names, left & ~names)] if own["block"][0] != own["other"][0] else [])
+            for namers, others in tries:
+                if namers.any() and others.any():
+                    x, y, rest = _near(own, bits, width, np.flatnonzero(namers), np.flatnonzero(others), top)
+                    a.append(np.minimum(own["cid"][x], own["cid"][y]))
+                    b.append(np.maximum(own["cid"][x], own["cid"][y]))
+                    more |= rest
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
         found = [pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64)), pa.array(np.full(pairs.shape[1], more))]
         return pa.table(found, names=["a", "b", "more"])
@@ -413,13 +444,17 @@ def _across(top: int | None):
 
 def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, top: int | None) -> DataFrame:
     """Candidate pairs (a, b) of the buckets (bucket, cid, k) in different components; more: some member had more than top."""
-    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("bucket", "cid", "k", F.coalesce("root", "cid").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    rows = rooted.join(mixed, "bucket", "left_semi").join(classes, "cid")
+    spark = members.sparkSession
+    deals = max(partitions(spark), members.count() // DEAL)
+    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("bucket", "cid", "k", F.coalesce("root", "cid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max_by("root", F.struct("size", "root")).alias("most")).where("r <> s").select("bucket", "most")
+    rows = rooted.join(mixed, "bucket").join(classes, "cid").withColumn("names", F.lit(True) if top is None else F.col("root") != F.col("most"))
     blocks = F.ceil(F.col("k") / PAIR_BLOCK).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("block", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
-    found = rows.groupBy("bucket", "block", "other").applyInArrow(_across(top), "a long, b long, more boolean")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("bucket", "block", "other"), F.lit(deals)))
+    rows = rows.select("deal", "bucket", "block", "other", "mine", "cid", "root", "n", "names", "sketch")
+    found = rows.groupBy("deal").applyInArrow(_across(top), "a long, b long, more boolean")
     return staged(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest")
 
 
@@ -432,11 +467,11 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     rows = described.where("slice is null").select("doc_id", "k1", "k2", "n", "cid", "sketch")
     entries = 0.7 * (rows.agg(F.sum("n")).first()[0] or 0)
     parts = int(min(1 << 20, max(partitions(spark), entries // PART_ENTRIES)))
-    counts = spark.sparkContext.broadcast(shingle_counts(described))
+    counts = spark.sparkContext.broadcast(shingle_counts(described, int(entries) // 2_000_000))
     packed = texts.select("text").mapInArrow(tidy(_index(parts, counts)), "part int, ids binary, place binary, low binary, high binary")
     met = staged(packed.groupBy("part").applyInArrow(_meet, "a long, b long, bucket long"), "met")
     stars = met.where("bucket is null").select("a", "b").distinct()
-    members = met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct()
+    members = staged(met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct(), "members")
     classes = rows.where("sketch is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     return rows, stars, members, classes
 
@@ -444,13 +479,15 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of _buckets, and the root of each class that links to others."""
     rows, stars, members, classes = _buckets(docs)
-    links, tested, top = staged(verify(docs, stars), "linked"), stars, TOP
+    stars = staged(stars, "stars")
+    sets = _sets(docs, stars)
+    links, tested, top = staged(verify(sets, stars), "linked"), stars, TOP
     roots = _rooted(links)
     while True:
         rest = _rest(members, classes, roots, top)
         fresh = staged(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.limit(1).count():
-            links = staged(links.unionAll(verify(docs, fresh)), "linked")
+            links = staged(links.unionAll(verify(sets, fresh)), "linked")
             roots, tested = _rooted(links), tested.unionAll(fresh)
         if not rest.where("more").limit(1).count():
             return rows, roots
@@ -460,9 +497,10 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of _buckets, and every pair a < b of classes whose sets link, verified exactly."""
     rows, stars, members, classes = _buckets(docs)
-    alone = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root"))
+    alone = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root"), F.lit(1).alias("size"))
     within = _rest(members, classes, alone, None).select("a", "b")
-    return rows, staged(verify(docs, staged(stars.unionAll(within).distinct(), "candidates")), "pairs")
+    candidates = staged(stars.unionAll(within).distinct(), "candidates")
+    return rows, staged(verify(_sets(docs, candidates), candidates), "pairs")
 
 
 def pairs(docs: DataFrame) -> DataFrame:
