@@ -1,12 +1,16 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
-Words fall into UNITS units: the most frequent words, each by itself, classes of the other words by their last
-two bytes, and the end of a text. The log-bilinear model predicts a unit from the two units before it; within a
-class a word has its share of the corpus counts, smoothed, with one event for every unseen word. Since there
-are UNITS**2 contexts, batched matrix products give the normalised log-probabilities of all of them at once.
-
-Training sees every training token: unit trigrams are counted over the corpus by Spark (at most UNITS**3
-distinct ones reach the driver), and the NCE objective is summed over those counts in full.
+The model predicts a unit from the two units before it. Units are the most frequent words, each by itself, as many
+as WORDS_BY_ROOT times the root of the training tokens (WORDS_MOST at most, the bound on what a task holds); classes
+of the other words by their last two bytes; and the end of a text. So vocabulary and contexts grow with the corpus.
+Within a class a word has its share of the corpus counts, smoothed, with one event for every unseen word.
+
+Each unit has a context vector, a target vector and a bias. Units are cut into groups of about the root of their
+number, in order of their endings; groups have target vectors too. A probability is that of the group, normalised over
+all groups, times that of the unit, normalised over its group, each by batched matrix products. Both are trained by
+NCE with sampled noise. Training sees every training token once, in ROUNDS rounds over disjoint sets of documents:
+in a round each task of Spark starts from the same parameters, takes Adagrad steps over its own tokens and returns the
+vectors it touched; these are averaged by the tokens that touched them, through a merge tree.
 
 Word counts are exact and cover the corpus. Documents are dealt to blocks by content; each block asks for its
 distinct words, one sorted array per part of the hash space; a part sums all blocks' counts of its words and
@@ -15,7 +19,7 @@ by 48 hash bits and their last two bytes.
 
 Defined results: null texts are empty and have one token, the end; a null doc_id counts as the empty text for
 crc32; equal texts have equal scores; without training documents N and V are 0, nothing is known and the model
-is uniform over units; an empty table gives no rows; other columns are ignored.
+is uniform over groups and units; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, partitions, staged, text_buffer, word_hashes, words
+from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, merge_tree, partitions, staged, text_buffer, tidy, word_hashes, words
 
-UNITS = 128
-FREQUENT = 95
-CLASSES = UNITS - FREQUENT - 2  # by ending, then one class for all other endings, then the end of a text
-OTHER, END = UNITS - 2, UNITS - 1
+#: Single words of the vocabulary by the root of the training tokens, their most, and the classes of the other words by ending.
+WORDS_BY_ROOT, WORDS_MOST, CLASSES = 4, 1 << 16, 254
 SMOOTH = 0.1
-BLOCK_DOCS = 1024
-DIM, NOISE, STEPS, RATE = 24, 10, 160, 0.05
+#: Bytes of text of a block and of a part's share of the corpus; words of a part that are kept as candidates occur so often.
+BLOCK_BYTES, PART_BYTES, CANDIDATE = 3 << 20, 64 << 20, 4
+#: Vector length, noise samples of a minibatch (words, groups), its tokens, step size, rounds; units of a slice that is merged at once.
+DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 48, 16, 512, 0.04, 2, 8192
 _U = np.uint64
 
 
@@ -48,11 +52,12 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (before << _U(8) | final) << _U(48) | h
 
 
-def _blocks(docs: DataFrame, block_docs: int) -> DataFrame:
-    """doc_id, text, train and the block that the document's content deals it to."""
+def _blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int, int]:
+    """doc_id, text, train and the block that the document's content deals it to; bytes of all texts; training documents."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 10) != 0).alias("train"))
-    many = max(1, -(-rows.count() // block_docs))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)))
+    size, n_train = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    many = max(1, -(-(size or 0) // block_bytes))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))), size or 0, n_train
 
 
 def _tokens(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,7 +82,7 @@ def _distinct(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ASK = "part int, block long, keys binary, counts binary"
-_ANSWER = "part int, block long, counts binary, top_keys binary, top_counts binary, endings binary, ending_words binary, ending_tokens binary"
+_ANSWER = "part int, block long, counts binary, top_keys binary, top_counts binary, sizes binary, words binary, endings binary, ending_words binary, ending_tokens binary"
 
 
 def _ask(parts: int):
@@ -107,41 +112,65 @@ def _answer(table: pa.Table) -> pa.Table:
     answer = total[inverse]
     cut = np.r_[0, np.cumsum([len(a) for a in asked])]
     part = table.column("part")[0].as_py()
-    rows = [(part, b, answer[i:j].tobytes(), None, None, None, None, None) for b, i, j in zip(table.column("block").to_pylist(), cut, cut[1:], strict=False)]
+    rows = [(part, b, answer[i:j].tobytes(), *[None] * 7) for b, i, j in zip(table.column("block").to_pylist(), cut, cut[1:], strict=False)]
     known = total > 0
     unique, total = unique[known], total[known]
-    top = np.argsort(-total, kind="stable")[:FREQUENT]
-    endings, where = np.unique(unique >> _U(48), return_inverse=True)
+    sizes, n_sizes = np.unique(_size_of(total), return_counts=True)
+    top = total >= CANDIDATE
+    endings, where = np.unique((unique >> _U(48)).astype(np.int64), return_inverse=True)
     n_words = np.bincount(where, minlength=len(endings)).astype(np.int64)
     n_tokens = np.bincount(where, total, len(endings)).astype(np.int64)
-    rows.append((part, None, None, *(x.tobytes() for x in (unique[top], total[top], endings, n_words, n_tokens))))
-    types = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+    rows.append((part, None, None, *(x.tobytes() for x in (unique[top], total[top], sizes, n_sizes, endings, n_words, n_tokens))))
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 8)
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _ANSWER.split(", ")])
 
 
+def _size_of(counts: np.ndarray) -> np.ndarray:
+    """Counts in eight classes an octave: at most a few hundred distinct values."""
+    return np.floor(8 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+
+
+def _unpacked(described: DataFrame, columns: list[str], names: list[str], least: int | None = None) -> DataFrame:
+    """The packed longs of columns as rows; with least, only those whose last value has that size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                values = [np.frombuffer(v.as_buffer(), np.int64) for v in row]
+                if least is not None:
+                    own = _size_of(values[-1]) >= least
+                    values = [v[own] for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=names)
+
+    return described.select(*columns).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 class Units:
-    """The units of a corpus, from the descriptions of all parts."""
-
-    def __init__(self, described: list, n_ends: int):
-        get = lambda f, kind: np.concatenate([np.frombuffer(r[f], kind) for r in described] or [np.zeros(0, kind)])
-        keys, counts = get("top_keys", _U), get("top_counts", np.int64)
-        order = np.lexsort((keys, -counts))[:FREQUENT]
-        by_key = np.argsort(keys[order])
-        self.keys, self.key_counts = keys[order][by_key], counts[order][by_key]
-        endings, n_words, n_tokens = get("endings", _U), get("ending_words", np.int64), get("ending_tokens", np.int64)
+    """The units of a corpus: single words in order of their keys, classes by ending, one class for all other endings, the end."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, endings: np.ndarray, words_: np.ndarray, tokens_: np.ndarray, n_ends: int):
+        order = np.argsort(keys)
+        self.keys, key_counts = keys[order], counts[order]
         self.n_ends = n_ends
-        self.tokens = int(n_tokens.sum()) + n_ends
-        self.distinct = int(n_words.sum()) + (n_ends > 0)
-        tokens = np.bincount(endings.astype(np.int64), n_tokens, 1 << 16)
-        distinct = np.bincount(endings.astype(np.int64), n_words, 1 << 16)
+        self.tokens, self.distinct = int(tokens_.sum()) + n_ends, int(words_.sum()) + (n_ends > 0)
+        tokens = np.bincount(endings, tokens_, 1 << 16)
+        distinct = np.bincount(endings, words_, 1 << 16)
         own = (self.keys >> _U(48)).astype(np.int64)
-        np.subtract.at(tokens, own, self.key_counts)
+        np.subtract.at(tokens, own, key_counts)
         np.subtract.at(distinct, own, 1)
-        best = np.lexsort((np.arange(1 << 16), -tokens))[: CLASSES]
-        self.of_ending = np.full(1 << 16, OTHER, np.int64)
-        self.of_ending[best] = FREQUENT + np.arange(len(best))
-        self.class_tokens = np.bincount(self.of_ending, tokens, UNITS)
-        self.class_words = np.bincount(self.of_ending, distinct, UNITS)
+        best = np.sort(np.lexsort((np.arange(1 << 16), -tokens))[:CLASSES])
+        n = len(self.keys)
+        self.end = n + CLASSES + 1
+        self.of_ending = np.full(1 << 16, n + CLASSES, np.int64)
+        self.of_ending[best] = n + np.arange(CLASSES)
+        self.n = self.end + 1
+        self.class_tokens = np.bincount(self.of_ending, tokens, self.n)
+        self.class_words = np.bincount(self.of_ending, distinct, self.n)
+        self.unit_tokens = self.class_tokens.copy()
+        self.unit_tokens[:n] = key_counts
+        self.unit_tokens[self.end] = n_ends
+        self.width = int(np.ceil(np.sqrt(self.n)))  # units of a group
+        self.groups = -(-self.n // self.width)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         unit = self.of_ending[(keys >> _U(48)).astype(np.int64)]
@@ -156,115 +185,197 @@ class Units:
         return np.where(unit < len(self.keys), 0.0, np.log10(share))
 
 
-def _contexts(unit: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token (words and one end a document): its context, its unit, and the documents' token offsets."""
+def _contexts(unit: np.ndarray, cut: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per token (words and one end a document): the units two and one before, its unit, and the documents' token offsets."""
     n = len(cut) - 1
     ends = cut[1:] + np.arange(n)
     out = np.empty(len(unit) + n, np.int64)
     word = np.ones(len(out), bool)
     word[ends] = False
-    out[word], out[ends] = unit, END
+    out[word], out[ends] = unit, end
     first = np.r_[0, ends[:-1] + 1]
-    one, two = np.r_[END, out[:-1]], np.r_[END, END, out[:-2]][: len(out)]
-    one[first] = END
-    two[first] = END
+    one, two = np.r_[end, out[:-1]], np.r_[end, end, out[:-2]][: len(out)]
+    one[first] = end
+    two[first] = end
     second = first[ends > first] + 1
-    two[second] = END
-    return two * UNITS + one, out, np.r_[first, len(out)]
+    two[second] = end
+    return two, one, out, np.r_[first, len(out)]
+
 
+def start(units: Units, seed: int = 5) -> dict[str, np.ndarray]:
+    """Parameters before training: small vectors, biases of the corpus frequencies. The last column of Q and G is the bias."""
+    rng = np.random.default_rng(seed)
+    share = (units.unit_tokens + 1.0) / (units.unit_tokens.sum() + units.n)
+    of_group = np.bincount(np.arange(units.n) // units.width, share, units.groups)
+    small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    p = {"R": small(units.n, DIM), "Q": small(units.n, DIM + 1), "G": small(units.groups, DIM + 1), "C": np.concatenate([0.3 * np.eye(DIM), 0.7 * np.eye(DIM)]).astype(np.float32)}
+    p["Q"][:, DIM], p["G"][:, DIM] = np.log(share), np.log(of_group)
+    return p
 
-def trigram_counts(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts of (context, unit) over all training documents, summed by Spark in slices of the table."""
-    slices = 32
-    width = UNITS**3 // slices
-    shared = docs.sparkSession.sparkContext.broadcast(units)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS**3, np.int64)
+class Trainer:
+    """Adagrad steps of NCE on a copy of the parameters; knows which rows were touched, and how often."""
+
+    def __init__(self, p: dict[str, np.ndarray], units: Units, seed: int):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.width, self.rng = units.width, np.random.default_rng(seed)
+        self.squares = {k: np.full(len(v), 1e-4, np.float32) for k, v in p.items()}
+        self.hits = {k: np.zeros(len(v), np.int64) for k, v in p.items()}
+        share = (units.unit_tokens + 1.0) / (units.unit_tokens.sum() + units.n)
+        of_group = np.bincount(np.arange(units.n) // units.width, share, units.groups)
+        self.noise = {"Q": (share, np.cumsum(share), NOISE), "G": (of_group, np.cumsum(of_group), NOISE_GROUPS)}
+
+    def _step(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
+        """One Adagrad step on rows at; rows may be named several times, each has one running square."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        total, at = np.add.reduceat(grad[order], head, axis=0), at[head]
+        self.hits[name][at] += np.diff(np.r_[head, len(order)])
+        self.squares[name][at] += (total * total).mean(1)
+        self.p[name][at] -= RATE * total / np.sqrt(self.squares[name][at])[:, None]
+
+    def _contrast(self, name: str, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """NCE against noise shared by the minibatch: steps on the target table, and the gradient of hidden (with bias column)."""
+        share, summed, k = self.noise[name]
+        fake = np.minimum(np.searchsorted(summed, self.rng.random(k) * summed[-1]), len(share) - 1)
+        own, other = self.p[name][target], self.p[name][fake]
+        real = (hidden * own).sum(1) - np.log(k * share[target]).astype(np.float32)
+        false = hidden @ other.T - np.log(k * share[fake]).astype(np.float32)
+        e_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
+        e_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        back = e_real[:, None] * own + e_false @ other
+        self._step(name, np.concatenate([target, fake]), np.concatenate([e_real[:, None] * hidden, e_false.T @ hidden]))
+        return back[:, :DIM]
+
+    def learn(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        r, c = self.p["R"], self.p["C"]
+        x2, x1 = r[two], r[one]
+        hidden = np.ones((len(two), DIM + 1), np.float32)
+        hidden[:, :DIM] = x2 @ c[:DIM] + x1 @ c[DIM:]
+        back = self._contrast("Q", hidden, target) + self._contrast("G", hidden, target // self.width)
+        to2, to1 = back @ c[:DIM].T, back @ c[DIM:].T
+        step_c = np.concatenate([x2.T @ back, x1.T @ back])
+        self._step("R", np.concatenate([two, one]), np.concatenate([to2, to1]))
+        self.squares["C"] += (step_c * step_c).mean(1)
+        self.hits["C"] += len(two)
+        self.p["C"] = c - 0.2 * RATE * step_c / np.sqrt(self.squares["C"])[:, None]
+
+
+_TOUCHED = "name string, slice int, at binary, hits binary, sums binary"
+
+
+def _touched(name: str, k: int, at: np.ndarray, hits: np.ndarray, sums: np.ndarray) -> tuple:
+    return name, k, at.astype(np.uint32).tobytes(), hits.astype(np.int64).tobytes(), sums.astype(np.float32).tobytes()
+
+
+def _touched_table(rows: list[tuple], kind):
+    types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return kind.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["name", "slice", "at", "hits", "sums"])
+
+
+def _add_touched(table: pa.Table) -> pa.Table:
+    """Hits and hit-weighted steps of one slice of one table, summed."""
+    at = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("at")]
+    hits = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("hits")])
+    sums = [np.frombuffer(x.as_buffer(), np.float32).reshape(len(a), -1) for x, a in zip(table.column("sums"), at, strict=True)]
+    where = np.concatenate(at).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    head = np.flatnonzero(np.r_[True, where[order][1:] != where[order][:-1]])
+    row = _touched(table.column("name")[0].as_py(), table.column("slice")[0].as_py(), where[order][head], np.add.reduceat(hits[order], head), np.add.reduceat(np.concatenate(sums)[order], head, axis=0))
+    return _touched_table([row], pa.Table)
+
+
+def train_round(texts: DataFrame, units: Units, p: dict[str, np.ndarray], tasks: int) -> dict[str, np.ndarray]:
+    """Parameters after one round over texts (text): the average of what every task has learned from p."""
+    shared = texts.sparkSession.sparkContext.broadcast((units, p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, before = shared.value
+        trainer = None
         for batch in batches:
+            trainer = trainer or Trainer(before, u, seed=batch.num_rows)
             for _, _, keys, cut in _tokens(pa.table(batch)):
-                context, unit, _ = _contexts(shared.value.of(keys), cut)
-                total += np.bincount(context * UNITS + unit, minlength=UNITS**3)
-        for k in range(slices):
-            own = total[k * width : (k + 1) * width]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([own[at].tobytes()])], names=["slice", "at", "n"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
-        for at, n in zip(table.column("at"), table.column("n"), strict=True):
-            total[np.frombuffer(at.as_buffer(), np.uint32)] += np.frombuffer(n.as_buffer(), np.int64)
-        at = np.flatnonzero(total)
-        return pa.table([pa.array([table.column("slice")[0].as_py()], pa.int32()), pa.array([at.astype(np.uint32).tobytes()]), pa.array([total[at].tobytes()])], names=["slice", "at", "n"])
-
-    schema = "slice int, at binary, n binary"
-    rows = docs.where("train").select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(merge, schema).collect()
-    total = np.zeros(UNITS**3, np.int64)
-    for r in rows:
-        total[r["slice"] * width + np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["n"], np.int64)
-    return total.reshape(UNITS**2, UNITS)
-
-
-def train_nce(counts: np.ndarray, steps: int = STEPS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Log-bilinear parameters by Adam on the full NCE objective; counts has a row a context, a column a unit."""
-    rng = np.random.default_rng(seed)
-    n_units = counts.shape[1]
-    p = {"R": rng.normal(0, 0.1, (n_units, DIM)), "C": rng.normal(0, 0.1, (2, DIM, DIM)) + np.eye(DIM), "Q": rng.normal(0, 0.1, (n_units, DIM)), "b": np.zeros(n_units)}
-    total = counts.sum()
-    if total == 0:
-        return {k: v * 0 for k, v in p.items()}
-    noise = (counts.sum(0) + 1.0) / (total + n_units)
-    p["b"] = np.log(noise)
-    rows = np.flatnonzero(counts.sum(1))
-    two, one = rows // n_units, rows % n_units
-    data = (counts[rows] / total).astype(np.float32)
-    fake = (NOISE * data.sum(1, keepdims=True) * noise).astype(np.float32)
-    lift = np.log(NOISE * noise).astype(np.float32)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for t in range(1, steps + 1):
-        hidden = p["R"][two] @ p["C"][0] + p["R"][one] @ p["C"][1]
-        delta = (hidden @ p["Q"].T + p["b"]).astype(np.float32) - lift
-        real = 1 / (1 + np.exp(-delta))
-        err = (fake * real - data * (1 - real)).astype(np.float64)
-        back = err @ p["Q"]
-        g = {"Q": err.T @ hidden, "b": err.sum(0), "C": np.stack([p["R"][two].T @ back, p["R"][one].T @ back]), "R": np.zeros_like(p["R"])}
-        np.add.at(g["R"], two, back @ p["C"][0].T)
-        np.add.at(g["R"], one, back @ p["C"][1].T)
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - RATE * min(1, 2 * (1 - t / (steps + 1))) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-12)
+                two, one, unit, _ = _contexts(u.of(keys), cut, u.end)
+                for i in range(0, len(unit), BATCH):
+                    trainer.learn(two[i : i + BATCH], one[i : i + BATCH], unit[i : i + BATCH])
+        if trainer is None:
+            return
+        for name, now in trainer.p.items():
+            at = np.flatnonzero(trainer.hits[name])
+            for k in np.unique(at // SLICE):
+                own = at[at // SLICE == k]
+                hits = trainer.hits[name][own]
+                yield _touched_table([_touched(name, int(k), own, hits, hits[:, None] * (now[own] - before[name][own]))], pa.RecordBatch)
+
+    found = merge_tree(texts.mapInArrow(tidy(run), _TOUCHED), ["name", "slice"], _add_touched, _TOUCHED, tasks).collect()  # at most the model
+    p = {k: v.copy() for k, v in p.items()}
+    for r in found:
+        at, hits = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["hits"], np.int64)
+        p[r["name"]][at] += np.frombuffer(r["sums"], np.float32).reshape(len(at), -1) / hits[:, None].astype(np.float32)
     return p
 
 
-def context_table(p: dict[str, np.ndarray]) -> np.ndarray:
-    """Normalised log10 probabilities of every unit after every context, by one batch of matrix products."""
-    n = len(p["b"])
-    first, second = p["R"] @ p["C"][0], p["R"] @ p["C"][1]
-    s = (first[:, None] + second[None]).reshape(n * n, DIM) @ p["Q"].T + p["b"]
-    s -= s.max(1, keepdims=True)
-    s -= np.log(np.exp(s).sum(1, keepdims=True))
-    return (s / np.log(10)).astype(np.float32)
+def log_probabilities(units: Units, p: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Normalised log10 probability of each target after its two units, by batched matrix products."""
+    first, second = p["R"] @ p["C"][:DIM], p["R"] @ p["C"][DIM:]
+    out = np.empty(len(target))
+    for a in range(0, len(target), 16384):
+        b = min(len(target), a + 16384)
+        hidden = np.ones((b - a, DIM + 1), np.float32)
+        hidden[:, :DIM] = first[two[a:b]] + second[one[a:b]]
+        group = target[a:b] // units.width
+        score = hidden @ p["G"].T
+        score -= score.max(1, keepdims=True)
+        value = score[np.arange(b - a), group] - np.log(np.exp(score).sum(1))
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(units.groups + 1))
+        for g in np.flatnonzero(np.diff(cut)):
+            own = order[cut[g] : cut[g + 1]]
+            score = hidden[own] @ p["Q"][g * units.width : (g + 1) * units.width].T
+            score -= score.max(1, keepdims=True)
+            value[own] += score[np.arange(len(own)), target[a:b][own] - g * units.width] - np.log(np.exp(score).sum(1))
+        out[a:b] = value / np.log(10)
+    return out
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def learn_units(described: DataFrame, n_ends: int, tokens: int) -> Units:
+    """Units from the parts' descriptions: single words are all those in the size classes that fit the vocabulary."""
+    wanted = min(WORDS_MOST, int(WORDS_BY_ROOT * np.sqrt(tokens)))
+    sizes = sorted(_unpacked(described, ["sizes", "words"], ["size", "n"]).groupBy("size").agg(F.sum("n").alias("n")).collect(), reverse=True)
+    least, held = 1 << 30, 0
+    for r in sizes:
+        if held + r["n"] > wanted or r["size"] < _size_of(np.array([CANDIDATE]))[0]:
+            break
+        least, held = r["size"], held + r["n"]
+    top = _unpacked(described, ["top_keys", "top_counts"], ["key", "n"], least).toPandas()  # at most wanted rows
+    ends = _unpacked(described, ["endings", "ending_words", "ending_tokens"], ["ending", "words", "tokens"])
+    ends = ends.groupBy("ending").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()  # at most 65,536 rows
+    column = lambda f, c: f[c].to_numpy(np.int64)
+    return Units(column(top, "key").view(_U), column(top, "n"), column(ends, "ending"), column(ends, "words"), column(ends, "tokens"), n_ends)
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Counts, base score and model score of every document; learns from the documents that crc32 lets train."""
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
-    blocks = _blocks(docs, block_docs)
+    blocks, size, n_train = _blocks(docs, block_bytes)
+    parts = max(2 * partitions(spark), size // PART_BYTES)
     asked = blocks.groupBy("block").applyInArrow(_ask(parts), _ASK)
     answers = staged(asked.groupBy("part").applyInArrow(_answer, _ANSWER), "answers")
-    described = answers.where("block is null").drop("counts").collect()
-    units = Units(described, blocks.where("train").count())
-    table = context_table(train_nce(trigram_counts(blocks, units)))
-    shared = spark.sparkContext.broadcast((units, table))
+    described = answers.where("block is null")
+    total = _unpacked(described, ["ending_tokens"], ["tokens"]).agg(F.sum("tokens")).first()[0] or 0
+    units = learn_units(described, n_train, total + n_train)
+    params = start(units)
+    for r in range(ROUNDS if n_train else 0):
+        own = blocks.where(F.col("train") & (F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)).select("text")
+        params = train_round(own, units, params, size // (16 << 20))
+    shared = spark.sparkContext.broadcast((units, params))
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        u, logs = shared.value
+        u, p = shared.value
         n = texts.num_rows
         out = {k: np.zeros(n) for k in ("n_tokens", "n_known", "base", "score")}
         order = np.argsort(replies.column("part").to_numpy())
@@ -276,12 +387,13 @@ def score(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
         unique, counts = unique[rank], counts[rank]
         for i, j, keys, cut in held:
             c = counts[np.searchsorted(unique, keys)] if len(keys) else np.zeros(0, np.int64)
-            context, unit, first = _contexts(u.of(keys), cut)
-            end = unit == END
+            two, one, unit, first = _contexts(u.of(keys), cut, u.end)
+            end = unit == u.end
             all_counts = np.full(len(unit), u.n_ends, np.int64)
             all_counts[~end] = c
             base = np.log10((all_counts + SMOOTH) / (u.tokens + SMOOTH * (u.distinct + 1)))
-            model = logs[context, unit].astype(np.float64)
+            code, inverse = np.unique((two * u.n + one) * u.n + unit, return_inverse=True)
+            model = log_probabilities(u, p, code // (u.n * u.n), code // u.n % u.n, code % u.n)[inverse]
             model[~end] += u.word_share(unit[~end], c)
             for name, value in (("n_known", all_counts > 0), ("base", base), ("score", model)):
                 out[name][i:j] = np.add.reduceat(value.astype(np.float64), first[:-1])
