@@ -81,9 +81,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             out.append(np.unique(full[a : b - WORDS + 1]))
         elif b > a:
             h = _U(b - a)
-            for x in w[a:b]:
-                h = mix(np.array([h * _U(0x9FB21C651E98DF25) + x]))[0]
-            out.append(np.array([h]))
+            h = np.array([h])
+            for k in range(a, b):
+                h = mix(h * _U(0x9FB21C651E98DF25) + w[k])
+            out.append(h)
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -573,7 +574,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(documents(spark, sf_dir))
+    return join(documents(spark, sf_dir)).drop("class_id")
 
 
 def pair_query(spark: SparkSession, sf_dir: str) -> DataFrame:

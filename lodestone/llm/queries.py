@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, pieces, pii, suffix, toxicity, warc
+from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, pieces, pii, suffix, toxicity, twins, warc
 
 QUERIES = {
     "op3_suffix_dedup": suffix.query,
@@ -17,5 +17,5 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
     "op9_jaccard_pairs": jaccard.pair_query,
     "op9_jaccard_links": jaccard.count_query,
-}
-ORACLES = {"op7_warc_archive": warc.ORACLE}
+} | twins.QUERIES
+ORACLES = {"op7_warc_archive": warc.ORACLE} | twins.ORACLES
