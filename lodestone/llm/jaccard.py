@@ -46,12 +46,13 @@ WIDE, WIDE_FROM = 16, 128
 SPARE = 0.6
 COUNTERS = 1 << 20
 #: Least bits of a sketch; candidates that a member of a bucket names in the first round, and their growth by round.
-SKETCH_BITS, TOP, GROWTH = 256, 4, 32
+SKETCH_BITS, TOP, GROWTH = 256, 8, 64
 BLOCK_BYTES = 1 << 20
 #: Signatures that one part of the index holds, and members that one task compares with as many others.
 PART_ENTRIES, PAIR_BLOCK = 750_000, 4096
-#: Members of buckets that are compared in one group of a shuffle, and words of sketches that are compared at once.
-DEAL, AT_ONCE = 20_000, 1 << 20
+#: Bytes of bucket members that are compared in one group of a shuffle (a group names a pair once, whatever buckets it shares),
+#: and words of sketches that are compared at once.
+DEAL_BYTES, AT_ONCE = 24 << 20, 1 << 20
 #: Words of a filter: 16 bits for each key it holds, within these bounds (16 MB at most are broadcast).
 BLOOM_LEAST, BLOOM_MOST = 1 << 12, 1 << 21
 _U = np.uint64
@@ -445,8 +446,7 @@ def _across(top: int | None):
 
 def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, top: int | None) -> DataFrame:
     """Candidate pairs (a, b) of the buckets (bucket, cid, k) in different components; more: some member had more than top."""
-    spark = members.sparkSession
-    deals = max(partitions(spark), members.count() // DEAL)
+    deals = max(1, (members.agg(F.sum(F.col("bytes") + 64)).first()[0] or 0) // DEAL_BYTES)
     rooted = members.join(roots, members["cid"] == roots["node"], "left").select("bucket", "cid", "k", F.coalesce("root", "cid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max_by("root", F.struct("size", "root")).alias("most")).where("r <> s").select("bucket", "most")
     rows = rooted.join(mixed, "bucket").join(classes, "cid").withColumn("names", F.lit(True) if top is None else F.col("root") != F.col("most"))
@@ -472,8 +472,9 @@ def _buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     packed = texts.select("text").mapInArrow(tidy(_index(parts, counts)), "part int, ids binary, place binary, low binary, high binary")
     met = staged(packed.groupBy("part").applyInArrow(_meet, "a long, b long, bucket long"), "met")
     stars = met.where("bucket is null").select("a", "b").distinct()
-    members = staged(met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct(), "members")
     classes = rows.where("sketch is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    members = met.where("bucket is not null").select("bucket", F.col("b").alias("cid"), F.col("a").alias("k")).distinct()
+    members = staged(members.join(classes.select("cid", F.octet_length("sketch").alias("bytes")), "cid"), "members")
     return rows, stars, members, classes
 
 
