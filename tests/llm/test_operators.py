@@ -127,17 +127,15 @@ def test_fingerprints(spark, texts):
 
 def test_pii(spark):
     texts = [None, "", "a@b.c_d@e.f x 1.2.3.256 and 1.2.3.4 +1 (386) 555-3733", "4111111111111111" + " 1" * 40, "Tel: 555-123-4567 or me (at) site (dot) org"]
-    rows = pii.detect(pii.staged(pii.candidates(table(spark, texts)), "t")).select("doc_id", pii.joined(F.col("base_")).alias("b")).collect()
+    rows = pii.detect(pii.staged(pii.candidates(table(spark, texts)), "t")).select("row.doc_id", pii.joined(F.col("base")).alias("b")).collect()
     got = {r.doc_id: r.b for r in rows}
     assert got[2] == "email:0:5,email:5:11,ip:28:35,phone:36:53" and got[0] == got[1] == ""
     assert pii.redact(table(spark, texts)).where("doc_id = 2").first().text.startswith("[EMAIL][EMAIL] x 1.2.3.256 and [IP] [PHONE]")
 
 
 def test_lm(spark, texts):
-    got = lm.score(table(spark, texts), block_docs=16).toPandas()
+    got = lm.score(table(spark, texts), block_bytes=4096).toPandas()
     assert set(got.n_tokens) and got.base_score.lt(0).all() and np.isfinite(got.score).all()
-    table_ = lm.context_table(lm.train_nce(np.ones((lm.UNITS**2, lm.UNITS), np.int64), steps=2))
-    assert np.allclose((10.0**table_).sum(1), 1, atol=1e-3)
 
 
 def test_toxicity(spark):
