@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lodestone.operators import chunks, packing
+from lodestone.operators import resolution as merges
 from lodestone.plans import census, events, evidence, graph, links, records, resolution, temporal, text
 from lodestone.streaming import events as stream
 
-MODULES = (temporal, graph, events, text, resolution, records, evidence, links, census, stream)
+MODULES = (temporal, graph, events, text, resolution, records, evidence, links, census, chunks, packing, merges, stream)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -15,7 +15,7 @@ def rows(frame, columns):
     return sorted(map(repr, frame.itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_twin(spark, name):
     con = duckdb.connect()
     for t in DATA.glob("*.parquet"):
