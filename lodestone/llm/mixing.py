@@ -33,7 +33,7 @@ CAP = 2.0
 #: Entries (or residuals) that one task settles in sequence.
 FAN_IN = 2048
 
-_STATE = "doc_id long, source string, size long, n long, source_size long, target double, most long, bucket long, whole long, part double, draw double, open boolean"
+_STATE = "doc_id string, source string, size long, n long, source_size long, target double, most long, bucket long, whole long, part double, draw double, open boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -137,6 +137,8 @@ def _share() -> Column:
 
 def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) -> DataFrame:
     """One row per distinct (doc_id, source, size) with the number n of such rows and the copies they have together."""
+    kind = dict(rows.dtypes)["doc_id"]  # pandas would make floats of ids with nulls, so they travel as text
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     rows = staged(rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     targets = staged(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), **plan), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in))
@@ -167,7 +169,7 @@ def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) ->
             out = out.unionByName(state.withColumn("whole", F.col("whole") + (F.col("open") & (F.col("draw") < F.col("part"))).cast("long")))
             break
         left /= fan_in
-    return out.select("doc_id", "source", "size", "n", "source_size", "target", F.col("whole").alias("copies"))
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "n", "source_size", "target", F.col("whole").alias("copies"))
 
 
 def apply_mix(docs: DataFrame, seed: int = 17) -> DataFrame:
