@@ -77,13 +77,17 @@ def fit(items: DataFrame, budget: int = BUDGET) -> DataFrame:
     more than these to its task, whatever it holds.
     """
     size = F.greatest(F.lit(1), F.floor(F.char_length(clip(F.coalesce("text", F.lit("")))) / CHARS + 0.999)).cast("int")
-    rows = items.select("query", "kind", "id", "score", size.alias("tokens"))
+    given = dict(items.dtypes)["id"]  # pandas would make floats of ids with nulls, so they travel as text
+    rows = items.select("query", "kind", F.struct(F.col("id").isNull().alias("none"), "id").alias("id"), "score", size.alias("tokens"))
     best = F.row_number().over(Window.partitionBy("query", "kind").orderBy(F.col("score").desc_nulls_last(), "id"))
     same = F.row_number().over(Window.partitionBy("query", "tokens").orderBy(F.col("score").desc_nulls_last(), "id"))
     rows = rows.withColumn("first", best == 1).withColumn("nth", same).where((F.col("nth") <= F.floor(F.lit(budget) / F.col("tokens"))) | F.col("first"))
 
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.col("first").desc(), F.col("score").desc_nulls_last(), "id"))
+    rows = rows.withColumn("rank", order).select("query", F.col("id.id").cast("string").alias("id"), "tokens", "rank")
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["first", "score", "id"], ascending=[False, False, True], na_position="last", kind="stable")
+        g = g.sort_values("rank")
         left, took = budget, []
         for n in g["tokens"]:
             took.append(n <= left)
@@ -91,8 +95,8 @@ def fit(items: DataFrame, budget: int = BUDGET) -> DataFrame:
         kept = g[took]
         return kept[["query", "id", "tokens"]].assign(place=range(len(kept)))
 
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("query").applyInPandas(run, f"query {kinds['query']}, id {kinds['id']}, tokens int, place int")
+    made = rows.groupBy("query").applyInPandas(run, f"query {dict(rows.dtypes)['query']}, id string, tokens int, place int")
+    return made.withColumn("id", F.col("id").cast(given))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
