@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, merge_tree, partitions, staged, text_buffer, tidy, word_hashes, words
 
 #: Single words of the vocabulary by the root of the training tokens, their most, and the classes of the other words by ending.
-WORDS_BY_ROOT, WORDS_MOST, CLASSES = 4, 1 << 16, 254
+WORDS_BY_ROOT, WORDS_MOST, CLASSES = 2, 1 << 16, 254
 SMOOTH = 0.1
 #: Bytes of text of a block and of a part's share of the corpus; words of a part that are kept as candidates occur so often.
 BLOCK_BYTES, PART_BYTES, CANDIDATE = 3 << 20, 64 << 20, 4
 #: Vector length, noise samples of a minibatch (words, groups), its tokens, step size, rounds; units of a slice that is merged at once.
-DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 48, 16, 512, 0.04, 2, 8192
+DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 32, 12, 768, 0.04, 2, 8192
 _U = np.uint64
 
 
@@ -213,6 +213,14 @@ def start(units: Units, seed: int = 5) -> dict[str, np.ndarray]:
     return p
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in the place of x."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Adagrad steps of NCE on a copy of the parameters; knows which rows were touched, and how often."""
 
@@ -223,27 +231,29 @@ class Trainer:
         self.hits = {k: np.zeros(len(v), np.int64) for k, v in p.items()}
         share = (units.unit_tokens + 1.0) / (units.unit_tokens.sum() + units.n)
         of_group = np.bincount(np.arange(units.n) // units.width, share, units.groups)
-        self.noise = {"Q": (share, np.cumsum(share), NOISE), "G": (of_group, np.cumsum(of_group), NOISE_GROUPS)}
+        self.noise = {k: (np.log(n * x).astype(np.float32), np.cumsum(x), n) for k, x, n in (("Q", share, NOISE), ("G", of_group, NOISE_GROUPS))}
 
     def _step(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
         """One Adagrad step on rows at; rows may be named several times, each has one running square."""
         order = np.argsort(at, kind="stable")
         at = at[order]
-        head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        new = np.ones(len(at), bool)
+        np.not_equal(at[1:], at[:-1], out=new[1:])
+        head = np.flatnonzero(new)
         total, at = np.add.reduceat(grad[order], head, axis=0), at[head]
-        self.hits[name][at] += np.diff(np.r_[head, len(order)])
-        self.squares[name][at] += (total * total).mean(1)
-        self.p[name][at] -= RATE * total / np.sqrt(self.squares[name][at])[:, None]
+        self.hits[name][at] += np.diff(np.append(head, len(order)))
+        squares = self.squares[name][at] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.squares[name][at] = squares
+        total *= (RATE / np.sqrt(squares))[:, None]
+        self.p[name][at] -= total
 
     def _contrast(self, name: str, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
         """NCE against noise shared by the minibatch: steps on the target table, and the gradient of hidden (with bias column)."""
-        share, summed, k = self.noise[name]
-        fake = np.minimum(np.searchsorted(summed, self.rng.random(k) * summed[-1]), len(share) - 1)
+        lift, summed, k = self.noise[name]
+        fake = np.minimum(np.searchsorted(summed, self.rng.random(k) * summed[-1]), len(lift) - 1)
         own, other = self.p[name][target], self.p[name][fake]
-        real = (hidden * own).sum(1) - np.log(k * share[target]).astype(np.float32)
-        false = hidden @ other.T - np.log(k * share[fake]).astype(np.float32)
-        e_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        e_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        e_real = -_sigmoid(lift[target] - np.einsum("ij,ij->i", hidden, own))
+        e_false = _sigmoid(hidden @ other.T - lift[fake])
         back = e_real[:, None] * own + e_false @ other
         self._step(name, np.concatenate([target, fake]), np.concatenate([e_real[:, None] * hidden, e_false.T @ hidden]))
         return back[:, :DIM]
@@ -319,24 +329,28 @@ def train_round(texts: DataFrame, units: Units, p: dict[str, np.ndarray], tasks:
 def log_probabilities(units: Units, p: dict[str, np.ndarray], two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each target after its two units, by batched matrix products."""
     first, second = p["R"] @ p["C"][:DIM], p["R"] @ p["C"][DIM:]
-    out = np.empty(len(target))
-    for a in range(0, len(target), 16384):
-        b = min(len(target), a + 16384)
-        hidden = np.ones((b - a, DIM + 1), np.float32)
-        hidden[:, :DIM] = first[two[a:b]] + second[one[a:b]]
-        group = target[a:b] // units.width
-        score = hidden @ p["G"].T
-        score -= score.max(1, keepdims=True)
-        value = score[np.arange(b - a), group] - np.log(np.exp(score).sum(1))
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(units.groups + 1))
-        for g in np.flatnonzero(np.diff(cut)):
-            own = order[cut[g] : cut[g + 1]]
-            score = hidden[own] @ p["Q"][g * units.width : (g + 1) * units.width].T
-            score -= score.max(1, keepdims=True)
-            value[own] += score[np.arange(len(own)), target[a:b][own] - g * units.width] - np.log(np.exp(score).sum(1))
-        out[a:b] = value / np.log(10)
-    return out
+    n, group = len(target), target // units.width
+    hidden = np.ones((n, DIM + 1), np.float32)
+    hidden[:, :DIM] = first[two] + second[one]
+    value = np.empty(n)
+
+    def normalised(own: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
+        score = hidden[own] @ table.T
+        picked = score[np.arange(len(own)), place]
+        np.clip(score, -80, 80, out=score)  # far beyond what training reaches; keeps exp within floats
+        return np.clip(picked, -80, 80) - np.log(np.exp(score, out=score).sum(1))
+
+    for a in range(0, n, 8192):
+        own = np.arange(a, min(n, a + 8192))
+        value[own] = normalised(own, p["G"], group[own])
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(units.groups + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        table = p["Q"][g * units.width : (g + 1) * units.width]
+        for a in range(cut[g], cut[g + 1], 8192):
+            own = order[a : min(cut[g + 1], a + 8192)]
+            value[own] += normalised(own, table, target[own] - g * units.width)
+    return value / np.log(10)
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -392,8 +406,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             all_counts = np.full(len(unit), u.n_ends, np.int64)
             all_counts[~end] = c
             base = np.log10((all_counts + SMOOTH) / (u.tokens + SMOOTH * (u.distinct + 1)))
-            code, inverse = np.unique((two * u.n + one) * u.n + unit, return_inverse=True)
-            model = log_probabilities(u, p, code // (u.n * u.n), code // u.n % u.n, code % u.n)[inverse]
+            model = log_probabilities(u, p, two, one, unit)
             model[~end] += u.word_share(unit[~end], c)
             for name, value in (("n_known", all_counts > 0), ("base", base), ("score", model)):
                 out[name][i:j] = np.add.reduceat(value.astype(np.float64), first[:-1])
