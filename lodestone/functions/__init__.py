@@ -1 +1 @@
-
+"""Column functions over names, labels, citations and keys."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.operators import chunks, communities, packing
+from lodestone.functions import names
+from lodestone.operators import chunks, communities, packing, terms
 from lodestone.operators import resolution as merges
 from lodestone.plans import census, events, evidence, full, graph, links, records, resolution, temporal, text
 from lodestone.sources import records as raw
 from lodestone.streaming import events as stream
+from lodestone.streaming import windows
 
-MODULES = (temporal, graph, events, text, resolution, records, evidence, links, census, full, chunks, packing, merges, communities, raw, stream)
+MODULES = (temporal, graph, events, text, resolution, records, evidence, links, census, full, chunks, packing, merges, communities, names, terms, raw, stream, windows)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

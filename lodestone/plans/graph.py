@@ -21,7 +21,7 @@ WHERE NOT EXISTS (SELECT 1 FROM {part} p WHERE p.p_partkey = l.l_partkey AND p.p
     "joi06_semi": """
 SELECT p_partkey, p_name FROM {part} p WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 40)""",
     "joi07_anti": """
-SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)""",
+SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""",
     "joi08_collapse": """
 SELECT DISTINCT o.o_custkey AS custkey, l.l_partkey AS partkey FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey""",
     # items that touch the same things as an anchor; anchors are the orders whose key 20 divides
@@ -49,8 +49,9 @@ SELECT coalesce(last_status, 'never') AS last_status, count(*) AS n FROM {custom
 SELECT n_nationkey, c_custkey AS owner, orders, parts FROM (
   SELECT n_nationkey, c_custkey, orders, parts, row_number() OVER (PARTITION BY n_nationkey ORDER BY orders DESC, parts DESC, c_custkey) AS rn
   FROM {nation} JOIN (
-    SELECT c_custkey, c_nationkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT l_partkey) AS parts
-    FROM {customer} JOIN {orders} ON o_custkey = c_custkey JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY c_custkey, c_nationkey) s
+    SELECT c_custkey, c_nationkey, orders, parts FROM {customer}
+    JOIN (SELECT o_custkey AS a, count(*) AS orders FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem}) GROUP BY o_custkey) o ON a = c_custkey
+    JOIN (SELECT b, count(*) AS parts FROM (SELECT DISTINCT o_custkey AS b, l_partkey FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey) p GROUP BY b) q ON b = c_custkey) s
   ON c_nationkey = n_nationkey) t WHERE rn = 1""",
     "agg21_superlatives": """
 SELECT l_partkey, count(DISTINCT l_orderkey) AS orders FROM {lineitem} GROUP BY l_partkey ORDER BY orders DESC, l_partkey LIMIT 1""",
@@ -63,7 +64,7 @@ SELECT o_orderstatus, derived, count(*) AS n FROM (
   GROUP BY o_orderkey, o_orderstatus) t GROUP BY o_orderstatus, derived""",
     "set02_pairs": """
 SELECT DISTINCT least(l_suppkey, l_partkey) AS u, greatest(l_suppkey, l_partkey) AS v FROM {lineitem} WHERE l_suppkey <> l_partkey""",
-    "set04_except": "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem}",
+    "set04_except": "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45",
     "set07_distinct": "SELECT l_partkey FROM {lineitem} INTERSECT SELECT p_partkey FROM {part} WHERE p_size > 25",
     "agg47_jaccard": """
 WITH s AS (SELECT DISTINCT o_custkey, l_partkey, year(o_orderdate) % 2 AS side FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey),
