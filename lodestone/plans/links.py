@@ -1,4 +1,4 @@
-"""Links, components, bands and shared touches over every row; their namesakes without _all take one anchor in 20."""
+"""Links, components, bands and shared touches over every row; joi10_shared and joi11_cotouch without _all are searches from one anchor in 20."""
 
 from __future__ import annotations
 
@@ -146,3 +146,7 @@ SELECT a_key, b_key, partkey FROM (
   SELECT a.l_orderkey AS a_key, b.l_orderkey AS b_key, a.l_partkey AS partkey, row_number() OVER (PARTITION BY a.l_orderkey, b.l_orderkey ORDER BY a.l_partkey) AS rn
   FROM e a JOIN e b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey) t WHERE rn <= 5""",
 }
+#: Components, partitions, closures and bands are no searches: their plain names, too, stand for the whole link table.
+WHOLE = ("grf06_components", "grf15_partition", "grf11_closure", "mth03_band", "grf05_floors")
+QUERIES |= {name: QUERIES[f"{name}_all"] for name in WHOLE}
+ORACLES |= {name: ORACLES[f"{name}_all"] for name in WHOLE}
