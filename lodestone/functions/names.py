@@ -40,6 +40,11 @@ def folded(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
+#: What a reference looks like, links first, and what a link leads to.
+REFERENCES = (("url", r"https?://[^\s)\]>]+"), ("proposal", r"\bKIP-[0-9]+\b"), ("issue", r"\b[A-Z][A-Z0-9]+-[0-9]+\b"), ("pull", r"#[0-9]+\b"), ("user", r"\[~[A-Za-z0-9_.-]+\]|@[A-Za-z][A-Za-z0-9_.-]*"))
+LINKED = (("issue", r"/browse/([A-Za-z][A-Za-z0-9]+-[0-9]+)"), ("pull", r"/pull/([0-9]+)"), ("proposal", r"/wiki/[^\s]*?([Kk][Ii][Pp]-[0-9]+)"))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -90,6 +95,27 @@ def anchors(text: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in found.items()])
 
 
+def references(text: Column) -> Column:
+    """What a text refers to, in order of first appearance, each once: kind and key.
+
+    One pattern finds links and bare keys at once, so what stands inside a link is not found again. A link to an item, a
+    page or a change refers to that; keys in lower case count only where the host of a link says what they are.
+    """
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("|".join(p for _, p in REFERENCES)), F.lit(0))
+
+    def named(x: Column) -> Column:
+        kind, key = F.lit("url"), x
+        for name, pattern in reversed(REFERENCES[1:]):
+            kind = F.when(x.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
+        for name, pattern in LINKED:
+            inside = F.regexp_extract(x, pattern, 1)
+            hit = x.startswith("http") & (inside != "")
+            kind, key = F.when(hit, name).otherwise(kind), F.when(hit, inside).otherwise(key)
+        return F.struct(kind.alias("kind"), F.upper(F.regexp_replace(key, r"^[#@]|^\[~|\]$", "")).alias("key"))
+
+    return F.array_distinct(F.transform(found, named))
+
+
 def runs(text: Column) -> Column:
     """Test runs, a line each: key, verdict and note."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"^\s*[A-Z]+-[0-9]+:\s*(?:PASS|FAIL|BLOCKED)"))
@@ -110,7 +136,13 @@ QUERIES = {
     "str19_runs": lambda spark, sf_dir: _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(runs(F.concat(F.lit("XT-"), "o_orderkey", F.lit(": "), F.when(F.col("o_orderstatus") == "F", "PASS ok").otherwise("FAIL"), F.lit("\nno run\n XP-1: BLOCKED")))).alias("r")).select("o_orderkey", "r.key", "r.verdict", "r.note"),
 }
 _FOUND = "len(list_distinct(regexp_extract_all(coalesce(text, ''), '{}')))"
+_PROSE = ("SELECT o_orderkey, 'see https://x.org/browse/item-' || o_orderkey || ' and ITEM-' || o_custkey || ', #' || o_orderkey % 100 || ' (KIP-' || o_custkey % 9 || ') by @u' || o_custkey % 5 || ' ITEM-' || o_custkey AS t FROM {}")
+QUERIES["str01_references"] = lambda spark, sf_dir: spark.sql(_PROSE.format("{orders}"), orders=_table(spark, sf_dir, "orders")).select("o_orderkey", F.posexplode(references(F.col("t"))).alias("place", "r")).select("o_orderkey", F.col("place").cast("long").alias("place"), "r.kind", "r.key")
 ORACLES = {
+    "str01_references": """
+SELECT o_orderkey, CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT) AS place, unnest(['issue', 'issue', 'pull', 'proposal', 'user']) AS kind,
+       unnest(['ITEM-' || o_orderkey, 'ITEM-' || o_custkey, '' || o_orderkey % 100, 'KIP-' || o_custkey % 9, 'U' || o_custkey % 5]) AS key FROM orders WHERE o_orderkey <> o_custkey
+UNION ALL SELECT o_orderkey, CAST(unnest([0, 1, 2, 3]) AS BIGINT), unnest(['issue', 'pull', 'proposal', 'user']), unnest(['ITEM-' || o_orderkey, '' || o_orderkey % 100, 'KIP-' || o_custkey % 9, 'U' || o_custkey % 5]) FROM orders WHERE o_orderkey = o_custkey""",
     "str02_names": "SELECT c_custkey, trim(regexp_replace(lower(c_name || '_' || c_mktsegment), '[^a-z0-9]+', ' ', 'g')) AS norm FROM customer",
     "str18_labels": "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'Blocker' WHEN '4-NOT SPECIFIED' THEN 'Task' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' END AS label, count(*) AS n FROM orders GROUP BY 1",
     "str21_citations": """

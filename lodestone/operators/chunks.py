@@ -140,10 +140,14 @@ def block_rows(docs: DataFrame) -> DataFrame:
     return made.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
+#: Tags and what stands for them in Markdown; all other tags are dropped.
+_TAGS = ((r"(?i)<h([12])[^>]*>", "\n\n## "), (r"(?i)<h[3-6][^>]*>", "\n\n### "), (r"(?i)<tr[^>]*>", "\n| "), (r"(?i)</?pre[^>]*>", "\n```\n"), (r"(?i)</?(?:p|div|h[1-6]|ul|ol|table)[^>]*>", "\n\n"), (r"(?i)<li[^>]*>", "\n- "), (r"<[^>]*>", ""))
+
+
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as Markdown: headings, rows of tables and code from their tags, all other tags dropped."""
+    """Pages as Markdown: headings, rows of tables, items of lists and code from their tags."""
     text = F.coalesce("html", F.lit(""))
-    for pattern, made in ((r"(?i)<h([12])[^>]*>", "\n\n## "), (r"(?i)<h[3-6][^>]*>", "\n\n### "), (r"(?i)<tr[^>]*>", "\n| "), (r"(?i)</?pre[^>]*>", "\n```\n"), (r"(?i)</?(?:p|div|h[1-6]|ul|ol|table)[^>]*>", "\n\n"), (r"(?i)<li[^>]*>", "\n- "), (r"<[^>]*>", "")):
+    for pattern, made in _TAGS:
         text = F.regexp_replace(text, pattern, made)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), text.alias("text"))
 
@@ -158,4 +162,8 @@ QUERIES = {
     "str15_blocks": lambda spark, sf_dir: block_rows(_markdown(spark, sf_dir)),
     "str15_paragraphs": lambda spark, sf_dir: block_rows(_texts(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("chars").alias("chars")),
 }
-ORACLES: dict[str, str] = {}
+_SQL = "coalesce(html, '')"
+for _pattern, _made in _TAGS:
+    _SQL = f"regexp_replace({_SQL}, '{_pattern}', '{_made}', 'g')"
+QUERIES["str17_markdown"] = lambda spark, sf_dir: _markdown(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+ORACLES = {"str17_markdown": f"SELECT page_id, md5({_SQL}) AS digest, CAST(length({_SQL}) AS BIGINT) AS chars FROM pages"}
