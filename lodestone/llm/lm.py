@@ -39,7 +39,7 @@ SMOOTH = 0.1
 #: Bytes of text of a block and of a part's share of the corpus; words of a part that are kept as candidates occur so often.
 BLOCK_BYTES, PART_BYTES, CANDIDATE = 3 << 20, 64 << 20, 4
 #: Vector length, noise samples of a minibatch (words, groups), its tokens, step size, rounds; units of a slice that is merged at once.
-DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 32, 12, 768, 0.04, 2, 8192
+DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 32, 8, 640, 0.035, 2, 8192
 _U = np.uint64
 
 
@@ -226,7 +226,7 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], units: Units, seed: int):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.width, self.rng = units.width, np.random.default_rng(seed)
+        self.width, self.steps, self.rng = units.width, 0, np.random.default_rng(seed)
         self.squares = {k: np.full(len(v), 1e-4, np.float32) for k, v in p.items()}
         self.hits = {k: np.zeros(len(v), np.int64) for k, v in p.items()}
         share = (units.unit_tokens + 1.0) / (units.unit_tokens.sum() + units.n)
@@ -263,7 +263,10 @@ class Trainer:
         x2, x1 = r[two], r[one]
         hidden = np.ones((len(two), DIM + 1), np.float32)
         hidden[:, :DIM] = x2 @ c[:DIM] + x1 @ c[DIM:]
-        back = self._contrast("Q", hidden, target) + self._contrast("G", hidden, target // self.width)
+        back = self._contrast("Q", hidden, target)
+        self.steps += 1
+        if self.steps % 2:  # groups are few: every other minibatch is enough for them
+            back += self._contrast("G", hidden, target // self.width)
         to2, to1 = back @ c[:DIM].T, back @ c[DIM:].T
         step_c = np.concatenate([x2.T @ back, x1.T @ back])
         self._step("R", np.concatenate([two, one]), np.concatenate([to2, to1]))
