@@ -18,7 +18,8 @@ answers every block. So a frequent word travels once a block, and no task holds
 by 48 hash bits and their last two bytes.
 
 Defined results: null texts are empty and have one token, the end; a null doc_id counts as the empty text for
-crc32; equal texts have equal scores; without training documents N and V are 0, nothing is known and the model
+crc32; equal texts have equal counts and base scores, and model scores that agree to about seven digits (matrix
+products round by the shape of a block); without training documents N and V are 0, nothing is known and the model
 is uniform over groups and units; an empty table gives no rows; other columns are ignored.
 """
 

@@ -108,8 +108,10 @@ def _batch_of(rows: list[tuple], kind):
 
 def _parted(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs, and the places that have it."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
-    head = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]][: len(part)])
+    head = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
     for a, b in zip(head, [*head[1:], len(part)], strict=True):
         yield int(part[order[a]]), order[a:b]
 
