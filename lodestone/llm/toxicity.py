@@ -41,7 +41,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
         bounds = offsets[i : j + 1] - offsets[i]
         grams = []
         for n in range(MIN_N, MAX_N + 1):
-            h = (sums[n:] - sums[: len(sums) - n]) * down[: max(0, len(sums) - n)]
+            m = max(0, len(sums) - n)
+            h = (sums[n:] - sums[:m]) * down[:m]
             grams.append((mix(h + _U(n)) & _U(BUCKETS - 1)).astype(np.int32))
         for k in range(j - i):
             a, b = bounds[k], bounds[k + 1]
