@@ -332,8 +332,8 @@ def _sets_of(bloom):
 
 def _filter(keys: DataFrame, name: str):
     """A broadcast filter over the long column name of keys (distinct, materialised), sized by their number."""
-    size = BLOOM_LEAST
-    while size < BLOOM_MOST and 64 * size < 16 * keys.count():
+    size, n = BLOOM_LEAST, keys.count()
+    while size < BLOOM_MOST and 64 * size < 16 * n:
         size *= 4
     place = F.shiftright(name, 6).bitwiseAND(F.lit(size - 1)).alias("w")
     filled = keys.groupBy(place).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({name} & 63 as int))")).alias("bits")).toPandas()  # at most BLOOM_MOST rows
