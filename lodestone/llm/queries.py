@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, pieces, pii, suffix, toxicity, twins, warc
+from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, negatives, pieces, pii, suffix, toxicity, twins, warc, whitening
 
 QUERIES = {
     "op3_suffix_dedup": suffix.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op6_fingerprints": fingerprint.query,
     "op7_warc_archive": warc.query,
     "op10_toxicity": toxicity.query,
+    "op11_hard_negatives": negatives.query,
+    "op13_whitening": whitening.query,
     "op9_jaccard_pairs": jaccard.pair_query,
     "op9_jaccard_links": jaccard.count_query,
 } | twins.QUERIES
-ORACLES = {"op7_warc_archive": warc.ORACLE} | twins.ORACLES
+ORACLES = {"op7_warc_archive": warc.ORACLE, "op11_hard_negatives": negatives.ORACLE} | twins.ORACLES
