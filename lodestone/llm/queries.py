@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, negatives, pieces, pii, suffix, toxicity, twins, warc, whitening
+from lodestone.llm import fingerprint, gif, jaccard, lm, mixing, negatives, pieces, pii, setsketch, suffix, toxicity, twins, warc, whitening
 
 QUERIES = {
     "op3_suffix_dedup": suffix.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_warc_archive": warc.query,
     "op10_toxicity": toxicity.query,
     "op11_hard_negatives": negatives.query,
+    "op12_setsketch_dedup": setsketch.query,
     "op13_whitening": whitening.query,
     "op9_jaccard_pairs": jaccard.pair_query,
     "op9_jaccard_links": jaccard.count_query,

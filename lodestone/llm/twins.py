@@ -24,20 +24,26 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
        sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN o ON o.r = d.r"""
 
-#: Sets of 5-word shingles, linked at 75 of 100, and their components; ids of documents are unique in the tables.
-JACCARD = f"""
+
+def _links(size: int, percent: int) -> str:
+    """Sets of shingles of so many words, linked at so many hundredths, and their components; ids of documents are unique in the tables."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
-x AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k : k + 4], ' ') END AS g
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE len(w) > 0) t),
+x AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < {size} THEN array_to_string(w, ' ') ELSE array_to_string(w[k : k + {size - 1}], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS k FROM d WHERE len(w) > 0) t),
 n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
 r AS (SELECT u AS doc_id, u AS seen FROM e UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.seen),
 m AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.least, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""
 
+
+JACCARD = _links(5, 75)
+SETSKETCH = f"SELECT *, doc_id = component_id AS kept FROM ({_links(2, 80)})"
+
 _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) WHEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) > 4 THEN 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT) END)) % 10 = 0"
 _KINDS = (
@@ -119,6 +125,7 @@ QUERIES = {"llm_pii_base": pii_base, "llm_mix_targets": mix_targets, "llm_edited
 ORACLES = {
     "op3_suffix_dedup": SUFFIX,
     "op9_ngram_jaccard": JACCARD,
+    "op12_setsketch_dedup": SETSKETCH,
     "llm_pii_base": PII_BASE,
     "llm_mix_targets": MIX_TARGETS,
     "llm_edited_texts": EDITS,
