@@ -9,9 +9,10 @@ union are the larger of both, element by element, and two sets agree in a regist
 Bands of BAND registers name buckets. With 40 bands of 4 a pair at 0.8 meets nowhere with a chance of (1 - 0.8^4)^40, under 1e-9.
 Buckets are counted with partial sums and joined as stars, so a hot bucket is never gathered; the likelihood of the numbers of registers that are larger on the
 left, on the right, and equal, given both set sizes, drops pairs for which a similarity of 0.8 is six standard errors away; what stays is verified
-on the whole sets and joined into components. Buckets that still hold several components are looked at again in rounds, as
-in the n-gram join: members outside the largest component name their nearest members of other components, until no member
-has left any out. No bucket is capped and copies are never expanded into pairs.
+on the whole sets and joined into components. Buckets that still hold several components are looked at again in rounds:
+members outside the largest component name the TOP members of other components that are nearest by a parity sketch, which can
+never rule out a pair that links; while some member had more, a round follows in which it may name GROWTH times as many.
+No bucket is capped, no link between components is lost, and copies are never expanded into pairs.
 
 Defined results: null or empty texts have no shingles, size 0, no links and their own doc_id as component; one word is one shingle; equal
 rows share a component, and rows that share a doc_id are judged each by its text; a null doc_id takes part but is never a
@@ -38,6 +39,11 @@ REGISTERS = BANDS * BAND
 BASE, RATE, LAST = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors by which a pair may miss LINK and still be verified; pairs whose registers are compared at once.
 ERRORS, AT_ONCE = 6.0, 4096
+#: Bits of a parity sketch for each shingle at least, and the least width; words of sketches that are compared at once.
+PARITY, LEAST, WORDS = 8, 256, 1 << 20
+#: Members that a member of a bucket names in the first round, and their growth by round; members that one task compares with
+#: as many others; bytes of members that are compared in one group of a shuffle.
+TOP, GROWTH, BLOCK, DEAL_BYTES = 8, 64, 4096, 24 << 20
 _U = np.uint64
 
 
@@ -112,6 +118,95 @@ def joint(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[n
     return best, np.where(best < LINK / 100, np.sqrt(2 * np.maximum(gap, 0)), 0.0)
 
 
+def parity_width(n: np.ndarray) -> np.ndarray:
+    """Bits of the parity sketch of a set of n shingles: a power of two."""
+    return np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(PARITY * n, 1))).astype(np.int64))
+
+
+def parity(g: np.ndarray) -> bytes:
+    """Each shingle flips one bit, so sets that differ in d shingles differ in at most d bits."""
+    width = int(parity_width(np.array(len(g))))
+    at = (mix(g ^ _U(0x3C6EF372)) & _U(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketches: pa.Array, own: np.ndarray, width: int, to: int) -> np.ndarray:
+    """The sketches of these members, of one width, folded by exclusive or to a lesser one."""
+    rows = np.frombuffer(b"".join(sketches.take(pa.array(own)).to_pylist()), _U)
+    return np.bitwise_xor.reduce(rows.reshape(len(own), width // to, to // 64), axis=1)
+
+
+def nearest(n: np.ndarray, root: np.ndarray, cid: np.ndarray, sketches: pa.Array, namers: np.ndarray, others: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (namer, other) of different components that sizes and sketches allow, the top nearest of each namer; was any left out.
+
+    Sets of n and m shingles link only if they differ in at most (n + m) (100 - LINK) / (100 + LINK) of them.
+    """
+    width, found = parity_width(n), [(np.zeros(0, np.int64),) * 3]
+    for w in np.unique(width[namers]):
+        own = namers[width[namers] == w]
+        for v in (w // 2, w, w * 2):
+            there = others[width[others] == v]
+            if not len(there):
+                continue
+            to = int(min(v, w))
+            x, y = _folded(sketches, own, int(w), to), _folded(sketches, there, int(v), to)
+            step = max(1, WORDS // y.size)
+            for k in range(0, len(own), step):
+                i = own[k : k + step]
+                total = n[i][:, None] + n[there]
+                fits = (root[i][:, None] != root[there]) & ((100 + LINK) * np.abs(n[i][:, None] - n[there]) <= (100 - LINK) * total)
+                a, b = np.nonzero(fits)
+                if 4 * len(a) < fits.size:
+                    differ = np.bitwise_count(x[k + a] ^ y[b]).sum(1, dtype=np.int64)
+                else:
+                    differ = np.bitwise_count(x[k : k + step, None] ^ y).sum(2, dtype=np.int64)[a, b]
+                near = (100 + LINK) * differ <= (100 - LINK) * total[a, b]
+                found.append((i[a[near]], there[b[near]], differ[near]))
+    left, right, far = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((cid[right], far, left))
+    left, right = left[order], right[order]
+    head = np.flatnonzero(np.r_[True, left[1:] != left[:-1]][: len(left)])
+    rank = np.arange(len(left)) - np.repeat(head, np.diff(np.r_[head, len(left)]))
+    return left[rank < top], right[rank < top], bool((rank >= top).any())
+
+
+def _name(top: int):
+    """The pairs that are named between the blocks of buckets dealt to one group; more: some member had more than top."""
+
+    def run(table: pa.Table) -> pa.Table:
+        c = {k: table.column(k).to_numpy() for k in ("bucket", "block", "other", "mine", "cid", "root", "n", "names")}
+        sketches = table.column("sketch").combine_chunks()
+        order = np.lexsort((c["other"], c["block"], c["bucket"]))
+        key = np.stack([c[k][order] for k in ("bucket", "block", "other")])
+        pairs, more = [np.zeros((0, 2), np.int64)], False
+        for own in np.split(order, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1):
+            left, right = own[c["mine"][own] == c["block"][own]], own[c["mine"][own] == c["other"][own]]
+            tries = [(left[c["names"][left]], right)]
+            if c["block"][own[0]] != c["other"][own[0]]:
+                tries.append((right[c["names"][right]], left[~c["names"][left]]))
+            for namers, others in tries:
+                x, y, rest = nearest(c["n"], c["root"], c["cid"], sketches, namers, others, top)
+                pairs.append(np.sort(np.stack([c["cid"][x], c["cid"][y]], axis=1), axis=1))
+                more |= rest
+        once = np.unique(np.concatenate(pairs), axis=0)
+        return pa.table([pa.array(once[:, 0]), pa.array(once[:, 1]), pa.array(np.full(len(once), more))], names=["a", "b", "more"])
+
+    return run
+
+
+def _rest(members: DataFrame, classes: DataFrame, roots: DataFrame, top: int) -> DataFrame:
+    """Named pairs (a, b) of the buckets (bucket, cid, k) that hold several components; more: some member had more than top."""
+    deals = max(1, (members.agg(F.sum(F.col("bytes") + 64)).first()[0] or 0) // DEAL_BYTES)
+    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("bucket", "cid", "k", F.coalesce("root", "cid").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.max_by("root", F.struct("size", "root")).alias("most")).where("r <> s").select("bucket", "most")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    rows = rooted.join(mixed, "bucket").join(classes, "cid").withColumn("names", F.col("root") != F.col("most")).withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block", F.least("mine", "with")).withColumn("other", F.greatest("mine", "with"))
+    rows = rows.select(F.pmod(F.xxhash64("bucket", "block", "other"), F.lit(deals)).alias("deal"), "bucket", "block", "other", "mine", "cid", "root", "n", "names", "sketch")
+    found = rows.groupBy("deal").applyInArrow(_name(top), "a long, b long, more boolean")
+    return staged(found.groupBy("a", "b").agg(F.max("more").alias("more")), "rest")
+
+
 _SKETCHED = "doc_id long, n long, cid long, registers binary, parity binary"
 
 
@@ -133,7 +228,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = registers(np.concatenate(own), np.r_[0, np.cumsum([len(s) for s in own])]) if own else ()
             kept: list[list] = [[None] * len(n), [None] * len(n)]
             for k, s, row in zip(new, own, rows, strict=True):
-                kept[0][k], kept[1][k] = row.tobytes(), jaccard.parity(s)
+                kept[0][k], kept[1][k] = row.tobytes(), parity(s)
             columns = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(cid, mask=n == 0), *(pa.array(c, pa.binary()) for c in kept)]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SKETCHED.split(", ")])
 
@@ -228,17 +323,17 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     needed = staged(entries.select("cid").distinct(), "needed")
     sets = texts.select("text").mapInArrow(tidy(_sets_of(jaccard._filter(needed, "cid"))), "cid long, tokens array<long>")
     sets = staged(sets.join(needed, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
-    links, tested, top = staged(confirmed(sets, plausible(stars, classes)), "linked"), stars, jaccard.TOP
+    links, tested, top = staged(confirmed(sets, plausible(stars, classes)), "linked"), stars, TOP
     roots = jaccard._rooted(links)
     while True:
-        rest = jaccard._rest(members, known, roots, top)
+        rest = _rest(members, known, roots, top)
         fresh = staged(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
         if fresh.limit(1).count():
             links = staged(links.unionAll(confirmed(sets, plausible(fresh, classes))), "linked")
             roots, tested = jaccard._rooted(links), tested.unionAll(fresh)
         if not rest.where("more").limit(1).count():
             return sketched.select("doc_id", "n", "cid"), roots
-        top *= jaccard.GROWTH
+        top *= GROWTH
 
 
 def dedup(docs: DataFrame) -> DataFrame:
