@@ -144,23 +144,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", "title", "status", F.date_format("updated", "yyyy-MM-dd").alias("day"), F.size("changelog").cast("long").alias("changes"))
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words that each document would carry over into a next chunk."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "carried": [chunks.overlap(t or "") for t in f["text"]]})
-
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, carried string").select(F.col("doc_id").cast("long").alias("doc_id"), "carried")
-
-
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups as they were after the first tier: only its links are applied."""
     first = links.links(spark, sf_dir).where("score >= 0.65 AND (a_id + b_id) % 2 = 0")
     return components(first, "a_id", "b_id")
 
 
-QUERIES |= {"src01_lines": lines, "src02_written": written, "src10_listed": listed, "src23_shards": shards, "src24_log": log, "prj01_items": items, "str16_overlap": overlaps, "sec12_replay": replay}
+QUERIES |= {"src01_lines": lines, "src02_written": written, "src10_listed": listed, "src23_shards": shards, "src24_log": log, "prj01_items": items, "sec12_replay": replay}
 ORACLES |= {
     "src01_lines": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "src02_written": "SELECT CAST(unnest([1, 2]) AS BIGINT) AS run, (SELECT count(*) FROM orders) AS rows, (SELECT count(*) FROM orders) AS held",

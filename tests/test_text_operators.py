@@ -2,29 +2,40 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import chunks, packing, resolution
 
 FENCE = "intro line\n\n# Top\n\nwords here\n\n- item\n  ```py\n  a | b\n\n  # not a heading\n  ```\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter table\n\n### Sub\ntext"
 
 
+def _kinds(text):
+    found = chunks.split(text)
+    return [(chunks.KINDS[k], n) for k, n in zip(found.kind, found.level, strict=True)], [found.text[a:b] for a, b in zip(found.start, found.end, strict=True)]
+
+
 def test_blocks():
-    got = list(chunks.blocks(FENCE))
-    assert [(k, n) for k, n, _ in got] == [("paragraph", 0), ("heading", 1), ("paragraph", 0), ("paragraph", 0), ("fence", 0), ("table", 0), ("paragraph", 0), ("heading", 3), ("paragraph", 0)]
-    assert got[4][2] == "  ```py\n  a | b\n\n  # not a heading\n  ```"
-    assert [k for k, *_ in chunks.blocks("```\nnever closed\n\n# x")] == ["fence"]
-    assert list(chunks.blocks("")) == list(chunks.blocks(" \n\t\n")) == []
+    got, texts = _kinds(FENCE)
+    assert got == [("paragraph", 0), ("heading", 1), ("paragraph", 0), ("paragraph", 0), ("fence", 0), ("table", 0), ("paragraph", 0), ("heading", 3), ("paragraph", 0)]
+    assert texts[4] == "  ```py\n  a | b\n\n  # not a heading\n  ```" and texts[5].count("|") == 9 and texts[1] == "# Top"
+    assert _kinds("```\nnever closed\n\n# x\n\n") == ([("fence", 0)], ["```\nnever closed\n\n# x"])
+    assert _kinds("~~~~\n```\n~~~\n~~~~\n- ```\nx\n```\nend")[1] == ["~~~~\n```\n~~~\n~~~~", "- ```\nx\n```", "end"]
+    assert _kinds("a\r\nb\r\r# c \rd")[1] == ["a\nb", "# c", "d"]
+    assert _kinds("```\nx\n- ```\ny\n```")[1] == ["```\nx\n- ```\ny\n```"]
+    assert _kinds("") == _kinds(" \n\t\n") == ([], [])
 
 
 def test_chunks_cover_and_overlap():
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
     text = "\n\n".join(" ".join(words[i : i + 150]) for i in range(0, 6000, 150))
+    places = [(a, b) for _, a, b in chunks.spans(chunks.split(text))]
+    assert len(places) > 10 and places[0][0] == 0 and places[-1][1] == len(text)
+    for (_, end), (start, stop) in zip(places, places[1:], strict=False):
+        assert start < end < stop and end - start <= chunks.CARRIED * chunks.CHARS and text[start - 1].isspace()
+        assert chunks.tokens(stop - start) <= chunks.MOST
     made = [body for _, body in chunks.chunks(text)]
-    assert all(chunks.tokens(b) <= chunks.MOST for b in made) and len(made) > 10
-    for before, after in zip(made, made[1:], strict=False):
-        tail = chunks.overlap(before)
-        assert tail and after.startswith(tail) and chunks.tokens(tail) <= chunks.CARRIED and tail.split()[0] in before.split()
-    assert [w for w in dict.fromkeys(" ".join(made).split())] == list(dict.fromkeys(words))
+    assert list(dict.fromkeys(" ".join(made).split())) == list(dict.fromkeys(words))
 
 
 def test_sections_fences_and_cuts():
@@ -34,9 +45,21 @@ def test_sections_fences_and_cuts():
     fence = "```\n" + "line of code\n" * 400 + "```"
     whole = [b for _, b in chunks.chunks(f"{'a b ' * 200}\n\n{fence}\n\ntail")]
     assert any(fence in b for b in whole) and not any(b.startswith("line of code") for b in whole)
-    assert chunks.overlap(fence + "\n" + "x" * 10) == ""
+    assert whole[-1] == "tail"
+    lead = [b for _, b in chunks.chunks(f"short lead\n\n{fence}")]
+    assert lead == [f"short lead\n\n{fence}"]
     long = [b for _, b in chunks.chunks("x" * 10_000)]
-    assert "".join(long).replace("\n\n", "").count("x") >= 10_000 and all(chunks.tokens(b) <= chunks.MOST for b in long)
+    assert "".join(long) == "x" * 10_000 and all(chunks.tokens(len(b)) <= chunks.MOST for b in long)
+    huge = "```\n" + "line of code\n" * 4000 + "```"
+    assert all(chunks.tokens(len(b)) <= chunks.HARD and (b.startswith("line") or b.startswith("```")) for _, b in chunks.chunks(huge))
+
+
+def test_carried(spark):
+    text = "word " * 100
+    rows = [text, "short", "x" * 300, text + "\n```\ncode\n```", "```\n" + text, "```\na\n```\n" + text, text + "\n| a | b |", None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").orderBy("k").select(chunks.carried(F.coalesce("t", F.lit("")))).collect()]
+    tail = ("word " * 39).strip()
+    assert got == [tail, "", "", "", "", tail, "", ""]
 
 
 def test_chunk_rows(spark):
