@@ -5,66 +5,77 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import components
 from lodestone.plans import links
+from lodestone.sources.storage import fresh_folder
 
 #: The score from which a pair is merged, that from which it is asked about, the likeness of a hard negative.
 AUTO, GREY, ALIKE = 0.92, 0.80, 0.75
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _sorted_pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias(a), F.greatest(a, b).alias(b)]
+
+
 def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of pairs (a, b, score) that never join a forbidden pair (a, b): rows (node, component), and refused pairs.
 
-    Pairs are taken strongest first, equal scores by their ends; a union that would bring a forbidden pair together is
-    refused and returned. Components without a forbidden pair inside are right as they are and stay distributed; only
-    the others are joined again one by one, each in a task of its own. Null ends link nothing; repeated pairs count once.
+    The result is that of taking pairs one by one, strongest first, equal scores by their ends, and refusing each that would bring a
+    forbidden pair together. It is found in rounds over all groups at once, in the manner of Boruvka. A pair of groups that hold a
+    forbidden pair can never join, so its links are refused at once. A link that is the strongest of both its groups comes before all
+    else that could change them, and is taken. A group that no forbidden pair names can wait for nothing: it joins along its strongest link
+    whatever the other side has become. Each round settles the strongest open link at least; nothing is gathered by component.
+    Components without a forbidden pair inside are right as they are. Null ends link nothing; repeated pairs count once with
+    their best score; a score of null comes last.
     """
-    own = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
-    own = own.groupBy("a", "b").agg(F.max("score").alias("score"))
-    plain = components(own, "a", "b")
-    apart = forbidden.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of_a, of_b = plain.toDF("a", "component"), plain.toDF("b", "other")
-    inside = apart.join(of_a, "a").join(of_b, "b").where("component = other").select("a", "b", "component")
-    torn = inside.select("component").distinct()
-    rows = own.join(of_a, "a").join(torn, "component", "left_semi").select("component", "a", "b", "score", F.lit(False).alias("apart"))
-    rows = rows.unionByName(inside.select("component", "a", "b", F.lit(0.0).alias("score"), F.lit(True).alias("apart")))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        foes: dict = {}
-        for a, b in g.loc[g["apart"], ["a", "b"]].itertuples(index=False):
-            foes.setdefault(a, set()).add(b)
-            foes.setdefault(b, set()).add(a)
-        out = []
-        for a, b, score in g.loc[~g["apart"]].sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b", "score"]].itertuples(index=False):
-            x, y = held.setdefault(a, {a}), held.setdefault(b, {b})
-            if x is y:
-                continue
-            small, large = sorted((x, y), key=len)
-            if any(foes.get(n, set()) & large for n in small):
-                out.append((a, b, score, None, None))
-                continue
-            large |= small
-            held.update(dict.fromkeys(small, large))
-        out += [(None, None, None, n, min(s)) for n, s in held.items()]
-        return pd.DataFrame(out, columns=["a", "b", "score", "node", "component"]).astype({c: "Int64" for c in ("a", "b", "node", "component")})
-
-    mended = rows.groupBy("component").applyInPandas(run, "a long, b long, score double, node long, component long")
-    kept = plain.join(torn, "component", "left_anti").select("node", "component")
-    return kept.unionByName(mended.where("node IS NOT NULL").select("node", "component")), mended.where("a IS NOT NULL").select("a", "b", "score")
+    own = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*_sorted_pair("a", "b"), "score")
+    own = _kept(own.groupBy("a", "b").agg(F.max("score").alias("score")), "pairs")
+    plain = _kept(components(own, "a", "b"), "plain")
+    apart = forbidden.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*_sorted_pair("a", "b")).distinct()
+    foes = _kept(apart.join(plain.toDF("a", "component"), "a").join(plain.toDF("b", "other"), "b").where("component = other").select("component", F.col("a").alias("x"), F.col("b").alias("y")), "foes")
+    torn = foes.select("component").distinct()
+    links_ = own.join(plain.toDF("a", "component"), "a").join(torn, "component", "left_semi")
+    open_ = _kept(links_.select("a", "b", "score", F.col("a").alias("x"), F.col("b").alias("y")), "open")
+    state = plain.join(torn, "component", "left_semi").select("node", F.col("node").alias("g"))
+    foes, refused = foes.select("x", "y"), None
+    strength = F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("s"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+    while open_.limit(1).count():
+        banned = _kept(open_.join(foes, ["x", "y"], "left_semi").select("a", "b", "score"), "refused")
+        refused = banned if refused is None else refused.unionByName(banned)
+        free = open_.join(foes, ["x", "y"], "left_anti")
+        named = foes.select(F.explode(F.array("x", "y")).alias("g")).distinct().withColumn("named", F.lit(True))
+        best = free.select(F.explode(F.array("x", "y")).alias("g"), "x", "y", strength.alias("o")).groupBy("g").agg(F.max(F.struct("o", "x", "y")).alias("top"))
+        votes = best.join(named, "g", "left").groupBy(F.col("top.x").alias("x"), F.col("top.y").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("unnamed"))
+        taken = votes.where("n = 2 OR unnamed > 0").select("x", "y")
+        to = _kept(components(taken, "x", "y"), "joined")
+
+        def renamed(df: DataFrame, column: str, to: DataFrame = to) -> DataFrame:
+            return df.join(to.toDF(column, "to_"), column, "left").withColumn(column, F.coalesce("to_", column)).drop("to_")
+
+        state = _kept(renamed(state, "g"), "groups")
+        foes = _kept(renamed(renamed(foes, "x"), "y").select(*_sorted_pair("x", "y")).distinct(), "foes")
+        open_ = _kept(renamed(renamed(free, "x"), "y").where("x <> y").select("a", "b", "score", *_sorted_pair("x", "y")), "open")
+    kept = plain.join(torn, "component", "left_anti").select("node", "component").unionByName(state.select("node", F.col("g").alias("component")))
+    return kept, own.limit(0) if refused is None else refused
 
 
 def _forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts 'different': pairs of one label whose ids follow each other by 7."""
+    """Verdicts 'different': pairs of one label whose ids follow each other by at most 7."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    return v.toDF("a", "label").join(v.toDF("b", "label"), "label").where("b = a + 7").select("a", "b")
+    return v.toDF("a", "label").join(v.toDF("b", "label"), "label").where("b > a AND b <= a + 7").select("a", "b")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = links.links(spark, sf_dir).where("score >= 0.65").selectExpr("a_id AS a", "b_id AS b", "score")
+    pairs = links.links(spark, sf_dir).where("score >= 0.6").selectExpr("a_id AS a", "b_id AS b", "score")
     return constrained(pairs, _forbidden(spark, sf_dir))
 
 
