@@ -163,7 +163,7 @@ FROM {lineitem} c LEFT JOIN (SELECT p_partkey, p_size FROM {part} WHERE p_partke
     "sec02_smallest": "SELECT l_orderkey, min(l_partkey) AS owner, count(*) AS n FROM {lineitem} GROUP BY l_orderkey",
     "sec03_owner": "SELECT l_partkey, min(l_orderkey) AS first_batch, CAST(row_number() OVER (ORDER BY l_partkey) AS BIGINT) AS minted FROM {lineitem} GROUP BY l_partkey",
     "sec04_truth": "SELECT k, max(v) AS v, count(*) AS batches FROM (SELECT o_custkey AS k, o_totalprice AS v FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT c_custkey, c_acctbal FROM {customer}) t GROUP BY k",
-    "sec05_orphans": "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus <> 'P' AND o_orderpriority < '3')",
+    "sec05_orphans": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus <> 'P' AND o_orderpriority < '3')",
     "sec06_retries": f"SELECT user_id, count(*) AS failures, CASE WHEN count(*) > {RETRIES} THEN 'quarantined' ELSE 'retry' END AS state FROM {{events}} WHERE event_type = 'error' GROUP BY user_id",
     "sec07_missing_output": "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_linestatus = 'F' AND l_quantity > 10)",
     "sec08_rejections": "SELECT reason, count(*) AS n, min(doc_id) AS sample FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars > 10000 THEN 'long' WHEN lang <> 'en' THEN 'language' END AS reason FROM {documents}) t WHERE reason IS NOT NULL GROUP BY reason",
@@ -189,7 +189,7 @@ FROM {lineitem} c LEFT JOIN (SELECT p_partkey, p_size FROM {part} WHERE p_partke
     "sec33_gate": "SELECT criterion, v, v >= least_ AS passed FROM (SELECT 'questions' AS criterion, count(*) AS v, 100 AS least_ FROM {conversations} WHERE role = 'user' UNION ALL SELECT 'benchmarks', count(*), 30 FROM {benchmark}) t",
     "sec34_templates": "SELECT doc_id, replace('What changed in <source>?', '<source>', source) AS question FROM {documents} WHERE source IS NOT NULL",
     "sec37_reset": "SELECT o_custkey, bool_and(o_orderstatus = 'F') AS goes, count(*) AS parents FROM {orders} GROUP BY o_custkey",
-    "sec38_pruned": "SELECT l_partkey, count(*) AS rows_left FROM {lineitem} WHERE l_partkey NOT IN (SELECT p_partkey FROM {part} WHERE p_size = 1) GROUP BY l_partkey",
+    "sec38_pruned": "SELECT l_partkey, count(*) AS rows_left FROM {lineitem} WHERE NOT EXISTS (SELECT 1 FROM {part} WHERE p_partkey = l_partkey AND p_size = 1) GROUP BY l_partkey",
     "sec40_stamp": "SELECT d.doc_id, coalesce(CAST(l.quality AS STRING), 'none') AS stamp FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id",
     "src13_recency": "SELECT c_custkey, c_name, coalesce(last_day, 'never') AS recency FROM {customer} LEFT JOIN (SELECT o_custkey, CAST(CAST(max(o_orderdate) AS DATE) AS STRING) AS last_day FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "src14_carried": "SELECT k, source FROM (SELECT o_orderkey AS k, 'new' AS source FROM {orders} WHERE o_orderstatus = 'O' UNION ALL SELECT l_orderkey, 'kept' FROM (SELECT DISTINCT l_orderkey FROM {lineitem}) e WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_orderkey = l_orderkey AND o_orderstatus = 'O')) t",
@@ -258,9 +258,13 @@ _PAIRS = {
         "SELECT coalesce(CAST(o_orderkey AS STRING), o_orderstatus) AS key, array_join(transform(map_entries(map('status', o_orderstatus, 'priority', o_orderpriority)), e -> concat(e.key, '=', e.value)), ' ') AS snippet FROM {orders}",
         "SELECT CAST(o_orderkey AS STRING) AS key, concat('status=', o_orderstatus, ' priority=', o_orderpriority) AS snippet FROM {orders}",
     ),
-    "sec39_digests": (
-        "SELECT source, sha2(array_join(sort_array(collect_list(sha2(coalesce(text, ''), 256))), '\n'), 256) AS digest, count(*) AS n FROM {documents} GROUP BY source",
-        "SELECT source, sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY sha256(coalesce(text, '')))) AS digest, count(*) AS n FROM {documents} GROUP BY source",
+    # a digest of all rows of a source, whatever their order: sums of parts of their digests, so no source is gathered
+    "sec39_digests": tuple(
+        f"SELECT source, {outer}(concat_ws(':', CAST(count(*) AS {text}), CAST(sum({part.format(1)}) AS {text}), CAST(sum({part.format(13)}) AS {text}){bits}) AS digest, count(*) AS n FROM (SELECT source, {inner} AS h FROM {{documents}}) t GROUP BY source"
+        for outer, inner, part, text, bits in (
+            ("sha2", "sha2(coalesce(text, ''), 256)", "CAST(conv(substr(h, {}, 12), 16, 10) AS DECIMAL(20, 0))", "STRING", "), 256"),
+            ("sha256", "sha256(coalesce(text, ''))", "CAST(CAST('0x' || substr(h, {}, 12) AS BIGINT) AS HUGEINT)", "VARCHAR", ")"),
+        )
     ),
     "sec41_probes": (
         "SELECT doc_id, array_join(array_compact(array(CASE WHEN n_chars < 20 THEN 'short' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN source IS NULL THEN 'no source' END)), ',') AS problems FROM {documents}",

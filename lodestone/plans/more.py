@@ -49,7 +49,7 @@ _RECIPES = (
     ("most ordered part", "SELECT CAST(l_partkey AS STRING) AS answer FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, l_partkey LIMIT 1"),
     ("first order", "SELECT CAST(o_orderkey AS STRING) AS answer FROM {orders} ORDER BY o_orderdate, o_orderkey LIMIT 1"),
     ("urgent open orders", "SELECT CAST(count(*) AS STRING) AS answer FROM {orders} WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'"),
-    ("customers without orders", "SELECT CAST(count(*) AS STRING) AS answer FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})"),
+    ("customers without orders", "SELECT CAST(count(*) AS STRING) AS answer FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)"),
     ("widest source", "SELECT source AS answer FROM {documents} GROUP BY source ORDER BY count(*) DESC, source LIMIT 1"),
     ("largest nation", "SELECT n_name AS answer FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY count(*) DESC, n_name LIMIT 1"),
     ("returned share", "SELECT CAST(CAST(floor(100 * count(*) FILTER (WHERE l_returnflag = 'R') / CAST(count(*) AS DOUBLE)) AS BIGINT) AS STRING) AS answer FROM {lineitem}"),
