@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that centres are fitted on at most; rows under a centre on average; share of all centres that a search looks under, and their least.
-SAMPLE, LIST, PROBE, LEAST = 20_000, 64, 0.5, 8
+#: Rows that centres are fitted on at most; rows under a centre on average; trial searches that say under how many centres to look, and the
+#: share of their nearest rows that must lie there; least such centres.
+SAMPLE, LIST, TRIALS, RECALL, LEAST = 20_000, 64, 128, 0.96, 8
 ROUNDS, NEAREST, DEAL = 8, 10, 4096
 
 
@@ -35,10 +36,38 @@ def centres(vectors: DataFrame, many: int, seed: int = 3) -> np.ndarray:
     return at
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, probe: float = PROBE) -> DataFrame:
+def looks_for(vectors: DataFrame, at, nearest: int, recall: float) -> int:
+    """Under how many centres a search must look, by the nearest rows of TRIALS rows among all rows: one pass, brute force.
+
+    Where vectors lie in groups a few centres are enough; where they are spread evenly it takes most of them.
+    """
+    picked = vectors.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(TRIALS).toPandas()
+    own, asked = picked["vec_id"].to_numpy(), _unit(np.array(picked["e"].tolist(), np.float32))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, e = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1)))
+            lists, scores = (e @ at.value.T).argmax(1), asked @ e.T
+            scores[own[:, None] == ids[None]] = -2
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :nearest]
+            trial = np.repeat(np.arange(len(own)), top.shape[1])
+            columns = [pa.array(trial), pa.array(ids[top.ravel()]), pa.array(np.take_along_axis(scores, top, 1).ravel().astype(np.float64)), pa.array(lists[top.ravel()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["trial", "vec_id", "score", "list"])
+
+    found = vectors.mapInArrow(near, "trial long, vec_id long, score double, list long").where("score > -2")
+    best = found.selectExpr("*", "row_number() OVER (PARTITION BY trial ORDER BY score DESC, vec_id) AS rn").where(F.col("rn") <= nearest).toPandas()  # at most TRIALS * nearest rows
+    order = np.argsort(np.argsort(-(asked @ at.value.T), axis=1, kind="stable"), axis=1)
+    depth = np.sort(order[best["trial"].to_numpy(np.int64), best["list"].to_numpy(np.int64)])
+    return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1 if len(depth) else 1
+
+
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, recall: float = RECALL) -> DataFrame:
     """The nearest rows of vectors for each row of queries (vec_id, embedding both): a_id, b_id, score = (1 + cosine) / 2.
 
-    Every row is indexed and scores are exact; what a search may miss lies under centres that it does not look under.
+    Every row is indexed and scores are exact; what a search may miss lies under centres that it does not look under. How many it looks
+    under is measured on trial searches against all rows, so that the share recall of their nearest rows is found.
     Long lists are dealt to several groups, so no task holds one whole; each sends its best, which are merged. Null ids and
     vectors have no score; a row is not its own neighbour; an empty table has no neighbours.
     """
@@ -50,7 +79,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, probe
         return spark.createDataFrame([], "a_id long, b_id long, score double")
     many = max(1, n // LIST)
     at = spark.sparkContext.broadcast(centres(vectors, many))
-    looks = min(len(at.value), max(LEAST, int(np.ceil(probe * len(at.value)))))
+    looks = min(len(at.value), max(LEAST, looks_for(vectors, at, nearest, recall)))
 
     def place(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
