@@ -6,6 +6,7 @@ given tables stand for the graph: orders are items, parts things, customers peop
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from dataclasses import dataclass, field
@@ -14,9 +15,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import terms
+from lodestone.operators import paths, terms
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Characters of a token, hops around an item of a local search.
+TOKEN, AROUND = 4, 2
+_DAY = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
 #: The first rule that matches a question names its strategy; without a match it is hybrid.
 ROUTES = (
     ("temporal", r"\b(?:when|before|after|since|until|on [0-9]{4})\b|[0-9]{4}-[0-9]{2}-[0-9]{2}"),
@@ -40,6 +44,7 @@ class Answer:
     truncated: bool = False
     latency_ms: int = 0
     route: str | None = None
+    tokens: int = 0
 
 
 class Engine:
@@ -58,7 +63,8 @@ class Engine:
     def _answer(self, strategy: str, rows: DataFrame, limit: int | None = None, route: str | None = None) -> Answer:
         began, limit = time.time(), limit or self.limit
         got = [r.asDict(recursive=True) for r in rows.limit(limit + 1).collect()]
-        return Answer(strategy, got[:limit], len(got) > limit, int(1000 * (time.time() - began)), route)
+        size = sum(len(json.dumps(r, default=str, ensure_ascii=False)) for r in got[:limit])
+        return Answer(strategy, got[:limit], len(got) > limit, int(1000 * (time.time() - began)), route, -(-size // TOKEN))
 
     def route(self, question: str) -> Answer:
         """The strategy of a question, the pattern that named it, and whether one did."""
@@ -94,9 +100,12 @@ SELECT e.label, rel, key FROM e JOIN (SELECT min_by(label, place) AS label FROM
         return self._answer("lookup", self._sql(text, k=key))
 
     def local_search(self, key: int) -> Answer:
-        """Things two hops from an item, by the number of paths."""
-        text = "SELECT b.l_partkey AS key, count(*) AS paths FROM {lineitem} a JOIN {lineitem} b ON a.l_suppkey = b.l_suppkey WHERE a.l_orderkey = :k AND b.l_orderkey <> :k GROUP BY b.l_partkey ORDER BY paths DESC, key"
-        return self._answer("s3", self._sql(text, k=key))
+        """What lies around an order, by the weights of all walks to it; each with its hops and the strongest walk as evidence."""
+        anchor = self.spark.createDataFrame([(f"o{key}",)], "anchor string")
+        found = paths.walks(paths.graph(self.spark, self.sf_dir), anchor, AROUND)
+        best = found.groupBy("node").agg(F.max_by(F.array_join("path", ">"), F.struct("weight", "path")).alias("evidence"))
+        rows = paths.weighed(found).join(best, "node").select(F.col("node").alias("key"), "hops", "paths", F.round("weight", 6).alias("score"), "evidence")
+        return self._answer("s3", rows.orderBy(F.col("score").desc(), "key"))
 
     def global_search(self) -> Answer:
         """Sources by their documents, the widest first."""
@@ -116,7 +125,7 @@ SELECT e.label, rel, key FROM e JOIN (SELECT min_by(label, place) AS label FROM
         return self._answer("s4", self._sql(text, k=key))
 
     def status_at(self, user: int, day: str) -> Answer:
-        """The last status by the end of a day, else the next one's predecessor."""
+        """The last status by the end of a day; "not yet" where all changes are later, since a change does not name what it replaced."""
         text = """
 SELECT coalesce(max_by(event_type, struct(ts, event_id)) FILTER (WHERE ts < CAST(:d AS DATE) + INTERVAL '1' DAY), 'not yet') AS status, count(*) AS changes FROM {events} WHERE user_id = :k"""
         return self._answer("s6", self._sql(text, k=user, d=day))
@@ -140,15 +149,36 @@ UNION ALL SELECT 2, o_custkey, max(o_totalprice) FROM {orders} JOIN {lineitem} O
         return self._answer("impact", self._sql(text, k=part))
 
     def explain_edge(self, order: int, part: int) -> Answer:
-        """The edges between two nodes, with what they rest on; without one, the things that both touch."""
+        """The edges between two nodes, with what they rest on; without one, the suppliers that both touch; without these, the shortest path."""
         direct = self._answer("explain", self._sql("SELECT l_returnflag AS rel, l_linenumber AS line, l_suppkey AS source FROM {lineitem} WHERE l_orderkey = :a AND l_partkey = :b ORDER BY line", a=order, b=part))
         if direct.items:
             return direct
-        return self._answer("explain", self._sql("SELECT DISTINCT x.l_suppkey AS via FROM {lineitem} x JOIN {lineitem} y ON x.l_suppkey = y.l_suppkey WHERE x.l_orderkey = :a AND y.l_partkey = :b ORDER BY via", a=order, b=part))
+        shared = self._answer("explain", self._sql("SELECT DISTINCT x.l_suppkey AS via FROM {lineitem} x JOIN {lineitem} y ON x.l_suppkey = y.l_suppkey WHERE x.l_orderkey = :a AND y.l_partkey = :b ORDER BY via", a=order, b=part))
+        if shared.items:
+            return shared
+        pair = self.spark.createDataFrame([(f"o{order}", f"p{part}")], "a string, b string")
+        return self._answer("explain", paths.shortest(pair, paths.graph(self.spark, self.sf_dir)).select("hops", "path", "rels"))
 
     def ask(self, question: str) -> Answer:
-        """A question by its route: text search, by source where it asks for an overview."""
+        """A question by its route and the numbers and days in it; text search where its tool would lack one of them."""
         strategy = self.route(question).items[0]["strategy"]
-        answer = self.global_search() if strategy == "global" else self.search_chunks(question)
+        days = re.findall(_DAY, question)
+        numbers = [int(n) for n in re.findall(r"\b[0-9]+\b", re.sub(_DAY, " ", question))]
+        if strategy == "global":
+            answer = self.global_search()
+        elif strategy == "temporal" and days and numbers:
+            answer = self.status_at(numbers[0], days[0])
+        elif strategy == "temporal" and len(numbers) > 1:
+            answer = self.changes_between(*sorted(numbers[:2]))
+        elif strategy == "temporal" and numbers:
+            answer = self.timeline(numbers[0])
+        elif strategy == "impact" and numbers:
+            answer = self.impact(numbers[0])
+        elif strategy == "lookup" and numbers:
+            answer = self.lookup(numbers[0])
+        elif strategy == "rationale" and len(numbers) > 1:
+            answer = self.explain_edge(*numbers[:2])
+        else:
+            answer = self.search_chunks(question)
         answer.route = strategy
         return answer

@@ -42,3 +42,27 @@ def test_answers(engine, spark):
     assert scores == sorted(scores, reverse=True) and len(scores) == 5 and answers["search"].truncated
     assert engine.search_chunks("!?").items == [] and engine.lookup(-1).items == []
     assert len(engine.get_schema().items) == 14 and len(engine.query_examples().items) == len(EXAMPLES)
+
+
+def test_ask_goes_where_the_route_says(engine, spark):
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").first()
+    asked = {
+        "what was the status of 1 on 2024-01-15": ("temporal", "s6", {"status", "changes"}),
+        "what changed since 3, before 7": ("temporal", "s6", {"version", "key"}),
+        f"what does {line.l_partkey} affect": ("impact", "impact", {"layer", "key", "weight"}),
+        f"what is {line.l_orderkey}": ("lookup", "lookup", {"label", "rel", "key"}),
+        f"why does {line.l_orderkey} need {line.l_partkey}": ("rationale", "explain", {"rel", "line", "source"}),
+        "why the and": ("rationale", "s1", {"key", "score", "source", "snippet"}),
+        "overall": ("global", "s5", {"key", "size", "chars"}),
+    }
+    for question, (route, strategy, names) in asked.items():
+        a = engine.ask(question)
+        assert (a.route, a.strategy) == (route, strategy) and a.items and set(a.items[0]) == names and a.tokens > 0, question
+
+
+def test_local_search_and_paths(engine, spark):
+    key = spark.read.parquet(f"{SF}/lineitem.parquet").agg({"l_orderkey": "min"}).first()[0]
+    top = engine.local_search(key).items
+    assert all(i["evidence"].startswith(f"o{key}>") and i["evidence"].endswith(f">{i['key']}") for i in top)
+    assert [i["score"] for i in top] == sorted((i["score"] for i in top), reverse=True) and top[0]["hops"] == 1
+    assert engine.explain_edge(-1, key).items == []
