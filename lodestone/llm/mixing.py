@@ -1,14 +1,16 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document holds a fractional number of copies, target / source size of its source. Within a bucket of one
-source, fractions are settled from the largest document down: a document is paired with the pool of all smaller
-ones, and words of probability mass move between the two, at random but fair odds, until the document has a whole
-number of copies; the pool takes up the difference in proportion to what its members can give or take. The words
-expected from a bucket do not change, large documents are settled while many small ones can balance them, and at
-most one fraction, of one of the smallest documents, stays open. Those residuals meet again in the next level of a
-reduction tree with the same rule. Only the residual at the root of a source is drawn by itself. A source that fits one
-bucket may have too few small documents to balance a large one; there the draw is followed by whole copies taken
-from or given to other documents, largest first, as long as they bring the source nearer to its target.
+Every document holds a fractional number of copies, target / source size of its source. Fractions are settled from
+the largest document down: a document is paired with the pool of all smaller ones, and words of probability mass
+move between the two, at random but fair odds, until the document has a whole number of copies; the pool takes up
+the difference in proportion to what its members can give or take. So every fraction is kept on average.
+
+One rule holds for sources of every size. First the documents that hold more than one part in GIANTS of their
+source (fewer than GIANTS entries, whatever the source) are settled against all other documents of the source, which
+are known by two sums: what they can give and what they can take. Then the others, with the fractions that this left
+them, are settled in buckets; each leaves one fraction open at most, and these residuals meet in the next level of a
+reduction tree with the same rule. The residual at the root is drawn by itself. So the words of a source miss its target
+by one part in GIANTS of the source at most, and by what the largest documents could not be balanced by all others together.
 
 Equal (doc_id, source, size) rows are one entry with a count: their copies are dealt evenly, so that no group of
 repeated rows has to fit a task.
@@ -30,10 +32,12 @@ from lodestone.llm.common import WORD_PATTERN, free_names, staged
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Entries (or residuals) that one task settles in sequence.
-FAN_IN = 2048
+#: Entries (or residuals) that one task settles in sequence; documents of a source that can be settled before all others are fewer than GIANTS.
+FAN_IN, GIANTS = 2048, 2048
+#: Fractions nearer than this to a whole number are whole; units that fractions are summed in, so that sums do not depend on their order.
+_EPS, _UNIT = 1e-9, 1 << 30
 
-_STATE = "doc_id string, source string, size long, n long, source_size long, target double, most long, bucket long, whole long, part double, draw double, open boolean"
+_STATE = "doc_id string, source string, size long, n long, source_size long, target double, bucket long, whole long, part double, draw double, last double, open boolean"
 
 
 def word_count(text: Column) -> Column:
@@ -56,39 +60,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     after = F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     s = s.withColumn("level", (F.sum("source_size").over(whole) * share - before) / after)
     s = s.withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("cap") / F.col("weight"))).over(whole)
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(whole)  # that of the first one not capped: it falls from there on
     s = s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(level * F.col("weight"), F.col("cap"))))
     return s.select("source", "source_size", "n_docs", "target")
 
 
-def _settle(g: pd.DataFrame) -> pd.DataFrame:
-    """Settle the fractions of one bucket, largest documents first, until at most one is left open."""
+def _settle(g: pd.DataFrame, down: float = 0.0, up: float = 0.0, final: bool = False) -> tuple[pd.DataFrame, float, float]:
+    """Settle the fractions of one bucket, largest documents first, until at most one is left open.
+
+    A pool outside, of smaller documents, can give `down` words and take `up`; a fraction of it is then its part * scale + shift. With `final`
+    a document that all smaller ones cannot balance is settled all the same; without, its fraction stays open for the next level.
+    """
     g = g.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    size, first, draw, eps = g["size"].tolist(), g["part"].tolist(), g["draw"].tolist(), 1e-9
+    size, first, draw = g["size"].tolist(), g["part"].tolist(), g["draw"].tolist()
     whole, part, held = g["whole"].tolist(), list(first), -1
     # a member of the pool has the part first * scale + shift: what all of them give or take is one step
     scale, shift = 1.0, 0.0
-    inner = [s > 0 and eps < p < 1 - eps for s, p in zip(size, first, strict=True)]
-    down = sum(s * p for s, p, i in zip(size, first, inner, strict=True) if i)
-    up = sum(s * (1 - p) for s, p, i in zip(size, first, inner, strict=True) if i)
+    inner = [s > 0 and _EPS < p < 1 - _EPS for s, p in zip(size, first, strict=True)]
+    down += sum(s * p for s, p, i in zip(size, first, inner, strict=True) if i)
+    up += sum(s * (1 - p) for s, p, i in zip(size, first, inner, strict=True) if i)
     for i, s in enumerate(size):
         if not inner[i]:
             continue
         p = min(1.0, max(0.0, first[i] * scale + shift))
         down, up = max(0.0, down - s * p), max(0.0, up - s * (1 - p))
-        if eps < p < 1 - eps:
-            rise, fall = min(1 - p, down / s), min(p, up / s)
-            move = rise if draw[i] * (rise + fall) < fall else -fall
-            p += move
-            if move > 0 and down > 0:
-                keep = max(0.0, 1 - move * s / down)
+        if _EPS < p < 1 - _EPS and down > _EPS and up > _EPS:
+            if final:  # nothing can balance more than the pool: settled now, with as much of it as keeps the odds fair
+                rise, gives = draw[i] < p, min(s * (1 - p), down, up * (1 - p) / p)
+                moved, p = (gives, 1.0) if rise else (-gives * p / (1 - p), 0.0)
+            else:
+                most, least = min(1 - p, down / s), min(p, up / s)
+                step = most if draw[i] * (most + least) < least else -least
+                moved, p = step * s, p + step
+            if moved > 0:
+                keep = max(0.0, 1 - moved / down)
                 scale, shift = scale * keep, shift * keep
-            elif move < 0 and up > 0:
-                keep = max(0.0, 1 + move * s / up)
+            else:
+                keep = max(0.0, 1 + moved / up)
                 scale, shift = scale * keep, 1 - (1 - shift) * keep
-            down, up = max(0.0, down - move * s), max(0.0, up + move * s)
+            down, up = max(0.0, down - moved), max(0.0, up + moved)
         part[i] = p
-        if eps < p < 1 - eps:  # the pool had too little left to settle it: it is empty now
+        if _EPS < p < 1 - _EPS:  # the pool had too little left to settle it: it is empty now
             held = i
     for i in range(len(size)):
         if i != held:
@@ -98,34 +110,30 @@ def _settle(g: pd.DataFrame) -> pd.DataFrame:
     g["open"] = False
     if held >= 0:
         g.loc[held, "open"] = True
-    return g
+    return g, scale, shift
 
 
-def _close(g: pd.DataFrame) -> pd.DataFrame:
-    """Draw the residual of a source that is one bucket and let whole copies of other documents make up for it."""
-    g = g.copy()
-    took = (g["draw"] < g["part"]) & g["open"]
-    g["whole"] += took.astype("int64")
-    g["part"], g["open"] = 0.0, False
-    size, whole, n, most = g["size"].tolist(), g["whole"].tolist(), g["n"].tolist(), g["most"].tolist()
-    miss = float(sum(s * w for s, w in zip(size, whole, strict=True)) - g["target"].iloc[0])
-    order = g.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], kind="stable").index
-    for i in order:
-        if size[i] <= 0:
-            continue
-        copies = int((abs(miss) + size[i] / 2) // size[i])
-        copies = min(copies, whole[i]) if miss > 0 else min(copies, n[i] * most[i] - whole[i])
-        if copies > 0:
-            whole[i] += -copies if miss > 0 else copies
-            miss += (-copies if miss > 0 else copies) * size[i]
-    g["whole"] = whole
+def _bucket(g: pd.DataFrame) -> pd.DataFrame:
+    return _settle(g)[0]
+
+
+def _root(g: pd.DataFrame) -> pd.DataFrame:
+    """Settle the residuals of a source and draw the last one, by a number that has settled nothing yet."""
+    g = _settle(g)[0]
+    g["whole"] += (g["open"] & (g["last"] < g["part"])).astype("int64")
     return g
 
 
-def take(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) -> DataFrame:
+def _giants(g: pd.DataFrame) -> pd.DataFrame:
+    """Settle the largest documents of a source against all others of it."""
+    g, scale, shift = _settle(g, float(g["down"].iloc[0]), float(g["up"].iloc[0]), final=True)
+    return g.drop(columns=["down", "up"]).assign(scale=scale, shift=shift)
+
+
+def take(docs: DataFrame, seed: int = 17, fan_in: int = FAN_IN, giants: int = GIANTS, **plan) -> DataFrame:
     """Copies of each document: doc_id, source, size, source_size, target, copies, taken; docs has doc_id, text, source."""
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"))
-    entries = take_sized(rows, seed, fan_in, **plan)
+    entries = take_sized(rows, seed, fan_in, giants, **plan)
     nth = entries.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
     return nth.select("doc_id", "source", "size", "source_size", "target", _share().alias("copies"), (_share() * F.col("size")).alias("taken"))
 
@@ -135,7 +143,7 @@ def _share() -> Column:
     return F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")
 
 
-def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) -> DataFrame:
+def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, giants: int = GIANTS, **plan) -> DataFrame:
     """One row per distinct (doc_id, source, size) with the number n of such rows and the copies they have together."""
     kind = dict(rows.dtypes)["doc_id"]  # pandas would make floats of ids with nulls, so they travel as text
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -143,32 +151,47 @@ def take_sized(rows: DataFrame, seed: int = 17, fan_in: int = FAN_IN, **plan) ->
     targets = staged(source_targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), **plan), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    named = F.coalesce(F.col("source"), F.lit(""))
-    sources = targets.select(F.struct(F.col("source").isNull(), named).alias("s"), "source_size", "target", buckets.alias("buckets"))
-    state = rows.withColumn("s", F.struct(F.col("source").isNull(), named)).join(sources, "s")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / float(1 << 53)
+    named = F.struct(F.col("source").isNull(), F.coalesce(F.col("source"), F.lit("")))  # joins null sources, too
+    sources = targets.select(named.alias("s"), "source_size", "target", buckets.alias("buckets"))
+
+    def number(salt: int) -> Column:  # one for each level: a number that has moved a fraction does not move it again
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed + salt), "doc_id", "size"), 11) / float(1 << 53)
+
     state = (
-        state.withColumn("rate", rate * F.col("n"))
-        .withColumn("most", F.ceil(F.least(rate * 2, F.lit(plan.get("cap", CAP)))).cast("long"))
+        rows.withColumn("s", named)
+        .join(sources, "s")
+        .withColumn("rate", rate * F.col("n"))
         .withColumn("bucket", F.expr(f"pmod(xxhash64({seed + 1}, doc_id, size), buckets)"))
         .withColumn("whole", F.floor("rate"))
         .withColumn("part", F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0))
-        .withColumn("draw", u)
+        .withColumn("draw", number(0))
+        .withColumn("last", number(2))
         .withColumn("open", F.lit(True))
     )
-    single = state.where("buckets = 1").selectExpr(*[x.split()[0] for x in _STATE.split(", ")])
-    state = state.where("buckets > 1").selectExpr(*[x.split()[0] for x in _STATE.split(", ")])
-    out = single.groupBy("source").applyInPandas(lambda g: _close(_settle(g)), _STATE)
+    columns = [x.split()[0] for x in _STATE.split(", ")]
+    large = F.col("size") * giants > F.col("source_size")
+    mass = F.col("size").cast("decimal(18,0)") * F.round(F.col("part") * _UNIT).cast("decimal(11,0)")
+    inner = ~large & (F.col("size") > 0) & (F.col("part") > _EPS) & (F.col("part") < 1 - _EPS)
+    pools = state.where(inner).groupBy("s").agg(F.sum(mass).cast("double").alias("mass"), F.sum("size").cast("double").alias("words"))
+    pools = pools.select("s", (F.col("mass") / _UNIT).alias("down"), (F.col("words") - F.col("mass") / _UNIT).alias("up"))
+    first = state.where(large).join(pools, "s", "left").select(*columns, F.coalesce("down", F.lit(0.0)).alias("down"), F.coalesce("up", F.lit(0.0)).alias("up"))
+    first = staged(first.groupBy("source").applyInPandas(_giants, _STATE + ", scale double, shift double"), "giants")
+    out, held = first.where("not open").select(*columns), first.where("open").select(*columns)
+    moved = first.groupBy(named.alias("s")).agg(F.max("scale").alias("scale"), F.max("shift").alias("shift"))
+    # fractions of the pool follow what the largest documents took from it or gave to it; whole ones stay
+    part = F.when(inner & F.col("scale").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") * F.col("scale") + F.col("shift")))).otherwise(F.col("part"))
+    state = state.where(~large).join(moved, "s", "left").withColumn("part", part).select(*columns)
     left = (targets.agg(F.max("n_docs")).first()[0] or 0) / fan_in
-    while left > 1:  # some source has several buckets
-        state = staged(state.groupBy("source", "bucket").applyInPandas(_settle, _STATE), "mix")
+    level = 3
+    while True:  # every level leaves one fraction of a bucket open at most
+        state = staged(state.groupBy("source", "bucket").applyInPandas(_bucket, _STATE), "mix")
         out = out.unionByName(state.where("not open"))
-        state = state.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in))
-        if left <= fan_in:  # the residuals of a source meet in one last bucket
-            state = state.groupBy("source").applyInPandas(_settle, _STATE)
-            out = out.unionByName(state.withColumn("whole", F.col("whole") + (F.col("open") & (F.col("draw") < F.col("part"))).cast("long")))
+        state = state.where("open").withColumn("bucket", F.floor(F.col("bucket") / fan_in)).withColumn("draw", number(level))
+        if left <= fan_in:  # the residuals of a source fit one bucket: the root
             break
-        left /= fan_in
+        left, level = left / fan_in, level + 1
+    held = held.withColumn("draw", number(level))
+    out = out.unionByName(state.unionByName(held).groupBy("source").applyInPandas(_root, _STATE))
     return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "n", "source_size", "target", F.col("whole").alias("copies"))
 
 
