@@ -15,6 +15,8 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+#: Fixed value: characters shown on each side of a sampled mention.
+AROUND = 40
 _WEIGHT = "CASE l_returnflag " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in WEIGHTS.items()) + f" ELSE CAST({OTHER_WEIGHT} AS DOUBLE) END"
 _SHARE = "CASE l_returnflag " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in SHARES.items()) + " END"
 _LAST = "SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {orders}"
@@ -66,7 +68,7 @@ FROM {events} e LEFT JOIN own ON own.source = 's' AND own.k = e.user_id LEFT JOI
     "joi09_delivers": "SELECT DISTINCT o_custkey AS item, l_suppkey AS doc FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'",
     "joi18_between": """
 SELECT l_suppkey AS a, l_partkey AS b, l_returnflag AS rel, direction, count(*) AS edges FROM (
-  SELECT l_suppkey, l_partkey, l_returnflag, CASE WHEN l_suppkey < l_partkey THEN 'a->b' ELSE 'b->a' END AS direction FROM {lineitem}) t WHERE l_suppkey <= 10 GROUP BY 1, 2, 3, 4""",
+  SELECT l_suppkey, l_partkey, l_returnflag, CASE WHEN l_suppkey < l_partkey THEN 'a->b' ELSE 'b->a' END AS direction FROM {lineitem}) t GROUP BY 1, 2, 3, 4""",
     "joi19_blocked": "SELECT a.p_partkey AS a, b.p_partkey AS b FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey",
     "joi28_linked": """
 WITH direct AS (SELECT DISTINCT o_custkey, l_partkey FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
@@ -119,15 +121,16 @@ SELECT src, dst, round(sum(w1 * w2 * {PER_HOP * PER_HOP:.6f}), 6) AS weight FROM
 WITH l AS (SELECT 1 AS layer, l_partkey AS k, max(l_extendedprice) AS v FROM {{lineitem}} WHERE l_suppkey = 1 GROUP BY l_partkey UNION ALL SELECT 2, o_custkey, max(o_totalprice) FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey WHERE l_suppkey = 1 GROUP BY o_custkey),
 r AS (SELECT layer, k, row_number() OVER (PARTITION BY layer ORDER BY v DESC, k) AS rn, count(*) OVER (PARTITION BY layer) AS n FROM l)
 SELECT layer, k, round(1 - layer * 0.2 + (1 - rn / CAST(n AS DOUBLE)) * 0.1, 6) AS score FROM r WHERE rn <= {TOP} UNION ALL SELECT 0, count(*), 2.0 FROM l""",
+    # a key by the first label that has it, and how many have it
     "top23_lookup": f"""
-SELECT label, k FROM (SELECT label, k, row_number() OVER (PARTITION BY k ORDER BY CASE label WHEN 'order' THEN 0 WHEN 'part' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END) AS rn FROM ({_NODES}) t WHERE k <= 2000) u WHERE rn = 1""",
+SELECT min_by(label, CASE label WHEN 'order' THEN 0 WHEN 'part' THEN 1 WHEN 'customer' THEN 2 ELSE 3 END) AS label, k, count(DISTINCT label) AS labels FROM ({_NODES}) t GROUP BY k""",
     "top24_explain": """
 SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_partkey) AS shared, count(*) FILTER (WHERE a.l_returnflag = b.l_returnflag) AS same_rel, min(a.l_partkey) AS first_shared
 FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey""",
     # sets
     "set01_branches": f"SELECT rel, count(*) AS n FROM ({_EDGES} UNION ALL SELECT 'reaches', o_custkey, l_partkey FROM {{orders}} JOIN {{lineitem}} ON l_orderkey = o_orderkey UNION ALL SELECT label, k, k FROM ({_NODES}) v) t GROUP BY rel",
     "set04_orphans": "SELECT l_partkey FROM {lineitem} EXCEPT SELECT p_partkey FROM {part} WHERE p_size > 5",
-    "set05_shared": "SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 50 = 0) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 50 = 0) b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 3",
+    "set05_shared": "SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem} WHERE l_orderkey % 20 = 0) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem}) b ON a.l_suppkey = b.l_suppkey AND a.l_orderkey <> b.l_orderkey GROUP BY 1, 2 HAVING count(*) >= 3",
     "joi07_unlinked": "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)",
     # scalars
     "str06_keys": "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1-%' THEN 'issue' WHEN o_orderpriority LIKE '2-%' THEN 'proposal' ELSE 'change' END AS kind, concat(upper(substr(o_orderpriority, 3, 4)), '-', CAST(o_orderkey AS STRING)) AS canonical FROM {orders}",
@@ -167,8 +170,8 @@ FROM {lineitem} c LEFT JOIN (SELECT p_partkey, p_size FROM {part} WHERE p_partke
     "sec06_retries": f"SELECT user_id, count(*) AS failures, CASE WHEN count(*) > {RETRIES} THEN 'quarantined' ELSE 'retry' END AS state FROM {{events}} WHERE event_type = 'error' GROUP BY user_id",
     "sec07_missing_output": "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_linestatus = 'F' AND l_quantity > 10)",
     "sec08_rejections": "SELECT reason, count(*) AS n, min(doc_id) AS sample FROM (SELECT doc_id, CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars > 10000 THEN 'long' WHEN lang <> 'en' THEN 'language' END AS reason FROM {documents}) t WHERE reason IS NOT NULL GROUP BY reason",
-    "sec10_sample": "SELECT doc_id, substr(text, 1, 60) AS quote FROM {documents} ORDER BY md5(concat('7', CAST(doc_id AS STRING))), doc_id LIMIT 25",
-    "sec11_ungraded": "SELECT a.p_partkey AS a, b.p_partkey AS b FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = a.p_partkey)",
+    # groups of equal texts in which no two members have a label: nothing grades their merge
+    "sec11_ungraded": "SELECT min(d.doc_id) AS first_doc, count(*) AS members, count(l.doc_id) AS labelled FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON l.doc_id = d.doc_id WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1 AND count(l.doc_id) < 2",
     "sec13_last_run": "SELECT event_type AS rule, count(*) AS n, max(event_id) AS last_run FROM {events} GROUP BY event_type",
     "sec14_freshness": "SELECT md5(text) AS content, min(doc_id) AS first_seen, count(*) AS times FROM {documents} WHERE text IS NOT NULL GROUP BY md5(text)",
     "sec15_stale": "SELECT a.doc_id, b.doc_id IS NULL AS stale FROM {documents} a LEFT JOIN {documents} b ON b.doc_id = a.doc_id + 1 AND md5(a.text) <> md5(b.text)",
@@ -232,9 +235,10 @@ _PAIRS = {
         "SELECT p_brand, round(size(array_intersect(a, b)) / CAST(size(array_union(a, b)) AS DOUBLE), 6) AS jaccard, size(array_except(a, b)) + size(array_except(b, a)) = 0 AS identical FROM (SELECT p_brand, collect_set(CASE WHEN p_partkey % 2 = 0 THEN p_size END) AS a, collect_set(CASE WHEN p_partkey % 2 = 1 THEN p_size END) AS b FROM {part} GROUP BY p_brand) t",
         "SELECT p_brand, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS jaccard, len(list_intersect(a, b)) = len(list_distinct(list_concat(a, b))) AS identical FROM (SELECT p_brand, list(DISTINCT p_size) FILTER (WHERE p_partkey % 2 = 0) AS a, list(DISTINCT p_size) FILTER (WHERE p_partkey % 2 = 1) AS b FROM {part} GROUP BY p_brand) t",
     ),
-    "str05_quote": (
-        "SELECT item_id, count(*) AS docs FROM (SELECT item_id, substr(regexp_replace(text, '\\\\s+', ' '), 1, 40) AS q FROM {benchmark}) b JOIN (SELECT regexp_replace(text, '\\\\s+', ' ') AS t FROM {documents}) d ON contains(t, q) GROUP BY item_id",
-        "SELECT item_id, count(*) AS docs FROM (SELECT item_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) AS q FROM {benchmark}) b JOIN (SELECT regexp_replace(text, '\\s+', ' ', 'g') AS t FROM {documents}) d ON contains(t, q) GROUP BY item_id",
+    # a mention (the first address of a text) with what stands around it, of texts drawn by a hash
+    "sec10_sample": tuple(
+        f"SELECT doc_id, mention, substr(text, greatest(place - {AROUND}, 1), CAST(place - greatest(place - {AROUND}, 1) AS INT) + length(mention) + {AROUND}) AS quote FROM (SELECT doc_id, text, mention, {find}(text, mention) AS place FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+', 0) AS mention FROM {{documents}}) m WHERE length(mention) > 0) t ORDER BY md5(concat('7', CAST(doc_id AS {kind}))), doc_id LIMIT 25"
+        for find, kind in (("instr", "STRING"), ("strpos", "VARCHAR"))
     ),
     "str22_sentences": (
         "SELECT doc_id, CAST(size(filter(split(coalesce(text, ''), '[.!?]+[ \\\\n]+'), x -> length(trim(x)) > 0)) AS BIGINT) AS claims FROM {documents}",

@@ -74,9 +74,9 @@ SELECT bound, count(*) AS n FROM (SELECT CASE WHEN text LIKE '%2024-%' OR text L
     "grf30_blind": f"SELECT l.label, count(DISTINCT d.doc_id) AS leaks FROM (SELECT substr(md5(concat('{SALT}', source)), 1, 6) AS label, source FROM (SELECT DISTINCT source FROM {{documents}} WHERE source IS NOT NULL) s) l LEFT JOIN {{documents}} d ON d.source = l.source AND d.text LIKE concat('%', l.label, '%') GROUP BY l.label",
     # the first of those that ask the same in other words of case and space
     "sec35_bank": "SELECT min(conv_id * 1000 + turn) AS first_asked, count(*) AS asked FROM {conversations} WHERE role = 'user' AND text IS NOT NULL AND length(trim(text)) > 0 GROUP BY md5(lower(trim(text)))",
-    # ranked neighbours of an item end to end: anchors first, then weight by path, kind and words in common
+    # ranked neighbours of an item end to end: anchors first, then weight by path and kind
     "top11_local": """
-WITH a AS (SELECT l_orderkey AS anchor, l_partkey AS thing FROM {lineitem} WHERE l_orderkey % 100 = 1),
+WITH a AS (SELECT l_orderkey AS anchor, l_partkey AS thing FROM {lineitem} WHERE l_orderkey % 20 = 0),
 n AS (SELECT a.anchor, b.l_orderkey AS k, count(*) AS paths FROM a JOIN {lineitem} b ON b.l_partkey = a.thing AND b.l_orderkey <> a.anchor GROUP BY a.anchor, b.l_orderkey),
 s AS (SELECT n.anchor, n.k, paths * CAST(0.55 AS DOUBLE) * CASE WHEN x.o_orderpriority = y.o_orderpriority THEN 2 ELSE 1 END AS score FROM n JOIN {orders} x ON x.o_orderkey = n.anchor JOIN {orders} y ON y.o_orderkey = n.k)
 SELECT anchor, k, round(score, 6) AS score, CAST(rn AS BIGINT) AS place FROM (SELECT anchor, k, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, k) AS rn FROM (SELECT anchor, k, score FROM s UNION ALL SELECT DISTINCT anchor, anchor, CAST(1000 AS DOUBLE) FROM a) t) u WHERE rn <= 10""",
