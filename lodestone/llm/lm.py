@@ -1,16 +1,19 @@
 """LM scoring: a log-bilinear neural model trained in numpy with noise-contrastive estimation.
 
 The model predicts a unit from the two units before it. Units are the most frequent words, each by itself, as many
-as WORDS_BY_ROOT times the root of the training tokens (WORDS_MOST at most, the bound on what a task holds); classes
-of the other words by their last two bytes; and the end of a text. So vocabulary and contexts grow with the corpus.
+as WORDS_BY_ROOT times the root of the training tokens; classes of the other words by their last two bytes; and the
+end of a text. So vocabulary and contexts grow with the corpus, without a cap; what a task holds of the model grows with
+the root of the tokens (about 140 bytes a unit).
 Within a class a word has its share of the corpus counts, smoothed, with one event for every unseen word.
 
 Each unit has a context vector, a target vector and a bias. Units are cut into groups of about the root of their
 number, in order of their endings; groups have target vectors too. A probability is that of the group, normalised over
 all groups, times that of the unit, normalised over its group, each by batched matrix products. Both are trained by
 NCE with sampled noise. Training sees every training token once, in ROUNDS rounds over disjoint sets of documents:
-in a round each task of Spark starts from the same parameters, takes Adagrad steps over its own tokens and returns the
-vectors it touched; these are averaged by the tokens that touched them, through a merge tree.
+in a round each shard, dealt by content and read in order of doc_id and text, starts from the same parameters, takes
+Adagrad steps over its own tokens and returns the vectors it touched; these are averaged by the tokens that touched
+them, through a merge tree. Shards and their seeds come from the documents alone: files, partitions and lost executors
+do not change what is learned.
 
 Word counts are exact and cover the corpus. Documents are dealt to blocks by content; each block asks for its
 distinct words, one sorted array per part of the hash space; a part sums all blocks' counts of its words and
@@ -32,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, merge_tree, partitions, staged, text_buffer, tidy, word_hashes, words
+from lodestone.llm.common import crc_mod, doc_slices, documents, lower_bytes, merge_tree, partitions, staged, text_buffer, word_hashes, words
 
-#: Single words of the vocabulary by the root of the training tokens, their most, and the classes of the other words by ending.
-WORDS_BY_ROOT, WORDS_MOST, CLASSES = 2, 1 << 16, 254
+#: Single words of the vocabulary by the root of the training tokens, and the classes of the other words by ending.
+WORDS_BY_ROOT, CLASSES = 2, 254
 SMOOTH = 0.1
-#: Bytes of text of a block and of a part's share of the corpus; words of a part that are kept as candidates occur so often.
-BLOCK_BYTES, PART_BYTES, CANDIDATE = 3 << 20, 64 << 20, 4
+#: Bytes of text of a block, of a training shard and of a part's share of the corpus; words of a part that are kept as candidates occur so often.
+BLOCK_BYTES, SHARD_BYTES, PART_BYTES, CANDIDATE = 3 << 20, 16 << 20, 64 << 20, 4
 #: Vector length, noise samples of a minibatch (words, groups), its tokens, step size, rounds; units of a slice that is merged at once.
 DIM, NOISE, NOISE_GROUPS, BATCH, RATE, ROUNDS, SLICE = 16, 32, 8, 640, 0.035, 2, 8192
 _U = np.uint64
@@ -225,9 +228,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """Adagrad steps of NCE on a copy of the parameters; knows which rows were touched, and how often."""
 
-    def __init__(self, p: dict[str, np.ndarray], units: Units, seed: int):
+    def __init__(self, p: dict[str, np.ndarray], units: Units, seed: list[int]):
         self.p = {k: v.copy() for k, v in p.items()}
-        self.width, self.steps, self.rng = units.width, 0, np.random.default_rng(seed)
+        self.width, self.rng = units.width, np.random.default_rng(seed)
         self.squares = {k: np.full(len(v), 1e-4, np.float32) for k, v in p.items()}
         self.hits = {k: np.zeros(len(v), np.int64) for k, v in p.items()}
         share = (units.unit_tokens + 1.0) / (units.unit_tokens.sum() + units.n)
@@ -236,8 +239,9 @@ class Trainer:
 
     def _step(self, name: str, at: np.ndarray, grad: np.ndarray) -> None:
         """One Adagrad step on rows at; rows may be named several times, each has one running square."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        shift = len(at).bit_length()
+        packed = np.sort(at << shift | np.arange(len(at)))
+        at, order = packed >> shift, packed & ((1 << shift) - 1)
         new = np.ones(len(at), bool)
         np.not_equal(at[1:], at[:-1], out=new[1:])
         head = np.flatnonzero(new)
@@ -265,12 +269,14 @@ class Trainer:
         hidden = np.ones((len(two), DIM + 1), np.float32)
         hidden[:, :DIM] = x2 @ c[:DIM] + x1 @ c[DIM:]
         back = self._contrast("Q", hidden, target)
-        self.steps += 1
-        if self.steps % 2:  # groups are few: every other minibatch is enough for them
-            back += self._contrast("G", hidden, target // self.width)
+        back += self._contrast("G", hidden, target // self.width)
         to2, to1 = back @ c[:DIM].T, back @ c[DIM:].T
         step_c = np.concatenate([x2.T @ back, x1.T @ back])
-        self._step("R", np.concatenate([two, one]), np.concatenate([to2, to1]))
+        own = np.r_[0, np.flatnonzero(two[1:] != one[:-1]) + 1]  # elsewhere the unit two before is the last token's unit one before
+        apart = to2[own]
+        to2[own] = 0
+        to1[:-1] += to2[1:]
+        self._step("R", np.concatenate([one, two[own]]), np.concatenate([to1, apart]))
         self.squares["C"] += (step_c * step_c).mean(1)
         self.hits["C"] += len(two)
         self.p["C"] = c - 0.2 * RATE * step_c / np.sqrt(self.squares["C"])[:, None]
@@ -280,7 +286,7 @@ _TOUCHED = "name string, slice int, at binary, hits binary, sums binary"
 
 
 def _touched(name: str, k: int, at: np.ndarray, hits: np.ndarray, sums: np.ndarray) -> tuple:
-    return name, k, at.astype(np.uint32).tobytes(), hits.astype(np.int64).tobytes(), sums.astype(np.float32).tobytes()
+    return name, k, at.astype(np.uint32).tobytes(), hits.astype(np.int64).tobytes(), sums.astype(np.float64).tobytes()
 
 
 def _touched_table(rows: list[tuple], kind):
@@ -292,7 +298,7 @@ def _add_touched(table: pa.Table) -> pa.Table:
     """Hits and hit-weighted steps of one slice of one table, summed."""
     at = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("at")]
     hits = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("hits")])
-    sums = [np.frombuffer(x.as_buffer(), np.float32).reshape(len(a), -1) for x, a in zip(table.column("sums"), at, strict=True)]
+    sums = [np.frombuffer(x.as_buffer(), np.float64).reshape(len(a), -1) for x, a in zip(table.column("sums"), at, strict=True)]
     where = np.concatenate(at).astype(np.int64)
     order = np.argsort(where, kind="stable")
     head = np.flatnonzero(np.r_[True, where[order][1:] != where[order][:-1]])
@@ -300,33 +306,31 @@ def _add_touched(table: pa.Table) -> pa.Table:
     return _touched_table([row], pa.Table)
 
 
-def train_round(texts: DataFrame, units: Units, p: dict[str, np.ndarray], tasks: int) -> dict[str, np.ndarray]:
-    """Parameters after one round over texts (text): the average of what every task has learned from p."""
+def train_round(texts: DataFrame, units: Units, p: dict[str, np.ndarray], r: int, shards: int) -> dict[str, np.ndarray]:
+    """Parameters after round r over texts (shard, doc_id, text): the average of what every shard has learned from p."""
     shared = texts.sparkSession.sparkContext.broadcast((units, p))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
         u, before = shared.value
-        trainer = None
-        for batch in batches:
-            trainer = trainer or Trainer(before, u, seed=batch.num_rows)
-            for _, _, keys, cut in _tokens(pa.table(batch)):
-                two, one, unit, _ = _contexts(u.of(keys), cut, u.end)
-                for i in range(0, len(unit), BATCH):
-                    trainer.learn(two[i : i + BATCH], one[i : i + BATCH], unit[i : i + BATCH])
-        if trainer is None:
-            return
+        trainer = Trainer(before, u, [r, table.column("shard")[0].as_py()])
+        for _, _, keys, cut in _tokens(table.sort_by([("doc_id", "ascending"), ("text", "ascending")])):
+            two, one, unit, _ = _contexts(u.of(keys), cut, u.end)
+            for i in range(0, len(unit), BATCH):
+                trainer.learn(two[i : i + BATCH], one[i : i + BATCH], unit[i : i + BATCH])
+        rows = []
         for name, now in trainer.p.items():
             at = np.flatnonzero(trainer.hits[name])
             for k in np.unique(at // SLICE):
                 own = at[at // SLICE == k]
                 hits = trainer.hits[name][own]
-                yield _touched_table([_touched(name, int(k), own, hits, hits[:, None] * (now[own] - before[name][own]))], pa.RecordBatch)
+                rows.append(_touched(name, int(k), own, hits, hits[:, None] * (now[own] - before[name][own]).astype(np.float64)))
+        return _touched_table(rows, pa.Table)
 
-    found = merge_tree(texts.mapInArrow(tidy(run), _TOUCHED), ["name", "slice"], _add_touched, _TOUCHED, tasks).collect()  # at most the model
+    found = merge_tree(texts.groupBy("shard").applyInArrow(run, _TOUCHED), ["name", "slice"], _add_touched, _TOUCHED, shards).collect()  # at most the model
     p = {k: v.copy() for k, v in p.items()}
-    for r in found:
-        at, hits = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["hits"], np.int64)
-        p[r["name"]][at] += np.frombuffer(r["sums"], np.float32).reshape(len(at), -1) / hits[:, None].astype(np.float32)
+    for row in found:
+        at, hits = np.frombuffer(row["at"], np.uint32), np.frombuffer(row["hits"], np.int64)
+        p[row["name"]][at] += (np.frombuffer(row["sums"], np.float64).reshape(len(at), -1) / hits[:, None]).astype(np.float32)
     return p
 
 
@@ -362,7 +366,7 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def learn_units(described: DataFrame, n_ends: int, tokens: int) -> Units:
     """Units from the parts' descriptions: single words are all those in the size classes that fit the vocabulary."""
-    wanted = min(WORDS_MOST, int(WORDS_BY_ROOT * np.sqrt(tokens)))
+    wanted = int(WORDS_BY_ROOT * np.sqrt(tokens))
     sizes = sorted(_unpacked(described, ["sizes", "words"], ["size", "n"]).groupBy("size").agg(F.sum("n").alias("n")).collect(), reverse=True)
     least, held = 1 << 30, 0
     for r in sizes:
@@ -376,7 +380,7 @@ def learn_units(described: DataFrame, n_ends: int, tokens: int) -> Units:
     return Units(column(top, "key").view(_U), column(top, "n"), column(ends, "ending"), column(ends, "words"), column(ends, "tokens"), n_ends)
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Counts, base score and model score of every document; learns from the documents that crc32 lets train."""
     spark = docs.sparkSession
     blocks, size, n_train = _blocks(docs, block_bytes)
@@ -387,9 +391,11 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     total = _unpacked(described, ["ending_tokens"], ["tokens"]).agg(F.sum("tokens")).first()[0] or 0
     units = learn_units(described, n_train, total + n_train)
     params = start(units)
+    shards = max(1, size // (ROUNDS * shard_bytes))
+    dealt = blocks.where("train").withColumn("deal", F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS * shards)))
     for r in range(ROUNDS if n_train else 0):
-        own = blocks.where(F.col("train") & (F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)).select("text")
-        params = train_round(own, units, params, size // (16 << 20))
+        own = dealt.where(F.col("deal") % ROUNDS == r).select(F.expr(f"deal div {ROUNDS}").alias("shard"), "doc_id", "text")
+        params = train_round(own, units, params, r, shards)
     shared = spark.sparkContext.broadcast((units, params))
 
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:

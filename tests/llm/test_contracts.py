@@ -375,3 +375,10 @@ def test_pipeline(spark, tmp_path):
 def _buffer(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["sun", "moon", "a", "of", f"w{i % 9}"]) for _ in range(40))) for i in range(400)], "doc_id long, text string")
+    got = [lm.score(docs.repartition(n), block_bytes=32768, shard_bytes=4096).toPandas().sort_values("doc_id").score.to_numpy() for n in (1, 7)]
+    assert np.allclose(*got, rtol=1e-6)
