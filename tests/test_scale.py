@@ -27,3 +27,16 @@ def test_digest_of_a_source_stands_for_every_bit_of_its_texts(spark, tmp_path):
 
     got = {tuple(r) for r in catalogue.QUERIES["sec39_digests"](spark, str(tmp_path)).collect()}
     assert got == {("x", digest("b", "", "b"), 3), (None, digest("a"), 1), ("y", digest("a"), 1)}
+
+
+def put(spark, tmp_path, **tables) -> str:
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_parts_of_one_title_are_not_paired(spark, tmp_path):
+    rows = [(i, "old part x-y" if i % 2 else "old x y") for i in range(400)] + [(1000, None), (1001, None), (1002, "one"), (7, "one")]
+    df = catalogue.QUERIES["grf03_titles"](spark, put(spark, tmp_path, part=(rows, "p_partkey long, p_name string")))
+    assert {tuple(r) for r in df.collect()} == {(i, 0) for i in range(1, 400)} | {(1002, 7)}
+    assert most_rows(df) <= 2 * len(rows)
