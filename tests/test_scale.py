@@ -40,3 +40,12 @@ def test_parts_of_one_title_are_not_paired(spark, tmp_path):
     df = catalogue.QUERIES["grf03_titles"](spark, put(spark, tmp_path, part=(rows, "p_partkey long, p_name string")))
     assert {tuple(r) for r in df.collect()} == {(i, 0) for i in range(1, 400)} | {(1002, 7)}
     assert most_rows(df) <= 2 * len(rows)
+
+
+def test_parts_of_one_name_are_not_paired_for_scope(spark, tmp_path):
+    parts = [(i, "n", "b") for i in range(400)] + [(500, None, "b"), (501, None, "b"), (502, "n", "c"), (503, "m", "c"), (503, "k", "c"), (504, "k", "c")]
+    lines = [(i, 50.0) for i in range(300)] + [(500, 46.0), (503, 46.0), (502, 45.0)]
+    tables = put(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_brand string"), lineitem=(lines, "l_partkey long, l_quantity double"))
+    df = catalogue.QUERIES["flt07_scope"](spark, tables)
+    assert {tuple(r) for r in df.collect()} == {(i, int(i < 300)) for i in range(400)} | {(500, 1), (503, 1), (504, 0)}
+    assert most_rows(df) <= 2 * len(parts)
