@@ -49,3 +49,13 @@ def test_parts_of_one_name_are_not_paired_for_scope(spark, tmp_path):
     df = catalogue.QUERIES["flt07_scope"](spark, tables)
     assert {tuple(r) for r in df.collect()} == {(i, int(i < 300)) for i in range(400)} | {(500, 1), (503, 1), (504, 0)}
     assert most_rows(df) <= 2 * len(parts)
+
+
+def test_shares_are_cut_before_they_are_shuffled(spark, tmp_path):
+    lines = [(i, i % 7, "ANRX"[i % 4], float(i % 1000)) for i in range(4000)]
+    df = catalogue.QUERIES["top18_shares"](spark, put(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_extendedprice double")))
+    got = [tuple(r) for r in df.collect()]
+    for flag, many in (("A", 100), ("N", 60), ("R", 40)):
+        best = sorted((x for x in lines if x[2] == flag), key=lambda x: (-x[3], x[0], x[1]))[:many]
+        assert sorted(r[1:] for r in got if r[0] == flag) == sorted(x[:2] for x in best)
+    assert len(got) == 200 and "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
