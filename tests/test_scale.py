@@ -59,3 +59,11 @@ def test_shares_are_cut_before_they_are_shuffled(spark, tmp_path):
         best = sorted((x for x in lines if x[2] == flag), key=lambda x: (-x[3], x[0], x[1]))[:many]
         assert sorted(r[1:] for r in got if r[0] == flag) == sorted(x[:2] for x in best)
     assert len(got) == 200 and "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_blocks_are_dealt_to_tasks(spark, tmp_path):
+    parts = [(i, "b", "t", 1) for i in range(2100)] + [(6000, "b", "t", 2), (6001, "b", "t", 2), (6002, "b", None, 2), (6003, "c", "t", 2)]
+    df = catalogue.QUERIES["joi19_blocked"](spark, put(spark, tmp_path, part=(parts, "p_partkey long, p_brand string, p_type string, p_size int")))
+    n, ids, wrong = df.selectExpr("count(*)", "count(DISTINCT struct(a, b))", "count_if(a >= b OR (a >= 6000) <> (b >= 6000))").first()
+    assert (n, ids, wrong) == (2100 * 2099 // 2 + 1,) * 2 + (0,)
+    assert "deal" in df._jdf.queryExecution().optimizedPlan().toString()
