@@ -1,7 +1,11 @@
 """Work that must grow with the tables: rows that the steps of a plan put out, and the results that go with it."""
 
 import hashlib
+import random
 
+import pytest
+
+from lodestone.operators import overlap
 from lodestone.plans import catalogue
 
 
@@ -67,3 +71,26 @@ def test_large_blocks_are_dealt_to_tasks(spark, tmp_path):
     n, ids, wrong = df.selectExpr("count(*)", "count(DISTINCT struct(a, b))", "count_if(a >= b OR (a >= 6000) <> (b >= 6000))").first()
     assert (n, ids, wrong) == (2100 * 2099 // 2 + 1,) * 2 + (0,)
     assert "deal" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_sets_meet_by_subsets(spark, least, monkeypatch):
+    monkeypatch.setattr(overlap, "MOST", 20)  # so that sets of more than five or six items count as large
+    monkeypatch.setattr(overlap, "DEAL", 3)
+    deal = random.Random(least)
+    sets = {k: set(deal.sample(range(25), deal.choice((1, 2, 4, 5, 9)))) for k in range(60)} | {90: {1, 2, 3}, 91: {1, 2, 3}, 92: set(range(25))}
+    rows = [(k, x) for k, s in sets.items() for x in s] + [(90, 1), (90, None), (None, 1)]
+    frame = spark.createDataFrame(rows, "key long, item long")
+    for asked in (None, 20):
+        pairs = [(a, b, s & t) for a, s in sets.items() for b, t in sets.items() if (a < b if asked is None else a != b and a % asked == 0) and len(s & t) >= least]
+        condition = None if asked is None else frame.key % asked == 0
+        assert sorted(tuple(r) for r in overlap.shared(frame, least, condition).collect()) == sorted((a, b, x) for a, b, both in pairs for x in both)
+        assert {tuple(r) for r in overlap.counted(frame, least, condition).collect()} == {(a, b, len(both)) for a, b, both in pairs}
+
+
+def test_listed_pairs_have_their_first_items(spark):
+    deal = random.Random(9)
+    sets = {k: set(deal.sample(range(30), deal.choice((1, 3, 8)))) for k in range(40)}
+    frame = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "key long, item long")
+    want = [(a, b, x) for a in sets for b in sets if a < b for x in sorted(sets[a] & sets[b])[:2]]
+    assert sorted(tuple(r) for r in overlap.listed(frame, 2).collect()) == sorted(want)
