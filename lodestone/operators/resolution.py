@@ -71,7 +71,8 @@ def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, Data
 def _forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts 'different': pairs of one label whose ids follow each other by at most 7."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
-    return v.toDF("a", "label").join(v.toDF("b", "label"), "label").where("b > a AND b <= a + 7").select("a", "b")
+    ahead = v.select("label", F.col("vec_id").alias("a"), F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("b"))
+    return ahead.join(v.toDF("b", "label"), ["label", "b"]).select("a", "b")
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,14 @@
 import hashlib
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from lodestone.operators import overlap
+from lodestone.llm import lm, twins
+from lodestone.operators import chunks, overlap, resolution, terms
 from lodestone.plans import catalogue
+from lodestone.streaming import items
 
 
 def most_rows(df) -> int:
@@ -94,3 +98,11 @@ def test_listed_pairs_have_their_first_items(spark):
     frame = spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "key long, item long")
     want = [(a, b, x) for a in sets for b in sets if a < b for x in sorted(sets[a] & sets[b])[:2]]
     assert sorted(tuple(r) for r in overlap.listed(frame, 2).collect()) == sorted(want)
+
+
+def test_verdicts_join_on_both_ends(spark, tmp_path):
+    rows = [(i, i // 300) for i in range(600)] + [(3, 0), (None, 0), (900, None)]
+    df = resolution._forbidden(spark, put(spark, tmp_path, embeddings=(rows, "vec_id long, label int")))
+    want = [(a, b) for a, x in rows for b, y in rows if None not in (a, b, x) and x == y and a < b <= a + 7]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert most_rows(df) <= 7 * len(rows)
