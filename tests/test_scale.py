@@ -106,3 +106,15 @@ def test_verdicts_join_on_both_ends(spark, tmp_path):
     want = [(a, b) for a, x in rows for b, y in rows if None not in (a, b, x) and x == y and a < b <= a + 7]
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
     assert most_rows(df) <= 7 * len(rows)
+
+
+def test_postings_are_blocks_and_equal_ids_one_document(spark, tmp_path):
+    rows = [(i, "Red fox red") for i in range(50)] + [(7, "fox owl"), (None, "fox"), (None, "owl"), (60, None), (61, "--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    terms.write_index(docs, str(tmp_path / "i"))
+    blocks = spark.read.parquet(str(tmp_path / "i/postings"))
+    got = {(r.term, d): n for r in blocks.collect() for d, n in zip(r.docs, r.tfs, strict=True)}
+    want = {(t, i): n for i in range(50) for t, n in (("red", 2), ("fox", 1))} | {("fox", 7): 2, ("owl", 7): 1, ("fox", None): 1, ("owl", None): 1}
+    assert got == want and blocks.count() < 10
+    lengths = {tuple(r) for r in spark.read.parquet(str(tmp_path / "i/lengths")).collect()}
+    assert lengths == {(i, 3) for i in range(50) if i != 7} | {(7, 5), (None, 2)}
