@@ -118,3 +118,35 @@ def test_postings_are_blocks_and_equal_ids_one_document(spark, tmp_path):
     assert got == want and blocks.count() < 10
     lengths = {tuple(r) for r in spark.read.parquet(str(tmp_path / "i/lengths")).collect()}
     assert lengths == {(i, 3) for i in range(50) if i != 7} | {(7, 5), (None, 2)}
+
+
+def test_state_of_an_item_is_read_and_written_once_a_batch():
+    calls, held = [], []
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return iter(list(held))
+
+        def put(self, rows):
+            calls.append("put")
+            held[:] = rows
+
+        def appendList(self, rows):
+            calls.append("append")
+            held.extend(rows)
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+    spells, day = items.Spells(), pd.Timestamp("2024-01-01")
+    spells.init(Handle())
+
+    def feed(*rows):
+        frame = pd.DataFrame([(e, day + pd.Timedelta(days=d), s) for e, d, s in rows], columns=["event_id", "ts", "status"])
+        return [tuple(r) for r in next(spells.handleInputRows((1,), iter([frame]), None))["status"].items()]
+
+    assert feed(*((k, k, "a") for k in range(50))) == [(k, "a") for k in range(50)]
+    assert feed((60, 60, "b"))[-1] == (50, "b") and calls == ["get", "append"] * 2
+    assert feed((60, 61, "c"))[-1] == (50, "c") and calls[-1] == "put" and len(held) == 51
