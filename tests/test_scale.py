@@ -150,3 +150,18 @@ def test_state_of_an_item_is_read_and_written_once_a_batch():
     assert feed(*((k, k, "a") for k in range(50))) == [(k, "a") for k in range(50)]
     assert feed((60, 60, "b"))[-1] == (50, "b") and calls == ["get", "append"] * 2
     assert feed((60, 61, "c"))[-1] == (50, "c") and calls[-1] == "put" and len(held) == 51
+
+
+def test_chunks_are_made_of_few_texts_at_once():
+    class Docs:
+        dtypes = [("doc_id", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([str(k) for k in range(1000)])], names=["doc_id", "text"])
+    made = list(chunks._by_text(Docs(), lambda t: [(t,)], (("text", pa.string()),))(iter([batch])))
+    assert max(b.num_rows for b in made) <= chunks.SLICE and pa.Table.from_batches(made).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
