@@ -380,8 +380,11 @@ def learn_units(described: DataFrame, n_ends: int, tokens: int) -> Units:
     return Units(column(top, "key").view(_U), column(top, "n"), column(ends, "ending"), column(ends, "words"), column(ends, "tokens"), n_ends)
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Counts, base score and model score of every document; learns from the documents that crc32 lets train."""
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, model: bool = True) -> DataFrame:
+    """Counts, base score and model score of every document; learns from the documents that crc32 lets train.
+
+    The base score stands on counts alone: without model nothing is trained, and the column score is 0.
+    """
     spark = docs.sparkSession
     blocks, size, n_train = _blocks(docs, block_bytes)
     parts = max(2 * partitions(spark), size // PART_BYTES)
@@ -393,7 +396,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SH
     params = start(units)
     shards = max(1, size // (ROUNDS * shard_bytes))
     dealt = blocks.where("train").withColumn("deal", F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS * shards)))
-    for r in range(ROUNDS if n_train else 0):
+    for r in range(ROUNDS if n_train and model else 0):
         own = dealt.where(F.col("deal") % ROUNDS == r).select(F.expr(f"deal div {ROUNDS}").alias("shard"), "doc_id", "text")
         params = train_round(own, units, params, r, shards)
     shared = spark.sparkContext.broadcast((units, params))
@@ -416,9 +419,12 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SH
             all_counts = np.full(len(unit), u.n_ends, np.int64)
             all_counts[~end] = c
             base = np.log10((all_counts + SMOOTH) / (u.tokens + SMOOTH * (u.distinct + 1)))
-            model = log_probabilities(u, p, two, one, unit)
-            model[~end] += u.word_share(unit[~end], c)
-            for name, value in (("n_known", all_counts > 0), ("base", base), ("score", model)):
+            values = [("n_known", all_counts > 0), ("base", base)]
+            if model:
+                learned = log_probabilities(u, p, two, one, unit)
+                learned[~end] += u.word_share(unit[~end], c)
+                values.append(("score", learned))
+            for name, value in values:
                 out[name][i:j] = np.add.reduceat(value.astype(np.float64), first[:-1])
             out["n_tokens"][i:j] = np.diff(first)
         columns = [

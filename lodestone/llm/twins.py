@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import fingerprint, lm, mixing, pii
+from lodestone.llm.common import documents
 
 #: A to Z in both cases, and the pattern of a word.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -118,7 +119,7 @@ FROM t LEFT JOIN c ON c.x IS NOT DISTINCT FROM t.x CROSS JOIN n GROUP BY doc_id,
 
 
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.query(spark, sf_dir).selectExpr("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 4) AS base_score")
+    return lm.score(documents(spark, sf_dir), model=False).selectExpr("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "round(base_score, 4) AS base_score")
 
 
 QUERIES = {"llm_pii_base": pii_base, "llm_mix_targets": mix_targets, "llm_edited_texts": edits, "llm_base_scores": lm_base}

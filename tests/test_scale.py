@@ -165,3 +165,14 @@ def test_chunks_are_made_of_few_texts_at_once():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([str(k) for k in range(1000)])], names=["doc_id", "text"])
     made = list(chunks._by_text(Docs(), lambda t: [(t,)], (("text", pa.string()),))(iter([batch])))
     assert max(b.num_rows for b in made) <= chunks.SLICE and pa.Table.from_batches(made).to_pylist() == pa.Table.from_batches([batch]).to_pylist()
+
+
+def test_base_scores_train_nothing(spark, tmp_path, monkeypatch):
+    def train(*_):
+        raise AssertionError("trained")
+
+    rows = [(i, "a b c " * (i % 4)) for i in range(60)]
+    tables = put(spark, tmp_path, documents=([(*r, "en", "x", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    want = {r[:5] + (round(r.base_score, 4),) for r in lm.query(spark, tables).collect()}
+    monkeypatch.setattr(lm, "train_round", train)
+    assert {tuple(r) for r in twins.lm_base(spark, tables).collect()} == want
