@@ -9,7 +9,7 @@ import pytest
 
 from lodestone.llm import lm, twins
 from lodestone.operators import chunks, overlap, resolution, terms
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, census
 from lodestone.streaming import items
 
 
@@ -176,3 +176,17 @@ def test_base_scores_train_nothing(spark, tmp_path, monkeypatch):
     want = {r[:5] + (round(r.base_score, 4),) for r in lm.query(spark, tables).collect()}
     monkeypatch.setattr(lm, "train_round", train)
     assert {tuple(r) for r in twins.lm_base(spark, tables).collect()} == want
+
+
+def test_tasks_of_paths_follow_the_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(census, "TASK_LINES", 100)
+    lines = [(k // 4, k * k % 11, "ANR"[k % 3]) for k in range(2000)] + [(1, 5, None), (None, 5, "A"), (1, None, "A")]
+    df = catalogue.QUERIES["top08_path"](spark, put(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_suppkey long, l_returnflag string")))
+    ways = {(o, s, {"A": 1.0, "N": 0.8}.get(f, 0.5)) for o, s, f in lines if o is not None and s is not None}
+    want = {}
+    for o, s, w in ways:
+        for p, t, v in ways:
+            if o == p and s != t:
+                want[s, t] = want.get((s, t), 0) + w * v * 0.3025
+    assert {(r.src, r.dst): r.weight for r in df.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert df.rdd.getNumPartitions() == 1 + len(lines) // 100
