@@ -70,3 +70,13 @@ def test_walks_of_customers_take_relations_one_by_one(spark, tmp_path, monkeypat
     monkeypatch.setattr(paths, "_both_ways", _refused)
     got = {(r.anchor, r.node): (r.hops, r.paths, r.weight) for r in paths.QUERIES["joi16_walks"](spark, tables).collect()}
     assert want and got == {k: (h, n, pytest.approx(w, abs=1e-6)) for k, (h, n, w) in want.items()}
+
+
+def test_paths_to_suppliers_take_relations_one_by_one(spark, tmp_path, monkeypatch):
+    tables = _tables(spark, tmp_path)
+    orders, lines = (spark.read.parquet(f"{tables}/{t}.parquet").collect() for t in ("orders", "lineitem"))
+    pairs = {(f"c{o.o_custkey}", f"s{x.l_suppkey}") for o in orders for x in lines if o.o_orderkey % 20 == 0 and o.o_orderkey == x.l_orderkey and None not in (o.o_custkey, x.l_suppkey)}
+    want = paths.shortest(spark.createDataFrame(sorted(pairs), "a string, b string"), paths.graph(spark, tables))
+    want = sorted((r.a, r.b, r.hops, ">".join(r.path), ">".join(r.rels)) for r in want.collect())
+    monkeypatch.setattr(paths, "_both_ways", _refused)
+    assert want and sorted(map(tuple, paths.QUERIES["top24_paths"](spark, tables).collect())) == want
