@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lodestone.operators import paths, traversal, typed
+from lodestone.plans import resolution
 
 EDGES = "src long, dst long"
 KINDS = (("A", "x", "y"), ("B", "y", "z"), ("C", "z", "z"), ("D", "x", "y"), ("E", "x", "x"))
@@ -80,3 +81,12 @@ def test_paths_to_suppliers_take_relations_one_by_one(spark, tmp_path, monkeypat
     want = sorted((r.a, r.b, r.hops, ">".join(r.path), ">".join(r.rels)) for r in want.collect())
     monkeypatch.setattr(paths, "_both_ways", _refused)
     assert want and sorted(map(tuple, paths.QUERIES["top24_paths"](spark, tables).collect())) == want
+
+
+def test_hops_from_nations_take_relations_one_by_one(spark, tmp_path, monkeypatch):
+    tables = _tables(spark, tmp_path)
+    read = lambda name, *ends: spark.read.parquet(f"{tables}/{name}.parquet").selectExpr(*ends)
+    edges = read("customer", "concat('n:', c_nationkey) AS src", "concat('c:', c_custkey) AS dst").union(read("orders", "concat('c:', o_custkey)", "concat('o:', o_orderkey)")).union(read("lineitem", "concat('o:', l_orderkey)", "concat('p:', l_partkey)"))
+    want = sorted(map(tuple, traversal.reach(edges.union(edges.select("dst", "src")), read("nation", "concat('n:', n_nationkey) AS anchor"), 3).collect()))
+    monkeypatch.setattr(resolution, "reach", _refused, raising=False)
+    assert want and sorted(map(tuple, resolution.QUERIES["joi17_shortest"](spark, tables).collect())) == want
