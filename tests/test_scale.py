@@ -9,7 +9,7 @@ import pytest
 
 from lodestone.llm import lm, twins
 from lodestone.operators import chunks, overlap, resolution, terms
-from lodestone.plans import catalogue, census
+from lodestone.plans import catalogue, census, more, sql
 from lodestone.streaming import items
 
 
@@ -190,3 +190,20 @@ def test_tasks_of_paths_follow_the_lines(spark, tmp_path, monkeypatch):
                 want[s, t] = want.get((s, t), 0) + w * v * 0.3025
     assert {(r.src, r.dst): r.weight for r in df.collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
     assert df.rdd.getNumPartitions() == 1 + len(lines) // 100
+
+
+def test_people_of_a_stem_are_not_gathered(spark, tmp_path):
+    deal = random.Random(11)
+    customers = [(k, f"Customer#{k % 40:09d}", deal.randrange(2), deal.choice("SA"), float(deal.randrange(120))) for k in range(1, 120)] + [(21, "other 017", 0, "S", 5.0), (None, "x 014", 1, "S", 7.0), (300, None, None, None, None)]
+    suppliers = [(k, f"Supplier#{k % 30:09d}", int(k in (9, 10)), 77.0 if k in (9, 10) else float(deal.randrange(120))) for k in range(1, 60)] + [(7, "none", 0, 5.0), (None, "y 014", 1, 7.0)]
+    orders = [(o, deal.randrange(1, 60)) for o in range(150)] + [(None, 3)]
+    lines = [(deal.randrange(150), deal.randrange(8), deal.randrange(1, 60)) for _ in range(500)] + [(None, 1, 3), (5, None, 3)]
+    tables = put(spark, tmp_path, customer=(customers, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double"), supplier=(suppliers, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+                 orders=(orders, "o_orderkey long, o_custkey long"), lineitem=(lines, "l_orderkey long, l_partkey long, l_suppkey long"))
+    want = sorted((tuple(r) for r in sql.query(more._BOTH["grf01_persons"])(spark, tables).collect()), key=repr)
+    assert {r[2] for r in want} == {r[0] for r in more._RULES}
+    assert sorted((tuple(r) for r in catalogue.QUERIES["grf01_persons"](spark, tables).collect()), key=repr) == want
+    once = put(spark, tmp_path / "once", **{t: (list({r[0]: r for r in rows if r[0] is not None}.values()), spark.read.parquet(f"{tables}/{t}.parquet").schema) for t, rows in (("customer", customers), ("supplier", suppliers), ("orders", orders), ("lineitem", lines))})
+    df = catalogue.QUERIES["grf01_persons"](spark, once)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, sql.query(more._BOTH["grf01_persons"])(spark, once).collect()))
+    assert not {"Window", "Aggregate"} & set(df._jdf.queryExecution().optimizedPlan().toString().replace("[", " ").split())
