@@ -140,7 +140,9 @@ def levels(pairs: DataFrame, gamma: float = GAMMA, seed: int = SEED) -> tuple[Da
     ends = pairs.where("u IS NOT NULL AND v IS NOT NULL AND w > 0").select(F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"), F.col("w").cast("double").alias("w"))
     # sums of decimals do not depend on their order
     one = ends.groupBy("u", "v").agg(F.sum(F.col("w").cast("decimal(28,12)")).cast("double").alias("w"))
-    edges = _kept(one.where("u <> v").unionByName(one.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).unionByName(one.where("u = v")), "edges")
+    # both directions from one pass, so the pairs are made once
+    ways = F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    edges = _kept(one.select(F.explode(ways).alias("e"), "w").select("e.u", "e.v", "w"), "edges")
     total = edges.agg(F.sum("w")).first()[0]
     if not total:
         return edges.select(F.col("u").alias("node"), F.lit(0).alias("level"), F.col("v").alias("community")).limit(0), []

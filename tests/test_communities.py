@@ -102,3 +102,17 @@ def test_odd_pairs(spark):
     assert rows.count() == 0 and told == []
     rows, told = communities.levels(spark.createDataFrame([(5, 5, 1.0)], SCHEMA))
     assert [tuple(r) for r in rows.collect()] == [(5, 0, 5)] and told[0][1] == 1
+
+
+def test_pairs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    pairs = [(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 4, 2.0)]
+    found, _ = communities.levels(spark.createDataFrame(pairs, SCHEMA).mapInPandas(count, SCHEMA))
+    assert sorted((r.node, r.community) for r in found.collect() if r.level == 0) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert made.value == len(pairs)
