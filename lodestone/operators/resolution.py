@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from lodestone.sources.storage import fresh_folder
 
 #: The score from which a pair is merged, that from which it is asked about, the likeness of a hard negative.
 AUTO, GREY, ALIKE = 0.92, 0.80, 0.75
+#: Open links and forbidden pairs of a component that one task settles at most; those from which a component has a task of its own.
+MOST, DEAL = 1 << 20, 1 << 16
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -26,15 +30,63 @@ def _sorted_pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias(a), F.greatest(a, b).alias(b)]
 
 
+def _settled(table: pa.Table) -> pa.Table:
+    """Takes links one by one, strongest first, in whole components: rows (x, y) say that group x is y now, rows (a, b, score) are refused.
+
+    Every group holds the set of groups it must not join; of two that join, the smaller set moves.
+    """
+    link = table.column("link").to_numpy(zero_copy_only=False)
+    names, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("x", "y")]), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    foes: dict[int, set[int]] = {}
+    for i, j in zip(x[~link].tolist(), y[~link].tolist(), strict=True):
+        foes.setdefault(i, set()).add(j)
+        foes.setdefault(j, set()).add(i)
+    root = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    held = np.flatnonzero(link)
+    a, b, strength = (table.column(c).to_numpy()[held] for c in ("a", "b", "strength"))
+    held, refused = held[np.lexsort((b, a, -strength, ~np.isnan(strength)))], []  # like Spark's order, NaN is strongest
+    for k, i, j in zip(held.tolist(), x[held].tolist(), y[held].tolist(), strict=True):
+        i, j = top(i), top(j)
+        if i == j:
+            continue
+        if j in foes.get(i, ()):
+            refused.append(k)
+            continue
+        if len(foes.get(i, ())) < len(foes.get(j, ())):
+            i, j = j, i
+        root[j] = i
+        moved = foes.pop(j, None)
+        if moved:
+            for f in moved:
+                foes[f].discard(j)
+                foes[f].add(i)
+            foes[i] |= moved
+    tops = np.array([top(i) for i in range(len(names))], np.int64)
+    least = np.full(len(names), len(names))
+    np.minimum.at(least, tops, np.arange(len(names)))
+    no = table.take(pa.array(refused, pa.int64())).select(["a", "b", "score"])
+    groups = pa.table({"x": names, "y": names[least[tops]]})
+    return pa.concat_tables([groups, no], promote_options="default").select(["x", "y", "a", "b", "score"])
+
+
 def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of pairs (a, b, score) that never join a forbidden pair (a, b): rows (node, component), and refused pairs.
 
     The result is that of taking pairs one by one, strongest first, equal scores by their ends, and refusing each that would bring a
-    forbidden pair together. It is found in rounds over all groups at once, in the manner of Boruvka. A pair of groups that hold a
+    forbidden pair together. Components without a forbidden pair inside are right as they are. One with at most MOST open links and
+    forbidden pairs is settled by a task, which takes its links in order; small ones share tasks. Larger ones go through rounds over all
+    their groups at once, in the manner of Boruvka, until no more than MOST are left: a pair of groups that hold a
     forbidden pair can never join, so its links are refused at once. A link that is the strongest of both its groups comes before all
     else that could change them, and is taken. A group that no forbidden pair names can wait for nothing: it joins along its strongest link
-    whatever the other side has become. Each round settles the strongest open link at least; nothing is gathered by component.
-    Components without a forbidden pair inside are right as they are. Null ends link nothing; repeated pairs count once with
+    whatever the other side has become. Each round settles the strongest open link at least; forbidden pairs of a group without open links
+    are dropped, since it stays as it is. Null ends link nothing; repeated pairs count once with
     their best score; a score of null comes last.
     """
     own = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(*_sorted_pair("a", "b"), "score")
@@ -44,26 +96,44 @@ def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, Data
     foes = _kept(apart.join(plain.toDF("a", "component"), "a").join(plain.toDF("b", "other"), "b").where("component = other").select("component", F.col("a").alias("x"), F.col("b").alias("y")), "foes")
     torn = foes.select("component").distinct()
     links_ = own.join(plain.toDF("a", "component"), "a").join(torn, "component", "left_semi")
-    open_ = _kept(links_.select("a", "b", "score", F.col("a").alias("x"), F.col("b").alias("y")), "open")
+    open_ = _kept(links_.select("component", F.col("a").alias("x"), F.col("b").alias("y"), "a", "b", "score"), "open")
     state = plain.join(torn, "component", "left_semi").select("node", F.col("node").alias("g"))
-    foes, refused = foes.select("x", "y"), None
-    strength = F.struct(F.coalesce("score", F.lit(float("-inf"))).alias("s"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
-    while open_.limit(1).count():
-        banned = _kept(open_.join(foes, ["x", "y"], "left_semi").select("a", "b", "score"), "refused")
+    refused = None
+    strength = F.coalesce("score", F.lit(float("-inf")))
+    order = F.struct(strength.alias("s"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))
+
+    def renamed(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
+        return df.join(to.toDF(column, "to_"), column, "left").withColumn(column, F.coalesce("to_", column)).drop("to_")
+
+    while True:
+        both = open_.select("*", strength.alias("strength"), F.lit(True).alias("link")).unionByName(foes.select("*", F.lit(False).alias("link")), allowMissingColumns=True)
+        sizes = _kept(both.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        few, most = sizes.agg(F.sum(F.when(F.col("n") <= MOST, F.col("n"))), F.max("n")).first()
+        if few:
+            alone = F.when(F.col("n") > DEAL, F.col("component"))
+            deal = F.when(F.col("n") <= DEAL, F.pmod(F.xxhash64("component"), F.lit(1 + few // DEAL)))
+            rows = both.join(sizes.where(F.col("n") <= MOST), "component").withColumns({"alone": alone, "deal": deal, "a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
+            done = _kept(rows.groupBy("alone", "deal").applyInArrow(_settled, "x long, y long, a long, b long, score double"), "settled")
+            state = renamed(state, "g", done.where("x IS NOT NULL").select("x", "y"))
+            banned = done.where("x IS NULL").select("a", "b", "score")
+            refused = banned if refused is None else refused.unionByName(banned)
+        if not most or most <= MOST:
+            break
+        large = sizes.where(F.col("n") > MOST).select("component")
+        open_, foes = open_.join(large, "component", "left_semi"), foes.join(large, "component", "left_semi")
+        held = foes.select("x", "y")
+        banned = _kept(open_.join(held, ["x", "y"], "left_semi").select("a", "b", "score"), "refused")
         refused = banned if refused is None else refused.unionByName(banned)
-        free = open_.join(foes, ["x", "y"], "left_anti")
-        named = foes.select(F.explode(F.array("x", "y")).alias("g")).distinct().withColumn("named", F.lit(True))
-        best = free.select(F.explode(F.array("x", "y")).alias("g"), "x", "y", strength.alias("o")).groupBy("g").agg(F.max(F.struct("o", "x", "y")).alias("top"))
+        free = open_.join(held, ["x", "y"], "left_anti")
+        named = held.select(F.explode(F.array("x", "y")).alias("g")).distinct().withColumn("named", F.lit(True))
+        best = free.select(F.explode(F.array("x", "y")).alias("g"), "x", "y", order.alias("o")).groupBy("g").agg(F.max(F.struct("o", "x", "y")).alias("top"))
         votes = best.join(named, "g", "left").groupBy(F.col("top.x").alias("x"), F.col("top.y").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("unnamed"))
-        taken = votes.where("n = 2 OR unnamed > 0").select("x", "y")
-        to = _kept(components(taken, "x", "y"), "joined")
-
-        def renamed(df: DataFrame, column: str, to: DataFrame = to) -> DataFrame:
-            return df.join(to.toDF(column, "to_"), column, "left").withColumn(column, F.coalesce("to_", column)).drop("to_")
-
-        state = _kept(renamed(state, "g"), "groups")
-        foes = _kept(renamed(renamed(foes, "x"), "y").select(*_sorted_pair("x", "y")).distinct(), "foes")
-        open_ = _kept(renamed(renamed(free, "x"), "y").where("x <> y").select("a", "b", "score", *_sorted_pair("x", "y")), "open")
+        to = _kept(components(votes.where("n = 2 OR unnamed > 0").select("x", "y"), "x", "y"), "joined")
+        state = _kept(renamed(state, "g", to), "groups")
+        open_ = _kept(renamed(renamed(free, "x", to), "y", to).where("x <> y").select("component", *_sorted_pair("x", "y"), "a", "b", "score"), "open")
+        ends = open_.select(F.explode(F.array("x", "y")).alias("g")).distinct()
+        moved = renamed(renamed(foes, "x", to), "y", to).select("component", *_sorted_pair("x", "y")).distinct()
+        foes = _kept(moved.join(ends.toDF("x"), "x", "left_semi").join(ends.toDF("y"), "y", "left_semi").select("component", "x", "y"), "foes")
     kept = plain.join(torn, "component", "left_anti").select("node", "component").unionByName(state.select("node", F.col("g").alias("component")))
     return kept, own.limit(0) if refused is None else refused
 

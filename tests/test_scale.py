@@ -10,6 +10,7 @@ import pytest
 from lodestone.llm import lm, twins
 from lodestone.operators import chunks, overlap, resolution, terms
 from lodestone.plans import catalogue, census, more, sql
+from lodestone.sources.storage import fresh_folder
 from lodestone.streaming import items
 
 
@@ -207,3 +208,39 @@ def test_people_of_a_stem_are_not_gathered(spark, tmp_path):
     df = catalogue.QUERIES["grf01_persons"](spark, once)
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, sql.query(more._BOTH["grf01_persons"])(spark, once).collect()))
     assert not {"Window", "Aggregate"} & set(df._jdf.queryExecution().optimizedPlan().toString().replace("[", " ").split())
+
+
+def _one_by_one(pairs, foes):
+    """Taking links in order: components and refused links."""
+    bad, held, out = {}, {}, []
+    for a, b in foes:
+        bad.setdefault(a, set()).add(b)
+        bad.setdefault(b, set()).add(a)
+    for a, b, s in sorted(pairs, key=lambda p: (p[2] is None, -(p[2] or 0), p[:2])):
+        x, y = held.setdefault(a, {a}), held.setdefault(b, {b})
+        if x is not y:
+            if any(bad.get(m, set()) & y for m in x):
+                out.append((a, b, s))
+            else:
+                x |= y
+                held.update(dict.fromkeys(y, x))
+    return {n: min(s) for n, s in held.items()}, out
+
+
+@pytest.mark.parametrize(("most", "deal", "n"), [(None, None, 150), (9, 4, 9)], ids=["tasks", "rounds"])
+def test_verdicts_inside_a_large_group_need_no_round_each(spark, monkeypatch, most, deal, n):
+    made = []
+    monkeypatch.setattr(resolution, "fresh_folder", lambda session, name: made.append(name) or fresh_folder(session, name))
+    if most:
+        monkeypatch.setattr(resolution, "MOST", most)
+        monkeypatch.setattr(resolution, "DEAL", deal)
+    rng = random.Random(6)
+    # a chain whose links wait for each other, groups torn by verdicts, groups without
+    pairs = [(i, i + 1, 0.99 - i / 1000) for i in range(n)] + [(a, b, rng.choice([0.6, 0.7, None])) for a in range(200, 200 + n) for b in range(a + 1, min(a + 4, 200 + n)) if rng.random() < 0.6]
+    pairs += [(k, k + 1, 0.5) for k in range(400, 480, 4)] + [(k, k + 2, 0.4) for k in range(400, 480, 4)]
+    foes = [(i, i + 3) for i in range(0, n - 3, 2)] + [(a, a + rng.choice([2, 5])) for a in range(200, 190 + n, 3)] + [(k, k + 2) for k in range(400, 440, 4)] + [(1, 450), (9000, 9001)]
+    kept, refused = resolution.constrained(spark.createDataFrame(pairs, "a long, b long, score double"), spark.createDataFrame(foes, "a long, b long"))
+    want, out = _one_by_one(pairs, foes)
+    assert {r.node: r.component for r in kept.collect()} == want and kept.count() == len(want)
+    assert sorted(map(tuple, refused.collect()), key=str) == sorted(out, key=str)
+    assert most or len(made) <= 6
