@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from lodestone.plans import catalogue, graph, links, sql
+from lodestone.plans import catalogue, evidence, graph, links, sql
 from test_scale import most_rows
 
 
@@ -63,8 +63,9 @@ def test_search_of_odd_vectors(spark, tmp_path):
     rows += [(100, some(), 2), (101, [nan, 1.0, 0.0, 0.0], 2), (102, [inf, 1.0, 0.0, 0.0], 2), (120, [nan] * 4, 2), (103, some(), 2), (140, some(), 3), (140, some(), 3), (141, None, 3), (141, None, 3)]
     rows += [(160, some(), None), (None, some(), 1), (180, some(), 4), (200, None, 5), (201, some(), 5), (202, None, 5), (203, some(), 5), (204, some(), 5)]
     made = _embeddings(spark, tmp_path, rows)
-    got, want = (sorted(map(repr, f(spark, made).collect())) for f in (catalogue.QUERIES["joi21_knn"], sql.query(graph._PAIRS["joi21_knn"][0])))
-    assert got == want and len(got) >= 4
+    for name, plain in (("joi21_knn", graph._PAIRS["joi21_knn"][0]), ("grf28_recall", evidence._PAIRS["grf28_recall"][0])):
+        got, want = (sorted(map(repr, f(spark, made).collect())) for f in (catalogue.QUERIES[name], sql.query(plain)))
+        assert got == want and len(got) >= 4
 
 
 def test_vectors_of_length_zero_come_first_as_in_duckdb(spark, tmp_path):
