@@ -16,8 +16,9 @@ from lodestone.sources.storage import fresh_folder
 
 #: The score from which a pair is merged, that from which it is asked about, the likeness of a hard negative.
 AUTO, GREY, ALIKE = 0.92, 0.80, 0.75
-#: Open links and forbidden pairs of a component that one task settles at most; those from which a component has a task of its own.
-MOST, DEAL = 1 << 20, 1 << 16
+#: Open links and forbidden pairs of a component that one task settles at most; those from which a component has a task of its own;
+#: share of the links of a larger one that a round looks at, at most.
+MOST, DEAL, BAND = 1 << 20, 1 << 16, 0.25
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -81,9 +82,10 @@ def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, Data
 
     The result is that of taking pairs one by one, strongest first, equal scores by their ends, and refusing each that would bring a
     forbidden pair together. Components without a forbidden pair inside are right as they are. One with at most MOST open links and
-    forbidden pairs is settled by a task, which takes its links in order; small ones share tasks. Larger ones go through rounds over all
-    their groups at once, in the manner of Boruvka, until no more than MOST are left: a pair of groups that hold a
-    forbidden pair can never join, so its links are refused at once. A link that is the strongest of both its groups comes before all
+    forbidden pairs is settled by a task, which takes its links in order; small ones share tasks. Larger ones go through rounds until no more
+    than MOST are left: a pair of groups that hold a forbidden pair can never join, so its links are refused at once. Then come the strongest
+    links, the share BAND or about half of MOST: they fall into components of their own, which nothing weaker can change, and tasks settle them. If
+    one of these has more than MOST, as when very many scores are equal, a round is in the manner of Boruvka. A link that is the strongest of both its groups comes before all
     else that could change them, and is taken. A group that no forbidden pair names can wait for nothing: it joins along its strongest link
     whatever the other side has become. Each round settles the strongest open link at least; forbidden pairs of a group without open links
     are dropped, since it stays as it is. Null ends link nothing; repeated pairs count once with
@@ -105,30 +107,48 @@ def constrained(pairs: DataFrame, forbidden: DataFrame) -> tuple[DataFrame, Data
     def renamed(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
         return df.join(to.toDF(column, "to_"), column, "left").withColumn(column, F.coalesce("to_", column)).drop("to_")
 
-    while True:
-        both = open_.select("*", strength.alias("strength"), F.lit(True).alias("link")).unionByName(foes.select("*", F.lit(False).alias("link")), allowMissingColumns=True)
+    def settled(links_: DataFrame, foes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+        """Rows of each component, what tasks have settled of those with at most MOST, the most rows of one."""
+        both = links_.select("*", strength.alias("strength"), F.lit(True).alias("link")).unionByName(foes.select("*", F.lit(False).alias("link")), allowMissingColumns=True)
         sizes = _kept(both.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
         few, most = sizes.agg(F.sum(F.when(F.col("n") <= MOST, F.col("n"))), F.max("n")).first()
-        if few:
-            alone = F.when(F.col("n") > DEAL, F.col("component"))
-            deal = F.when(F.col("n") <= DEAL, F.pmod(F.xxhash64("component"), F.lit(1 + few // DEAL)))
-            rows = both.join(sizes.where(F.col("n") <= MOST), "component").withColumns({"alone": alone, "deal": deal, "a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
-            done = _kept(rows.groupBy("alone", "deal").applyInArrow(_settled, "x long, y long, a long, b long, score double"), "settled")
+        if not few:
+            return sizes, None, most or 0
+        alone = F.when(F.col("n") > DEAL, F.col("component"))
+        deal = F.when(F.col("n") <= DEAL, F.pmod(F.xxhash64("component"), F.lit(1 + few // DEAL)))
+        rows = both.join(sizes.where(F.col("n") <= MOST), "component").withColumns({"alone": alone, "deal": deal, "a": F.coalesce("a", F.lit(0)), "b": F.coalesce("b", F.lit(0))})
+        return sizes, _kept(rows.groupBy("alone", "deal").applyInArrow(_settled, "x long, y long, a long, b long, score double"), "settled"), most
+
+    def refuse(banned: DataFrame) -> None:
+        nonlocal refused
+        refused = banned if refused is None else refused.unionByName(banned)
+
+    while True:
+        sizes, done, most = settled(open_, foes)
+        if done is not None:
             state = renamed(state, "g", done.where("x IS NOT NULL").select("x", "y"))
-            banned = done.where("x IS NULL").select("a", "b", "score")
-            refused = banned if refused is None else refused.unionByName(banned)
-        if not most or most <= MOST:
+            refuse(done.where("x IS NULL").select("a", "b", "score"))
+        if most <= MOST:
             break
         large = sizes.where(F.col("n") > MOST).select("component")
         open_, foes = open_.join(large, "component", "left_semi"), foes.join(large, "component", "left_semi")
         held = foes.select("x", "y")
-        banned = _kept(open_.join(held, ["x", "y"], "left_semi").select("a", "b", "score"), "refused")
-        refused = banned if refused is None else refused.unionByName(banned)
-        free = open_.join(held, ["x", "y"], "left_anti")
-        named = held.select(F.explode(F.array("x", "y")).alias("g")).distinct().withColumn("named", F.lit(True))
-        best = free.select(F.explode(F.array("x", "y")).alias("g"), "x", "y", order.alias("o")).groupBy("g").agg(F.max(F.struct("o", "x", "y")).alias("top"))
-        votes = best.join(named, "g", "left").groupBy(F.col("top.x").alias("x"), F.col("top.y").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("unnamed"))
-        to = _kept(components(votes.where("n = 2 OR unnamed > 0").select("x", "y"), "x", "y"), "joined")
+        refuse(_kept(open_.join(held, ["x", "y"], "left_semi").select("a", "b", "score"), "refused"))
+        free = _kept(open_.join(held, ["x", "y"], "left_anti"), "free")
+        floor = free.groupBy("component").agg(F.percentile_approx(strength, 1 - min(BAND, MOST / (2 * most))).alias("floor"))
+        band = free.join(floor, "component").where(strength >= F.col("floor")).drop("floor")
+        part = _kept(components(band, "x", "y").withColumnRenamed("component", "part"), "parts")
+        inside = foes.join(part.toDF("x", "part"), "x").join(part.toDF("y", "other"), "y").where("part = other").select(F.col("part").alias("component"), "x", "y")
+        _, done, widest = settled(band.join(part.toDF("x", "part"), "x").drop("component").withColumnRenamed("part", "component"), inside)
+        if done is not None and widest <= MOST:
+            to = done.where("x IS NOT NULL").select("x", "y")
+            refuse(done.where("x IS NULL").select("a", "b", "score"))
+            free = free.join(band.select("a", "b"), ["a", "b"], "left_anti")
+        else:
+            named = held.select(F.explode(F.array("x", "y")).alias("g")).distinct().withColumn("named", F.lit(True))
+            best = free.select(F.explode(F.array("x", "y")).alias("g"), "x", "y", order.alias("o")).groupBy("g").agg(F.max(F.struct("o", "x", "y")).alias("top"))
+            votes = best.join(named, "g", "left").groupBy(F.col("top.x").alias("x"), F.col("top.y").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("named").isNull(), 1)).alias("unnamed"))
+            to = _kept(components(votes.where("n = 2 OR unnamed > 0").select("x", "y"), "x", "y"), "joined")
         state = _kept(renamed(state, "g", to), "groups")
         open_ = _kept(renamed(renamed(free, "x", to), "y", to).where("x <> y").select("component", *_sorted_pair("x", "y"), "a", "b", "score"), "open")
         ends = open_.select(F.explode(F.array("x", "y")).alias("g")).distinct()
