@@ -51,6 +51,9 @@ def test_search_pairs_no_rows(spark, tmp_path):
     want = sorted(map(tuple, sql.query(graph._PAIRS["joi21_knn"][0])(spark, made).collect()))
     assert sorted(map(tuple, df.collect())) == want and len(want) == 45 * 3
     assert most_rows(df) <= 3 * len(rows)
+    recall = catalogue.QUERIES["grf28_recall"](spark, made)
+    assert sorted(map(tuple, recall.collect())) == sorted(map(tuple, sql.query(evidence._PAIRS["grf28_recall"][0])(spark, made).collect()))
+    assert most_rows(recall) <= 3 * len(rows)
     for block in (64, 300):
         assert sorted(map(tuple, links.nearest(vectors, block, vectors.vec_id % 20 == 0).collect())) == want
 
